@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from filingloom.functions.vectors import let
 
-# The filing layout that results depend on.
-PERIOD = r"CONFORMED PERIOD OF REPORT:\s+(\d{4})"
-SECTION_START = r"(?i)Item\s+1A\.?\s+Risk\s+Factors"
-SECTION = r"(?is)Item\s+1A\.?\s+Risk\s+Factors(.*?)(?=Item\s+(?:1B|2)\.?|\z)"
+# Every Unicode space under (?U); the four separators complete Java's definition.
+SPACE = r"\s\x1c-\x1f"
+
+# The filing layout and markup that results depend on.
+PERIOD = rf"(?U)CONFORMED PERIOD OF REPORT:[{SPACE}]+(\d{{4}})"
+SECTION_START = rf"(?iU)Item[{SPACE}]+1A\.?[{SPACE}]+Risk[{SPACE}]+Factors"
+SECTION = (
+    rf"(?isU)Item[{SPACE}]+1A\.?[{SPACE}]+Risk[{SPACE}]+Factors"
+    rf"(.*?)(?=Item[{SPACE}]+(?:1B|2)\.?|\z)"
+)
 HTML_TAG = r"<[^<]+?>"
 DECIMAL_ENTITY = r"&#\d+;"
 NBSP = r"(?i)&nbsp;"
 CONTRACTIONS = ["cannot", "gimme", "gonna", "gotta", "lemme", "wanna"]
 
-# Every Unicode space; the four separators complete Java's definition.
-SPACE = r"\s\x1c-\x1f"
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
