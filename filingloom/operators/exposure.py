@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filingloom.runtime import broadcast_if_small
+
 
 def company_exposure(doc_topics: DataFrame, k: int) -> DataFrame:
     """``(ticker, exposure)``: mean topic weights of a company over all its filings.
@@ -57,7 +59,7 @@ def with_topic_names(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds ``label`` from a ``(topic, label)`` table."""
     named = labels.select("topic", F.col("label").alias("given"))
     return (
-        df.join(named, "topic", "left")
+        df.join(broadcast_if_small(named), "topic", "left")
         .withColumn("label", topic_name(F.col("topic"), F.col("given")))
         .drop("given")
     )
@@ -67,7 +69,7 @@ def with_cluster_names(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds ``label`` from a ``(cluster, label)`` table."""
     named = labels.select("cluster", F.col("label").alias("given"))
     return (
-        df.join(named, "cluster", "left")
+        df.join(broadcast_if_small(named), "cluster", "left")
         .withColumn("label", cluster_name(F.col("cluster"), F.col("given")))
         .drop("given")
     )

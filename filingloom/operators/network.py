@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.functions import vectors as V
-from filingloom.runtime import durable
+from filingloom.runtime import broadcast_if_small, durable
 
 # Companies of one grid cell that meet in one task; larger cells are split.
 CELL_LIMIT = 2_000
@@ -110,11 +110,9 @@ def _blocked(placed: DataFrame, n_dims: int, cell_limit: int) -> tuple[DataFrame
         F.ceil(F.col("n_right") / cell_limit).cast("int").alias("cols"),
     )
     splits = durable(splits.where("rows > 1 OR cols > 1"), "cell-splits")
-    n_splits = splits.count()
-    if n_splits == 0:
+    if splits.isEmpty():
         return placed.withColumn("block", F.lit(0)), around.withColumn("block", F.lit(0))
-    if n_splits <= SPLIT_LIMIT:
-        splits = F.broadcast(splits)
+    splits = broadcast_if_small(splits, SPLIT_LIMIT)
 
     def cut(side: DataFrame, own: str, other: str, number) -> DataFrame:
         joined = side.join(splits, "cell", "left").fillna(1, ["rows", "cols"])

@@ -87,6 +87,7 @@ def tokenize(
     attrs = [c for c in corpus.columns if c != "text"]
     out = corpus.select(*attrs, X.keep_tokens(X.raw_tokens("text"), stop, min_len).alias("tokens"))
     if lexicon is not None:
+        out = durable(out, "plain-tokens")
         out = apply_lemmas(out, lemma_table(distinct_tokens(out), lexicon))
         if refilter:
             out = out.withColumn("tokens", X.keep_tokens("tokens", stop, min_len))

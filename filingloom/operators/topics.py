@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import vectors as V
 from filingloom.operators.coherence import coherence
-from filingloom.operators.vocabulary import bag_vectors, build_vocabulary, vocabulary_words
-from filingloom.runtime import durable
+from filingloom.operators.vocabulary import (
+    VOCABULARY_LIMIT,
+    bag_vectors,
+    build_vocabulary,
+    vocabulary_words,
+)
+from filingloom.runtime import broadcast_if_small, durable
 from filingloom.schemas import SCORES, TOPIC_TERMS
 
 
@@ -24,8 +29,13 @@ def document_prior(k: int) -> list[float]:
 
 
 def prepare_bags(tokens: DataFrame, words: list[str], partitions: int | None = None) -> DataFrame:
-    """Count vectors in one fixed layout and order: with them a seeded fit repeats."""
-    n = partitions or tokens.sparkSession.sparkContext.defaultParallelism
+    """Count vectors in one fixed layout and order: with them a seeded fit repeats.
+
+    By default as many partitions as the token table has splits, and at least one
+    per core.
+    """
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    n = partitions or max(cores, tokens.rdd.getNumPartitions())
     bags = bag_vectors(tokens, words).select("doc_id", "ticker", "year", "n_tokens", "features")
     return durable(bags.repartition(n, "doc_id").sortWithinPartitions("doc_id"), "bags")
 
@@ -64,7 +74,8 @@ def topic_weights(model: LDAModel, vocabulary: DataFrame) -> DataFrame:
     flat = model.describeTopics(size).select(
         "topic", F.inline(F.arrays_zip("termIndices", "termWeights")).alias("id", "weight")
     )
-    return flat.join(F.broadcast(vocabulary.select("id", "token")), "id").select(
+    ids = broadcast_if_small(vocabulary.select("id", "token"), VOCABULARY_LIMIT)
+    return flat.join(ids, "id").select(
         "topic", F.col("token").alias("term"), "weight"
     )
 
@@ -169,7 +180,7 @@ def search_topics(
 
     ``tokens`` is read once per K for the coherence, so hand over a stored table.
     """
-    vocabulary = durable(build_vocabulary(tokens, min_df, max_share), "vocabulary")
+    vocabulary = build_vocabulary(tokens, min_df, max_share)
     words = vocabulary_words(vocabulary)
     if not words:
         raise ValueError("no token passes the document-frequency bounds")

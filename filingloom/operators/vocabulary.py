@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingloom.functions import text as X
-from filingloom.runtime import durable
+from filingloom.runtime import broadcast_if_small, durable
 
 VOCABULARY_LIMIT = 100_000
 
@@ -37,7 +37,7 @@ def build_vocabulary(
     """``(token, df, tf, id)`` with neither rare nor ubiquitous tokens.
 
     Ids follow falling document frequency, then the alphabet. The result has at
-    most ``limit`` rows, so it may be broadcast.
+    most ``limit`` rows and is stored.
     """
     documents = tokens.count()
     pruned = frequencies(tokens).where(
@@ -46,9 +46,10 @@ def build_vocabulary(
     pruned = durable(pruned, "frequencies")
     top = _above_cut(pruned, limit).orderBy(F.desc("df"), "token").limit(limit)
     order = Window.orderBy(F.desc("df"), "token")
-    return top.select(
+    numbered = top.select(
         "token", "df", "tf", (F.row_number().over(order) - 1).cast("int").alias("id")
     )
+    return durable(numbered, "vocabulary")
 
 
 def _above_cut(counts: DataFrame, limit: int) -> DataFrame:
@@ -69,9 +70,8 @@ def _above_cut(counts: DataFrame, limit: int) -> DataFrame:
 
 def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(doc_id, token, id, cnt)`` for the tokens that the vocabulary holds."""
-    return term_counts(tokens).join(F.broadcast(vocabulary.select("token", "id")), "token").select(
-        "doc_id", "token", "id", "cnt"
-    )
+    ids = broadcast_if_small(vocabulary.select("token", "id"), VOCABULARY_LIMIT)
+    return term_counts(tokens).join(ids, "token").select("doc_id", "token", "id", "cnt")
 
 
 def bag_vectors(tokens: DataFrame, words: list[str]) -> DataFrame:

@@ -63,7 +63,7 @@ VOC = """voc AS (
     WHERE df >= 3 AND df <= floor(0.7 * (SELECT count(*) FROM toks)))"""
 VOCABULARY = ", ".join([TOKS, WORDS, BAG, FREQ, VOC])
 LANG_TOPICS = f"""{", ".join([TOKS, WORDS, BAG, FREQ])}, lang_n AS (
-    SELECT CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS topic,
+    SELECT CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END::BIGINT AS topic,
            token AS term, sum(cnt) AS n
     FROM bag JOIN documents USING (doc_id) GROUP BY ALL),
 phi AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS weight FROM lang_n),
@@ -258,13 +258,13 @@ SELECT topic, rank, term, round(relevance, 6) AS relevance FROM best WHERE rank
     SELECT t.topic, term, coalesce(weight, 0) AS w
     FROM (SELECT DISTINCT topic FROM phi) t CROSS JOIN (SELECT DISTINCT term FROM phi) d
     LEFT JOIN phi USING (topic, term)),
-both AS (
+duo AS (
     SELECT a.topic AS topic_a, b.topic AS topic_b, a.w AS x, b.w AS y
     FROM grid a JOIN grid b ON a.term = b.term AND a.topic < b.topic)
 SELECT topic_a, topic_b, round(sqrt(greatest(sum(
     CASE WHEN x > 0 THEN x * ln(2 * x / (x + y)) ELSE 0 END
     + CASE WHEN y > 0 THEN y * ln(2 * y / (x + y)) ELSE 0 END) / 2, 0)), 6) AS distance
-FROM both GROUP BY ALL""",
+FROM duo GROUP BY ALL""",
     "topic_prevalence": f"""WITH {THETA}, parts AS (
     SELECT topic, sum(weight * (doc_id % 97 + 1)) AS part FROM theta GROUP BY topic)
 SELECT topic, round(part / sum(part) OVER (), 9) AS prevalence FROM parts""",

@@ -133,13 +133,14 @@ def language_topics(spark: SparkSession, sf: str, toks: DataFrame) -> DataFrame:
         F.col("lang") == "es", 2
     ).otherwise(3)
     counts = (
-        VO.term_counts(toks)
-        .join(langs, "doc_id")
-        .groupBy(topic.alias("topic"), F.col("token").alias("term"))
+        toks.join(langs, "doc_id")
+        .select(topic.alias("topic"), F.inline(X.term_runs("tokens")))
+        .groupBy("topic", F.col("token").alias("term"))
         .agg(F.sum("cnt").alias("n"))
     )
     counts = durable(counts, "language-topics")
-    sums = counts.groupBy("topic").agg(F.sum("n").alias("all"))
+    # four topics by construction
+    sums = F.broadcast(counts.groupBy("topic").agg(F.sum("n").alias("all")))
     return counts.join(sums, "topic").select("topic", "term", (F.col("n") / F.col("all")).alias("weight"))
 
 
@@ -253,16 +254,16 @@ def paragraph_excerpt(spark, sf):
 
 
 def vocabulary(spark, sf):
-    return _big(VO.build_vocabulary(stored_tokens(spark, sf)), "id")
+    return _big(VO.build_vocabulary(tokens(spark, sf)), "id")
 
 
 def vocabulary_capped(spark, sf):
     """The 500 most frequent tokens only: the row limit decides."""
-    return _big(VO.build_vocabulary(stored_tokens(spark, sf), limit=500), "id")
+    return _big(VO.build_vocabulary(tokens(spark, sf), limit=500), "id")
 
 
 def vocabulary_size(spark, sf):
-    toks = stored_tokens(spark, sf)
+    toks = tokens(spark, sf)
     return VO.vocabulary_report(toks, VO.build_vocabulary(toks))
 
 
@@ -495,7 +496,7 @@ def cluster_choice(spark, sf):
 
 def topic_terms(spark, sf):
     toks = stored_tokens(spark, sf)
-    voc = durable(VO.build_vocabulary(toks), "vocabulary")
+    voc = VO.build_vocabulary(toks)
     words = VO.vocabulary_words(voc)
     model = TP.fit_lda(TP.prepare_bags(toks, words).select("features"), 5)
     return TP.topic_terms(model, words, 10)
@@ -503,7 +504,7 @@ def topic_terms(spark, sf):
 
 def doc_topics(spark, sf):
     toks = stored_tokens(spark, sf)
-    words = VO.vocabulary_words(durable(VO.build_vocabulary(toks), "vocabulary"))
+    words = VO.vocabulary_words(VO.build_vocabulary(toks))
     bags = TP.prepare_bags(toks, words)
     return TP.topics_long(TP.document_topics(TP.fit_lda(bags.select("features"), 5), bags))
 
@@ -511,7 +512,7 @@ def doc_topics(spark, sf):
 def lda_drift(spark, sf):
     """Which companies' topic mix moved most between the two years."""
     toks = stored_tokens(spark, sf)
-    words = VO.vocabulary_words(durable(VO.build_vocabulary(toks), "vocabulary"))
+    words = VO.vocabulary_words(VO.build_vocabulary(toks))
     bags = TP.prepare_bags(toks, words)
     weights = TP.document_topics(TP.fit_lda(bags.select("features"), 5), bags)
     return D.drift_ranking(D.topic_drift(D.yearly_profiles(weights, FIRST, SECOND)), 10)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -58,6 +59,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """Broadcast hint for a table whose row count was checked; else unchanged.
+
+    The check reads at most ``limit + 1`` rows, so hand over a stored or literal table.
+    """
+    if df.limit(limit + 1).count() > limit:
+        return df
+    return F.broadcast(df)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash rows over all cores when the scan yields fewer splits than cores.
 

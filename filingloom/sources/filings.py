@@ -25,9 +25,9 @@ def _corpus(df: DataFrame, doc_id: Column | str) -> DataFrame:
 def _whole_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """One row per file. A missing folder gives an empty table, an unreadable
     file is left out, and the job goes on."""
-    reader = spark.read.option("wholetext", "true").option("ignoreCorruptFiles", "true")
+    reader = spark.read.option("ignoreCorruptFiles", "true").options(**options)
     try:
-        files = reader.options(**options).text(path)
+        files = reader.text(path, wholetext=True)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise

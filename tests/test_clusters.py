@@ -1,0 +1,133 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from filingloom.operators import clusters as C
+from filingloom.operators import embeddings as E
+
+
+def table(spark, x, labels=None):
+    rows = [(f"p{i:04d}", [float(v) for v in r], 0 if labels is None else int(labels[i])) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "para_id string, embedding array<double>, cluster int")
+
+
+def brute_silhouette(x, labels):
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    out = []
+    for i, own in enumerate(labels):
+        same = labels == own
+        if same.sum() == 1:
+            out.append(0.0)
+            continue
+        a = d[i, same].sum() / (same.sum() - 1)
+        b = min(d[i, labels == o].mean() for o in set(labels) if o != own)
+        out.append((b - a) / max(a, b))
+    return out
+
+
+@pytest.mark.parametrize(
+    "n, want", [(100, (6, 15)), (15, (6, 15)), (14, (6, 7)), (8, (4, 4)), (3, (1, 1)), (1, (1, 1)), (0, (1, 1))]
+)
+def test_search_range(n, want):
+    assert C.search_range(n, 6, 15) == want
+
+
+def test_silhouette_matches_definition(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5))
+    labels = rng.integers(0, 4, 60)
+    labels[7] = 9  # alone in its cluster
+    got = {r.para_id: r.silhouette for r in C.silhouette_points(table(spark, x, labels)).collect()}
+    want = brute_silhouette(x, labels)
+    assert [got[f"p{i:04d}"] for i in range(60)] == pytest.approx(want)
+    assert C.silhouette(table(spark, x, labels), "para_id") == pytest.approx(np.mean(want))
+    assert C.silhouette(table(spark, x), "para_id") is None
+
+
+def test_sample_is_exact_and_repeatable(spark):
+    points = spark.range(3000).select(F.col("id").alias("para_id"), F.lit(1).alias("x"))
+    first = {r.para_id for r in C.sample_points(points, "para_id", 250).collect()}
+    again = {r.para_id for r in C.sample_points(points.repartition(7), "para_id", 250).collect()}
+    assert len(first) == 250 and first == again
+    assert C.sample_points(points, "para_id", 3000).count() == 3000
+
+
+def test_representatives(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, labels = rng.normal(size=(80, 3)), rng.integers(0, 3, 80)
+    points = table(spark, x, labels)
+    centres = C.label_means(points)
+    got = C.representatives(points, centres, n=4).orderBy("cluster", "rank").collect()
+    for c in range(3):
+        at = np.flatnonzero(labels == c)
+        gap = np.linalg.norm(x[at] - x[at].mean(axis=0), axis=1)
+        want = [f"p{i:04d}" for i in at[np.argsort(gap)][:4]]
+        assert [r.para_id for r in got if r.cluster == c] == want
+    every = C.representatives(points, centres, n=1000)  # salted path
+    assert every.count() == 80
+    assert every.where("rank <= 4").orderBy("cluster", "rank").collect() == got
+
+
+def test_cluster_sizes_show_empty_ones(spark):
+    points = table(spark, np.zeros((3, 2)), [0, 2, 2])
+    rows = C.cluster_sizes(points, 4).orderBy("cluster").collect()
+    assert [tuple(r) for r in rows] == [(0, 1), (1, 0), (2, 2), (3, 0)]
+
+
+def test_search_finds_planted_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = np.array([[0, 0], [8, 0], [0, 8]])
+    x = np.vstack([c + rng.normal(0, 0.3, (15, 2)) for c in centres])
+    found = C.search_clusters(table(spark, x).drop("cluster"), 2, 4, restarts=3)
+    assert found.best_k == 3 and found.score > 0.8
+    labels = [r.cluster for r in found.assigned.orderBy("para_id").collect()]
+    assert set(labels) <= {0, 1, 2}
+    assert all(len(set(labels[i : i + 15])) == 1 for i in (0, 15, 30))
+    assert found.centroids.count() == 3
+    features = found.assigned.select(C.array_to_vector("embedding").alias("features"))
+    single = [C.KMeans(k=3, seed=42 + i).fit(features).summary.trainingCost for i in range(3)]
+    assert C.fit_kmeans(features, 3, 42, 3).summary.trainingCost == pytest.approx(min(single))
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_too_few_points_give_one_dummy_cluster(spark, n):
+    found = C.search_clusters(table(spark, np.zeros((n, 2))).drop("cluster"))
+    assert (found.best_k, found.score, found.model) == (1, C.NO_SCORE, None)
+    assert [r.cluster for r in found.assigned.collect()] == [0] * n
+
+
+def test_fallback_without_any_score(spark):
+    # three points: the range shrinks to 1, which has no silhouette
+    found = C.search_clusters(table(spark, [[0, 0], [1, 1], [5, 5]]).drop("cluster"), restarts=1)
+    assert found.best_k == 2 and found.scores.count() == 0
+    assert found.assigned.count() == 3
+
+
+def paragraphs(spark):
+    rows = [("a", "supply chain shortage"), ("b", "supply chain delay"), ("c", ""), ("d", "currency swings")]
+    return spark.createDataFrame(rows, "para_id string, paragraph string")
+
+
+def test_builtin_vectors_are_unit_or_zero(spark):
+    toks = E.paragraph_tokens(paragraphs(spark), [])
+    for vectors in (E.tfidf_vectors(toks, 32), E.word2vec_vectors(toks, 8, partitions=1)):
+        for r in vectors.collect():
+            size = np.linalg.norm(r.embedding)
+            assert size == pytest.approx(0.0 if r.para_id == "c" else 1.0)
+        assert vectors.columns == ["para_id", "paragraph", "embedding"]
+
+
+def test_word_limit_sets_least_count(spark, monkeypatch):
+    toks = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c", "d"],)], "tokens array<string>")
+    assert E._min_count(toks) == 1
+    monkeypatch.setattr(E, "WORD_LIMIT", 2)
+    assert E._min_count(toks) == 2
+
+
+def test_external_model_loads_per_task(spark):
+    def load():
+        return lambda texts: [[float(len(t)), 3.0] for t in texts]
+
+    rows = {r.para_id: r.embedding for r in E.encode(paragraphs(spark), load, batch=2).collect()}
+    assert rows["c"] == [0.0, 1.0]
+    assert rows["d"] == pytest.approx([15 / np.hypot(15, 3), 3 / np.hypot(15, 3)])
