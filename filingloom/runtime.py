@@ -35,15 +35,16 @@ def durable_root(spark: SparkSession) -> str:
     Only a local session may fall back to a scratch folder; on a cluster a
     machine-local folder would be lost together with its executor.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="filingloom-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    scratch = tempfile.mkdtemp(prefix="filingloom-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+    context.setCheckpointDir(scratch)
+    return scratch
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

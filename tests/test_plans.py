@@ -1,5 +1,7 @@
 """The physical plans that large inputs depend on."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,14 +96,28 @@ def test_broadcast_depends_on_the_checked_size(spark):
     assert broadcast_if_small(small, 9) is small
 
 
-def test_durable_tables_live_in_the_session_folder(spark, tmp_path):
-    before = durable_root(spark)
-    spark.conf.set(CHECKPOINT_KEY, str(tmp_path))
-    try:
-        assert durable_root(spark) == str(tmp_path)
-        copy = durable(spark.range(3), "x")
-        assert copy.count() == 3
-        assert list((tmp_path / "filingloom").glob("x-*"))
-        assert "FileScan parquet" in plan(copy)
-    finally:
-        spark.conf.set(CHECKPOINT_KEY, before)
+def session(conf, folder, master):
+    """Stand-in with just what the folder choice reads."""
+    state = {"dir": folder}
+    context = SimpleNamespace(
+        master=master,
+        getCheckpointDir=lambda: state["dir"],
+        setCheckpointDir=lambda d: state.update(dir=d),
+    )
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d)), sparkContext=context)
+
+
+def test_durable_folder_comes_from_the_session():
+    named = session({CHECKPOINT_KEY: "hdfs://shared/x/"}, None, "spark://host")
+    assert durable_root(named) == "hdfs://shared/x"
+    assert durable_root(session({}, "hdfs://set/y", "spark://host")) == "hdfs://set/y"
+    with pytest.raises(ValueError):
+        durable_root(session({}, None, "spark://host"))
+    local = session({}, None, "local[4]")
+    assert durable_root(local) == durable_root(local)
+
+
+def test_durable_tables_are_files(spark):
+    copy = durable(spark.range(3), "x")
+    assert copy.count() == 3
+    assert "FileScan parquet" in plan(copy)
