@@ -147,3 +147,18 @@ def term_runs(tokens: Column | str) -> Column:
             run_starts(ordered), lambda starts: run_lengths(ordered, starts)
         ),
     )
+
+
+def marked_tokens(tokens: Column | str) -> Column:
+    """Tokens of one document as ``array<struct<token, first>>``; ``first`` is 1 at
+    one occurrence of each distinct token and 0 at its repeats."""
+    return let(
+        F.sort_array(_col(tokens)),
+        lambda ordered: F.transform(
+            ordered,
+            lambda w, i: F.struct(
+                w.alias("token"),
+                F.when((i > 0) & (F.get(ordered, i - 1) == w), 0).otherwise(1).alias("first"),
+            ),
+        ),
+    )

@@ -17,11 +17,18 @@ def in_period(
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
-    return corpus.agg(
-        F.count("*").alias("documents"),
+    """Counts of filings, companies, years and words.
+
+    Grouped by company and year first, so the distinct counts see few rows.
+    """
+    groups = corpus.groupBy("ticker", "year").agg(
+        F.count("*").alias("n"), F.sum("word_count").alias("w")
+    )
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("documents"),
         F.count_distinct("ticker").alias("companies"),
         F.count_distinct("year").alias("years"),
-        F.sum("word_count").alias("words"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("words"),
     )
 
 

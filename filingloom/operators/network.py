@@ -44,7 +44,7 @@ def similarity_edges(
     spans = (
         unit.select(F.posexplode("u").alias("dim", "x"))
         .groupBy("dim")
-        .agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        .agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
         .collect()
     )
     size = len(spans)
@@ -55,7 +55,11 @@ def similarity_edges(
         F.floor((F.get("u", F.lit(d)) - F.lit(low)) / reach).cast("long") for d, low in dims
     ]
     placed = unit.select("ticker", "u", F.array(*home).cast("array<bigint>").alias("cell"))
-    left, right = _blocked(placed, len(dims), cell_limit)
+    around = placed.withColumn("cell", F.explode(_neighbours(F.col("cell"), len(dims))))
+    if max((r.n for r in spans), default=0) > cell_limit:
+        left, right = _blocked(placed, around, len(dims), cell_limit)
+    else:
+        left, right = (side.withColumn("block", F.lit(0)) for side in (placed, around))
     cosine = sum(
         (F.get("a.u", F.lit(i)) * F.get("b.u", F.lit(i)) for i in range(1, size)),
         F.get("a.u", F.lit(0)) * F.get("b.u", F.lit(0)),
@@ -91,14 +95,15 @@ def _neighbours(cell: Column, n_dims: int) -> Column:
     )
 
 
-def _blocked(placed: DataFrame, n_dims: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
+def _blocked(
+    placed: DataFrame, around: DataFrame, n_dims: int, cell_limit: int
+) -> tuple[DataFrame, DataFrame]:
     """Left side in its own cell, right side in all neighbouring ones, both with
     the block of the cell in which they meet.
 
     A cell with many companies gets a grid of blocks: left rows belong to one row
     of it, right rows to one column, and each pair meets in one block.
     """
-    around = placed.withColumn("cell", F.explode(_neighbours(F.col("cell"), n_dims)))
     counts = placed.groupBy("cell").agg(F.count("*").alias("n_left"))
     visits = counts.select(
         F.explode(_neighbours(F.col("cell"), n_dims)).alias("cell"), "n_left"
@@ -142,7 +147,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         .select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
         .distinct()
     )
-    links = durable(links, "links")
+    links = durable(_small_star(_large_star(links)), "links")
     while not _is_star(links):
         links = durable(_small_star(_large_star(links)), "links")
     return vertices.join(links.withColumnsRenamed({"hi": "ticker", "lo": "root"}), "ticker", "left").select(
@@ -175,9 +180,16 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def _is_star(links: DataFrame) -> bool:
     """True when every vertex hangs on one root and no root hangs on another vertex."""
-    twice = links.groupBy("hi").count().where("count > 1")
-    roots = links.select(F.col("lo").alias("hi"))
-    return twice.isEmpty() and links.join(roots, "hi", "left_semi").isEmpty()
+    ends = links.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("hi").alias("v"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+                F.struct(F.col("lo").alias("v"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+            )
+        )
+    )
+    roles = ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return roles.where("hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty()
 
 
 def peer_groups(components: DataFrame) -> DataFrame:

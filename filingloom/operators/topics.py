@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,9 +15,8 @@ from filingloom.functions import vectors as V
 from filingloom.operators.coherence import coherence
 from filingloom.operators.vocabulary import (
     VOCABULARY_LIMIT,
-    bag_vectors,
+    bag_counter,
     build_vocabulary,
-    vocabulary_words,
 )
 from filingloom.runtime import broadcast_if_small, durable
 from filingloom.schemas import SCORES, TOPIC_TERMS
@@ -28,7 +28,9 @@ def document_prior(k: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def prepare_bags(tokens: DataFrame, words: list[str], partitions: int | None = None) -> DataFrame:
+def prepare_bags(
+    tokens: DataFrame, counter: CountVectorizerModel, partitions: int | None = None
+) -> DataFrame:
     """Count vectors in one fixed layout and order: with them a seeded fit repeats.
 
     By default as many partitions as the token table has splits, and at least one
@@ -36,13 +38,15 @@ def prepare_bags(tokens: DataFrame, words: list[str], partitions: int | None = N
     """
     cores = tokens.sparkSession.sparkContext.defaultParallelism
     n = partitions or max(cores, tokens.rdd.getNumPartitions())
-    bags = bag_vectors(tokens, words).select("doc_id", "ticker", "year", "n_tokens", "features")
+    bags = counter.transform(tokens).select("doc_id", "ticker", "year", "n_tokens", "features")
     return durable(bags.repartition(n, "doc_id").sortWithinPartitions("doc_id"), "bags")
 
 
 def fit_lda(bags: DataFrame, k: int, passes: int = 15, seed: int = 42) -> LDAModel:
-    """Online variational fit that sees the whole corpus in each pass."""
-    return LDA(
+    """Online variational fit. Each pass draws as many documents as the corpus has,
+    so every pass costs one full read; the vectors are kept in memory meanwhile."""
+    features = bags if bags.is_cached else bags.select("features").persist()
+    model = LDA(
         k=k,
         maxIter=passes,
         seed=seed,
@@ -53,7 +57,10 @@ def fit_lda(bags: DataFrame, k: int, passes: int = 15, seed: int = 42) -> LDAMod
         docConcentration=document_prior(k),
         topicConcentration=1.0 / k,
         optimizeDocConcentration=False,
-    ).fit(bags)
+    ).fit(features)
+    if features is not bags:
+        features.unpersist()
+    return model
 
 
 def topic_terms(model: LDAModel, words: list[str], n: int = 10) -> DataFrame:
@@ -68,15 +75,15 @@ def topic_terms(model: LDAModel, words: list[str], n: int = 10) -> DataFrame:
     return spark.createDataFrame(rows, TOPIC_TERMS)
 
 
-def topic_weights(model: LDAModel, vocabulary: DataFrame) -> DataFrame:
+def topic_weights(model: LDAModel, words: list[str]) -> DataFrame:
     """``(topic, term, weight)`` for the whole vocabulary (at most its row limit per topic)."""
-    size = model.vocabSize()
-    flat = model.describeTopics(size).select(
+    spark = SparkSession.active()
+    flat = model.describeTopics(len(words)).select(
         "topic", F.inline(F.arrays_zip("termIndices", "termWeights")).alias("id", "weight")
     )
-    ids = broadcast_if_small(vocabulary.select("id", "token"), VOCABULARY_LIMIT)
-    return flat.join(ids, "id").select(
-        "topic", F.col("token").alias("term"), "weight"
+    terms = spark.createDataFrame(list(enumerate(words)), "id int, term string")
+    return flat.join(broadcast_if_small(terms, VOCABULARY_LIMIT), "id").select(
+        "topic", "term", "weight"
     )
 
 
@@ -181,10 +188,11 @@ def search_topics(
     ``tokens`` is read once per K for the coherence, so hand over a stored table.
     """
     vocabulary = build_vocabulary(tokens, min_df, max_share)
-    words = vocabulary_words(vocabulary)
-    if not words:
+    if vocabulary.isEmpty():
         raise ValueError("no token passes the document-frequency bounds")
-    bags = prepare_bags(tokens, words)
+    counter = bag_counter(vocabulary)
+    words = counter.vocabulary
+    bags = prepare_bags(tokens, counter)
     features = bags.select("features").persist()
     models, rows = {}, []
     for k in range(min_topics, max_topics + 1):

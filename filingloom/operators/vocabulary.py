@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +22,9 @@ def term_counts(tokens: DataFrame) -> DataFrame:
 def frequencies(tokens: DataFrame) -> DataFrame:
     """``(token, df, tf)`` over the corpus: one shuffle, combined map-side."""
     return (
-        term_counts(tokens)
+        tokens.select(F.inline(X.marked_tokens("tokens")))
         .groupBy("token")
-        .agg(F.count("*").alias("df"), F.sum("cnt").alias("tf"))
+        .agg(F.sum("first").alias("df"), F.count("*").alias("tf"))
     )
 
 
@@ -74,15 +74,15 @@ def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return term_counts(tokens).join(ids, "token").select("doc_id", "token", "id", "cnt")
 
 
-def bag_vectors(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """Token table with a sparse count vector ``features`` in vocabulary order."""
-    counter = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
-    return counter.transform(tokens)
+def bag_counter(vocabulary: DataFrame) -> CountVectorizerModel:
+    """Turns ``tokens`` into sparse counts ``features`` over the given vocabulary.
 
-
-def vocabulary_words(vocabulary: DataFrame) -> list[str]:
-    """The words in id order; bounded by the vocabulary's row limit."""
-    return [row.token for row in vocabulary.select("id", "token").orderBy("id").collect()]
+    The terms stay in the JVM; their order is the model's ``vocabulary``.
+    """
+    counter = CountVectorizer(
+        inputCol="tokens", outputCol="features", vocabSize=max(vocabulary.count(), 1)
+    )
+    return counter.fit(vocabulary.select(F.array("token").alias("tokens")))
 
 
 def document_lengths(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:

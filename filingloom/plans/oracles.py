@@ -308,11 +308,16 @@ SELECT src, dst, round(weight, 6) AS weight FROM sims WHERE weight > 0.75""",
     "similarity_edges": f"""WITH {NET}
 SELECT src, dst, round(weight, 6) AS weight, round(weight * 4, 6) AS width FROM sims WHERE weight > 0.97""",
     "company_components": f"WITH RECURSIVE {COMPONENTS} SELECT ticker, component FROM comp",
-    "peer_groups": f"""WITH RECURSIVE {COMPONENTS}, sized AS (
+    "companies": f"WITH {NET} SELECT DISTINCT ticker FROM net",
+    "peer_components": f"""WITH RECURSIVE {COMPONENTS}, sized AS (
     SELECT ticker, component, count(*) OVER (PARTITION BY component) AS size FROM comp)
 SELECT component, size, ticker FROM sized WHERE size > 1""",
     "topic_drift": f"WITH {_drift()} SELECT ticker, round(jsd, 4) AS jsd FROM drift",
     "topic_drift_bits": f"WITH {_drift('mean', '2')} SELECT ticker, round(jsd, 6) AS jsd FROM drift",
+    "drift_top10": f"""WITH {_drift().replace("'T' || (vec_id % 10)", "'T' || (vec_id % 40)").replace(
+        "(vec_id // 10)", "(vec_id // 40)")},
+best AS (SELECT * FROM drift ORDER BY jsd DESC, ticker LIMIT 10)
+SELECT ticker, round(jsd, 4) AS jsd FROM best""",
     "drift_top5": f"""WITH {_drift()}, best AS (SELECT * FROM drift ORDER BY jsd DESC, ticker LIMIT 5)
 SELECT ticker, round(jsd, 4) AS jsd FROM best""",
     "drift_flags": f"""WITH {_drift()}

@@ -80,7 +80,7 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
     )
     k = search.best_k
     terms = TP.topic_terms(search.model, search.words, 10)
-    weights = TP.topic_weights(search.model, search.vocabulary)
+    weights = TP.topic_weights(search.model, search.words)
     doc_topics = durable(TP.document_topics(search.model, search.bags), "doc-topics")
     lengths = VO.document_lengths(tokens, search.vocabulary)
     topic_labels = _labels(spark, "topic", cfg.topic_labels)

@@ -126,22 +126,28 @@ def cluster_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CLUSTER_LABELS.items()), "cluster int, label string")
 
 
-def language_topics(spark: SparkSession, sf: str, toks: DataFrame) -> DataFrame:
+def language_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored tokens with the language of their document."""
+    toks = T.tokenize(documents(spark, sf).drop("source"), T.stop_words(spark))
+    return durable(toks, "language-tokens")
+
+
+def language_topics(toks: DataFrame) -> DataFrame:
     """``(topic, term, weight)``: each language as a topic, weights are term shares."""
-    langs = _table(spark, sf, "documents").select("doc_id", "lang")
     topic = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(
         F.col("lang") == "es", 2
     ).otherwise(3)
     counts = (
-        toks.join(langs, "doc_id")
-        .select(topic.alias("topic"), F.inline(X.term_runs("tokens")))
-        .groupBy("topic", F.col("token").alias("term"))
-        .agg(F.sum("cnt").alias("n"))
+        toks.select(topic.alias("topic"), F.explode("tokens").alias("term"))
+        .groupBy("topic", "term")
+        .agg(F.count("*").alias("n"))
     )
     counts = durable(counts, "language-topics")
     # four topics by construction
     sums = F.broadcast(counts.groupBy("topic").agg(F.sum("n").alias("all")))
-    return counts.join(sums, "topic").select("topic", "term", (F.col("n") / F.col("all")).alias("weight"))
+    return counts.join(sums, "topic").select(
+        "topic", "term", (F.col("n") / F.col("all")).alias("weight")
+    )
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -281,24 +287,24 @@ def document_lengths(spark, sf):
 
 
 def topic_keywords(spark, sf):
-    top = TP.rank_terms(language_topics(spark, sf, stored_tokens(spark, sf)), 10)
+    top = TP.rank_terms(language_topics(language_tokens(spark, sf)), 10)
     return _big(TP.topic_keywords(top), "topic")
 
 
 def topic_terms_ranked(spark, sf):
-    top = TP.rank_terms(language_topics(spark, sf, stored_tokens(spark, sf)), 30)
+    top = TP.rank_terms(language_topics(language_tokens(spark, sf)), 30)
     return _big(top.withColumn("weight", F.round("weight", 9)), "topic", "rank")
 
 
 def term_relevance(spark, sf):
-    toks = stored_tokens(spark, sf)
+    toks = language_tokens(spark, sf)
     freq = durable(VO.frequencies(toks), "frequencies")
-    out = TP.term_relevance(language_topics(spark, sf, toks), freq)
+    out = TP.term_relevance(language_topics(toks), freq)
     return _big(out.withColumn("relevance", F.round("relevance", 6)), "topic", "rank")
 
 
 def topic_distance(spark, sf):
-    weights = language_topics(spark, sf, stored_tokens(spark, sf))
+    weights = language_topics(language_tokens(spark, sf))
     out = TP.topic_distance(weights, [0, 1, 2, 3])
     return _big(out.withColumn("distance", F.round("distance", 6)), "topic_a", "topic_b")
 
@@ -312,8 +318,8 @@ def topic_prevalence(spark, sf):
 
 
 def _language_coherence(spark, sf, measure):
-    toks = stored_tokens(spark, sf)
-    top = TP.rank_terms(language_topics(spark, sf, toks), 20)
+    toks = language_tokens(spark, sf)
+    top = TP.rank_terms(language_topics(toks), 20)
     out = CH.coherence(toks, top, measure=measure)
     return _big(out.withColumn("coherence", F.round("coherence", 6)), "topic")
 
@@ -403,11 +409,15 @@ def _components(spark, sf):
     )
 
 
+def companies(spark, sf):
+    return N.vertices(profiles_40(spark, sf))
+
+
 def company_components(spark, sf):
     return _components(spark, sf)
 
 
-def peer_groups(spark, sf):
+def peer_components(spark, sf):
     return N.peer_groups(_components(spark, sf))
 
 
@@ -423,6 +433,16 @@ def topic_drift_bits(spark, sf):
     return drift.select("ticker", F.round("jsd", 6).alias("jsd"))
 
 
+def drift_top10(spark, sf):
+    """Forty companies, so that ten are a selection."""
+    spread_out = theta(spark, sf).withColumn(
+        "ticker", F.concat(F.lit("T"), (F.col("doc_id") % 40).cast("string"))
+    )
+    drift = D.topic_drift(D.yearly_profiles(spread_out.withColumn(
+        "year", (F.lit(FIRST) + F.floor(F.col("doc_id") / 40) % 2).cast("int")), FIRST, SECOND))
+    return D.drift_ranking(drift, 10)
+
+
 def drift_top5(spark, sf):
     return D.drift_ranking(D.topic_drift(D.yearly_profiles(theta(spark, sf), FIRST, SECOND)), 5)
 
@@ -494,27 +514,28 @@ def cluster_choice(spark, sf):
 # --- fits: no SQL counterpart ----------------------------------------------
 
 
-def topic_terms(spark, sf):
+def _five_topics(spark, sf):
+    """A fit with five topics on all documents: its model, words and bags."""
     toks = stored_tokens(spark, sf)
-    voc = VO.build_vocabulary(toks)
-    words = VO.vocabulary_words(voc)
-    model = TP.fit_lda(TP.prepare_bags(toks, words).select("features"), 5)
+    counter = VO.bag_counter(VO.build_vocabulary(toks))
+    bags = TP.prepare_bags(toks, counter)
+    return TP.fit_lda(bags, 5), counter.vocabulary, bags
+
+
+def topic_terms(spark, sf):
+    model, words, _ = _five_topics(spark, sf)
     return TP.topic_terms(model, words, 10)
 
 
 def doc_topics(spark, sf):
-    toks = stored_tokens(spark, sf)
-    words = VO.vocabulary_words(VO.build_vocabulary(toks))
-    bags = TP.prepare_bags(toks, words)
-    return TP.topics_long(TP.document_topics(TP.fit_lda(bags.select("features"), 5), bags))
+    model, _, bags = _five_topics(spark, sf)
+    return TP.topics_long(TP.document_topics(model, bags))
 
 
 def lda_drift(spark, sf):
     """Which companies' topic mix moved most between the two years."""
-    toks = stored_tokens(spark, sf)
-    words = VO.vocabulary_words(VO.build_vocabulary(toks))
-    bags = TP.prepare_bags(toks, words)
-    weights = TP.document_topics(TP.fit_lda(bags.select("features"), 5), bags)
+    model, _, bags = _five_topics(spark, sf)
+    weights = TP.document_topics(model, bags)
     return D.drift_ranking(D.topic_drift(D.yearly_profiles(weights, FIRST, SECOND)), 10)
 
 
@@ -540,8 +561,8 @@ def kmeans_search(spark, sf):
 
 
 def comparison_report(spark, sf):
-    toks = stored_tokens(spark, sf)
-    top = TP.rank_terms(language_topics(spark, sf, toks), 10)
+    toks = language_tokens(spark, sf)
+    top = TP.rank_terms(language_topics(toks), 10)
     paras = CO.split_paragraphs(corpus(spark, sf), sep="\n")
     vectors = E.tfidf_vectors(E.paragraph_tokens(durable(paras, "paragraphs"), T.stop_words(spark)), 64)
     vectors = durable(vectors, "vectors")
@@ -606,9 +627,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "company_similarity": company_similarity,
     "similarity_edges": similarity_edges,
     "company_components": company_components,
-    "peer_groups": peer_groups,
+    "companies": companies,
+    "peer_components": peer_components,
     "topic_drift": topic_drift,
     "topic_drift_bits": topic_drift_bits,
+    "drift_top10": drift_top10,
     "drift_top5": drift_top5,
     "drift_flags": drift_flags,
     "topic_deltas": topic_deltas,

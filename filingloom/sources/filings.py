@@ -47,11 +47,11 @@ def extract_filings(raw: DataFrame, pick: str = "first") -> DataFrame:
     A filing is dropped when its path has no 10-K folder, its header names no
     period, or its text has no Item 1A. An empty section is kept.
     """
-    parsed = raw.select(
-        "path",
-        F.regexp_extract("path", "/([^/]+)/10-K/", 1).alias("ticker"),
-        X.decode("value").alias("body"),
-    ).where("ticker <> ''")
+    ticker = F.regexp_extract("path", "/([^/]+)/10-K/", 1)
+    # exploding one element keeps the filters below from decoding each file again
+    parsed = raw.where(ticker != "").select(
+        "path", ticker.alias("ticker"), F.explode(F.array(X.decode("value"))).alias("body")
+    )
     sections = parsed.where(X.has_risk_section("body")).select(
         "path",
         "ticker",

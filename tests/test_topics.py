@@ -44,7 +44,7 @@ def test_vocabulary_limit_keeps_the_most_frequent(spark, limit):
     df = {w: sum(w in d for d in docs) for w in {w for d in docs for w in d}}
     want = sorted(df, key=lambda w: (-df[w], w))[:limit]
     got = VO.build_vocabulary(toks, 1, 1.0, limit)
-    assert VO.vocabulary_words(got) == want
+    assert [r.token for r in got.orderBy("id").collect()] == want
 
 
 def brute_coherence(docs, topics, window):
@@ -144,7 +144,7 @@ def test_seeded_fit_repeats(planted):
 def test_topic_views(spark, planted):
     toks, found = planted
     model = found.models[2]
-    weights = TP.topic_weights(model, found.vocabulary)
+    weights = TP.topic_weights(model, found.words)
     assert weights.groupBy("topic").agg(F.sum("weight").alias("s")).first().s == pytest.approx(1.0)
     distance = TP.topic_distance(weights, [0, 1]).first()
     assert 0.7 < distance.distance <= math.sqrt(math.log(2)) + 1e-9
