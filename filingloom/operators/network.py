@@ -155,6 +155,30 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def exposure_components(exposure: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """``(ticker, component)`` straight from the exposures.
+
+    Companies with the very same exposure are peers of each other, so one of them
+    stands for all: a large group of copies adds one vertex instead of all its pairs.
+    """
+    if threshold >= 1 - SLACK:
+        return connected_components(vertices(exposure), similarity_edges(exposure, threshold))
+    # an all-zero exposure resembles nobody, not even its copies
+    alone = F.when(V.norm("exposure") == 0, F.col("ticker"))
+    keyed = exposure.select("ticker", "exposure", alone.alias("alone"))
+    groups = keyed.groupBy("exposure", "alone").agg(F.min("ticker").alias("lead"))
+    groups = durable(groups, "exposure-groups")
+    leads = groups.select(F.col("lead").alias("ticker"), "exposure")
+    found = connected_components(leads.select("ticker"), similarity_edges(leads, threshold))
+    same = (F.col("k.exposure") == F.col("g.exposure")) & F.col("k.alone").eqNullSafe(
+        F.col("g.alone")
+    )
+    members = keyed.alias("k").join(groups.alias("g"), same).select("k.ticker", "lead")
+    return members.join(found.withColumnRenamed("ticker", "lead"), "lead").select(
+        "ticker", "component"
+    )
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
         links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,12 +127,16 @@ def lemma_table(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR_NOUNS.items() for x in pair])
     known = F.element_at(irregular, F.col("token"))
+    is_irregular = F.col("token").isin(list(IRREGULAR_NOUNS))
+    # any other token is its own lemma
+    fits = reduce(or_, [F.col("token").endswith(end) for end, _ in NOUN_ENDINGS], is_irregular)
     candidates = F.when(
-        F.col("token").isin(list(IRREGULAR_NOUNS)), F.array(F.col("token"), known)
+        is_irregular, F.array(F.col("token"), known)
     ).otherwise(_candidates(F.col("token")))
     words = lexicon.select(F.col("token").alias("lemma")).distinct()
     return (
-        tokens.select("token", F.explode(F.array_distinct(candidates)).alias("lemma"))
+        tokens.where(fits)
+        .select("token", F.explode(F.array_distinct(candidates)).alias("lemma"))
         .join(words, "lemma")
         .groupBy("token")
         .agg(F.min(F.struct(F.length("lemma").alias("size"), "lemma"))["lemma"].alias("lemma"))

@@ -103,9 +103,8 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
     sizes = C.cluster_sizes(found.assigned, found.best_k)
 
     exposure = durable(EX.company_exposure(doc_topics, k), "exposure")
-    edges = durable(N.similarity_edges(exposure, cfg.similarity_threshold), "edges")
     components = durable(
-        N.connected_components(N.vertices(exposure), edges), "components"
+        N.exposure_components(exposure, cfg.similarity_threshold), "components"
     )
     profiles = durable(
         D.yearly_profiles(doc_topics, cfg.start_year, cfg.end_year, cfg.same_year, k), "profiles"
@@ -124,7 +123,7 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         "doc_topics": TP.topics_long(doc_topics),
         "exposure": EX.with_topic_names(EX.exposure_long(exposure), topic_labels),
         "exposure_total": EX.exposure_total(exposure, k),
-        "edges": edges,
+        "edges": N.similarity_edges(exposure, cfg.similarity_threshold),
         "components": components,
         "peer_groups": N.peer_groups(components),
         "drift": D.flag_drift(drift, cfg.drift_threshold),

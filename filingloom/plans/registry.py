@@ -402,23 +402,18 @@ def similarity_edges(spark, sf):
     )
 
 
-def _components(spark, sf):
-    exposure = durable(profiles_40(spark, sf), "exposure")
-    return N.connected_components(
-        N.vertices(exposure), N.similarity_edges(exposure, 0.97)
-    )
-
-
 def companies(spark, sf):
     return N.vertices(profiles_40(spark, sf))
 
 
 def company_components(spark, sf):
-    return _components(spark, sf)
+    return N.exposure_components(durable(profiles_40(spark, sf), "exposure"), 0.97)
 
 
 def peer_components(spark, sf):
-    return N.peer_groups(_components(spark, sf))
+    exposure = durable(profiles_40(spark, sf), "exposure")
+    edges = N.similarity_edges(exposure, 0.97)
+    return N.peer_groups(N.connected_components(N.vertices(exposure), edges))
 
 
 def topic_drift(spark, sf):

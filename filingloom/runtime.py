@@ -55,7 +55,8 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     pruning, and gives later joins real sizes to plan with.
     """
     spark = df.sparkSession
-    path = f"{durable_root(spark)}/filingloom/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{durable_root(spark)}/filingloom/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

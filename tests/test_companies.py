@@ -103,6 +103,19 @@ def test_higher_threshold_never_merges_groups(spark):
     assert counts == sorted(counts)
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.95, 1.0])
+def test_components_from_exposures_with_copies_and_zeros(spark, threshold):
+    rng = np.random.default_rng(4)
+    vectors = rng.dirichlet([0.4] * 5, 40)
+    vectors[10:25] = vectors[3]
+    vectors[30:33] = 0
+    table = exposure_table(spark, vectors)
+    got = {r.ticker: r.component for r in N.exposure_components(table, threshold).collect()}
+    plain = N.connected_components(N.vertices(table), N.similarity_edges(table, threshold))
+    assert got == {r.ticker: r.component for r in plain.collect()}
+    assert {got[f"c{i:03d}"] for i in (30, 31, 32)} == {"c030", "c031", "c032"}
+
+
 def doc_topics(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, ticker string, year int, theta array<double>")
 
