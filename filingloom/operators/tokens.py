@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -159,24 +160,39 @@ def apply_lemmas(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     return _lemmas_by_join(tokens, lemmas)
 
 
-def _lemmas_in_row(tokens: DataFrame, lemmas: DataFrame, size: int) -> DataFrame:
-    slots = 2 * size
-    slot_of = F.pmod(F.xxhash64("token"), F.lit(slots)).cast("int")
-    table = [[] for _ in range(slots)]
-    for row in lemmas.select(slot_of.alias("slot"), "token", "lemma").collect():
-        table[row.slot].append({"token": row.token, "lemma": row.lemma})
-    # constant text, so the optimizer parses it once into an array value
+def _constant_lookup(
+    table: DataFrame, columns: list[str], size: int
+) -> Callable[[Column], Column]:
+    """Hash lookup in a small table as an expression: token to its row, or null.
+
+    The table becomes constant text, which the optimizer parses once into an array
+    of slots; each lookup reads one slot inside the row, without a join.
+    """
+    slots = 2 * max(size, 1)
+
+    def slot_of(token: Column) -> Column:
+        return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+
+    filled = [[] for _ in range(slots)]
+    for row in table.select(slot_of(F.col("token")).alias("slot"), *columns).collect():
+        filled[row.slot].append({c: row[c] for c in columns})
+    fields = ", ".join(f"{c}: string" for c in columns)
     lookup = F.from_json(
-        F.lit(json.dumps(table, separators=(",", ":"))),
-        "array<array<struct<token: string, lemma: string>>>",
+        F.lit(json.dumps(filled, separators=(",", ":"))), f"array<array<struct<{fields}>>>"
     )
 
-    def lemma_of(token: Column) -> Column:
-        entries = F.get(lookup, F.pmod(F.xxhash64(token), F.lit(slots)).cast("int"))
-        hit = F.get(F.filter(entries, lambda e: e["token"] == token), F.lit(0))
-        return F.coalesce(hit["lemma"], token)
+    def find(token: Column) -> Column:
+        entries = F.get(lookup, slot_of(token))
+        return F.get(F.filter(entries, lambda e: e["token"] == token), F.lit(0))
 
-    return tokens.withColumn("tokens", F.transform("tokens", lemma_of))
+    return find
+
+
+def _lemmas_in_row(tokens: DataFrame, lemmas: DataFrame, size: int) -> DataFrame:
+    find = _constant_lookup(lemmas, ["token", "lemma"], size)
+    return tokens.withColumn(
+        "tokens", F.transform("tokens", lambda t: F.coalesce(find(t)["lemma"], t))
+    )
 
 
 def _lemmas_by_join(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
@@ -198,13 +214,13 @@ def _lemmas_by_join(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
 def remove_stop_table(tokens: DataFrame, stop: DataFrame) -> DataFrame:
     """Drop tokens named in a table ``(token)``; repeats of kept tokens stay.
 
-    A list of checked size becomes a hash set in the filter, a longer one an anti join.
+    A list of checked size is looked up inside each row, a longer one is an anti join.
     """
     stop = durable(stop.select("token").distinct(), "stop-words")
-    head = stop.limit(LOOKUP_LIMIT + 1).count()
-    if head <= LOOKUP_LIMIT:
-        listed = [row.token for row in stop.collect()]
-        kept = tokens.withColumn("tokens", X.keep_tokens("tokens", listed, 0))
+    size = stop.count()
+    if size <= LOOKUP_LIMIT:
+        find = _constant_lookup(stop, ["token"], size)
+        kept = tokens.withColumn("tokens", F.filter("tokens", lambda t: find(t).isNull()))
     else:
         kept = _stop_by_join(tokens, stop)
     return kept.withColumn("n_tokens", F.size("tokens"))

@@ -15,7 +15,7 @@ from filingloom.operators import tokens as T
 from filingloom.operators import vocabulary as VO
 from filingloom.plans import registry as R
 from filingloom.runtime import CHECKPOINT_KEY, broadcast_if_small, durable, durable_root
-from filingloom.sources import from_table
+from filingloom.sources import from_table, write_results
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +47,13 @@ def test_filters_and_columns_reach_the_scan(spark, corpus):
     assert "lang" not in text and "text" not in text.split("ReadSchema")[1]
 
 
+def test_a_stored_corpus_is_pruned_by_year(spark, corpus, tmp_path):
+    write_results({"corpus": corpus}, str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/corpus")
+    text = plan(CO.in_period(stored, 2024, 2025))
+    assert "PartitionFilters: [isnotnull(year" in text and "year#" in text
+
+
 def test_tokenizing_is_one_narrow_stage(spark, corpus):
     toks = T.tokenize(corpus, T.stop_words(spark))
     text = plan(toks)
@@ -59,6 +66,8 @@ def test_lemma_lookup_does_not_shuffle_tokens(spark, corpus):
     toks = durable(T.tokenize(corpus, []), "tokens")
     table = spark.createDataFrame([("ther", "the")], "token string, lemma string")
     assert "Exchange" not in plan(T.apply_lemmas(toks, table))
+    assert "Exchange" not in plan(T.remove_stop_table(toks, table))
+    assert "from_json" not in plan(T.apply_lemmas(toks, table))  # parsed once, as a constant
 
 
 def test_one_shuffle_each(spark, corpus, theta):
