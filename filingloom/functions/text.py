@@ -12,6 +12,13 @@ from filingloom.functions.vectors import let
 # Every Unicode space under (?U); the four separators complete Java's definition.
 SPACE = r"\s\x1c-\x1f"
 
+# The same characters one by one.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # The filing layout and markup that results depend on.
 PERIOD = rf"(?U)CONFORMED PERIOD OF REPORT:[{SPACE}]+(\d{{4}})"
 SECTION_START = rf"(?iU)Item[{SPACE}]+1A\.?[{SPACE}]+Risk[{SPACE}]+Factors"
@@ -39,15 +46,13 @@ def decode(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Trim all white space. The look-behind keeps long inner runs linear."""
-    return F.regexp_replace(
-        _col(c), rf"(?U)\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", ""
-    )
+    """Trim all white space; only the ends of the text are looked at."""
+    return F.trim(_col(c), F.lit(SPACES))
 
 
 def squeeze(c: Column | str) -> Column:
     """Runs of blanks become one blank; the ends are trimmed."""
-    return strip(F.regexp_replace(_col(c), " +", " "))
+    return strip(F.regexp_replace(_col(c), " {2,}", " "))
 
 
 def clean_markup(c: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +75,13 @@ def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def bag_counter(vocabulary: DataFrame) -> CountVectorizerModel:
-    """Turns ``tokens`` into sparse counts ``features`` over the given vocabulary.
+    """Turns ``tokens`` into sparse counts ``features`` in the order of the ids.
 
-    The terms stay in the JVM; their order is the model's ``vocabulary``.
+    A fit depends on that order, so it is given and not left to a term count. The
+    vocabulary's row limit bounds what passes through the driver.
     """
-    counter = CountVectorizer(
-        inputCol="tokens", outputCol="features", vocabSize=max(vocabulary.count(), 1)
-    )
-    return counter.fit(vocabulary.select(F.array("token").alias("tokens")))
+    words = [row.token for row in vocabulary.select("id", "token").orderBy("id").collect()]
+    return CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
 
 
 def document_lengths(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
