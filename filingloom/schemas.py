@@ -19,15 +19,6 @@ CORPUS = T.StructType(
     ]
 )
 
-DOC_TOPICS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("ticker", T.StringType()),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("theta", T.ArrayType(T.DoubleType())),
-    ]
-)
-
 TOPIC_TERMS = T.StructType(
     [
         T.StructField("topic", T.IntegerType()),
@@ -41,14 +32,6 @@ SCORES = T.StructType(
     [T.StructField("k", T.IntegerType()), T.StructField("score", T.DoubleType())]
 )
 
-EDGES = T.StructType(
-    [
-        T.StructField("src", T.StringType()),
-        T.StructField("dst", T.StringType()),
-        T.StructField("weight", T.DoubleType()),
-    ]
-)
-
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
