@@ -30,6 +30,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+# Stands for a null document id; it orders before every other id.
+NULL_ID = -(2**63) + 1
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -72,7 +76,7 @@ class Chunk:
 
 
 def chunks(batches, id_name: str, text_name: str, lower: bool = False) -> Iterator[Chunk]:
-    """Hash the words of every text; null ids become -1 - they take part as such."""
+    """Hash the words of every text. Null texts have no words; null ids become ``NULL_ID``."""
     cache = WordHashes()
     ids, parts, size = [], [], 0
     for batch in batches:
@@ -81,7 +85,7 @@ def chunks(batches, id_name: str, text_name: str, lower: bool = False) -> Iterat
         for key, text in zip(keys, texts, strict=True):
             raw = text.as_py() or b""
             hashed = cache.of((raw.lower() if lower else raw).split())
-            ids.append(-1 if key.as_py() is None else key.as_py())
+            ids.append(NULL_ID if key.as_py() is None else key.as_py())
             parts.append(hashed)
             size += len(hashed)
             if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS // 16:
@@ -155,6 +159,19 @@ def rows_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def column(part: pa.Table, name: str, kind, rising: bool = False) -> np.ndarray:
+    """All packed values of a column, one blob after the other."""
+    found = [unpack(x, kind, rising) for x in part[name].to_pylist() if x is not None]
+    return np.concatenate(found) if found else np.empty(0, kind)
+
+
+def firsts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    if not len(sorted_values):
+        return np.empty(0, np.int64)
+    return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1])
+
+
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """One list for each length, cut from ``values`` in order."""
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

@@ -28,6 +28,39 @@ FROM words LEFT JOIN cut USING (doc_id)
 """
 )
 
+OP2 = (
+    "WITH RECURSIVE "
+    + _WORDS.format(text=r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """,
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p : p + 4], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), coded AS MATERIALIZED (
+  SELECT doc_id, hash(s) AS s FROM shingles
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM coded a JOIN coded b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n
+  HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM words
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM words w LEFT JOIN sizes USING (doc_id) JOIN least ON x = w.doc_id
+"""
+)
+
 ORACLES = {
+    "op2_ngram_jaccard_join": OP2,
     "op5_substring_dedup": OP5,
 }

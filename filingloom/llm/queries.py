@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import substring
+from filingloom.llm import jaccard, substring
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_documents(C.table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,5 +21,6 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
 }

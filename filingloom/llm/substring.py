@@ -62,7 +62,7 @@ def remove_repeats(
 
     ``kept`` holds the words that stay, joined by one space. Every row stays. Null and
     empty texts have no words and give an empty ``kept``; texts shorter than ``size``
-    words lose nothing. A null id counts as -1. Rows that share an id are one document:
+    words lose nothing. A null id counts as smaller than all others. Rows that share an id are one document:
     none makes the others' windows repeat, and equal rows get equal results; should their
     texts differ, each loses the positions found in any of them. Windows are compared by
     64-bit hashes.
@@ -71,7 +71,7 @@ def remove_repeats(
         raise ValueError("size must be at least 1")
     spans = repeated_spans(docs, size, id_col, text_col)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-1)).alias("key")
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)).alias("key")
     joined = docs.select(row, key, docs[text_col].alias("t")).join(
         spans, F.col("key") == F.col("span_doc"), "left"
     )
@@ -106,7 +106,7 @@ def _send(batches, size: int, n_buckets: int):
         keys, at = keys[order], at[order]
         docs = chunk.ids[owner[at]]
         places = at - chunk.starts[owner[at]]
-        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        first = C.firsts(keys)
         least = np.minimum.reduceat(docs, first)
         stays = docs == np.repeat(least, np.diff(first, append=len(keys)))
         rows = list(_by_doc(docs[~stays], places[~stays], n_buckets))
@@ -123,30 +123,25 @@ def _send(batches, size: int, n_buckets: int):
         yield C.rows_of(rows, SENT)
 
 
-def _column(part: pa.Table, name: str, kind, rising: bool = False) -> np.ndarray:
-    found = [C.unpack(x, kind, rising) for x in part[name].to_pylist() if x is not None]
-    return np.concatenate(found) if found else np.empty(0, kind)
-
-
 def _judge(part: pa.Table, n_buckets: int) -> pa.Table:
-    keys = _column(part, "keys", np.uint64, rising=True)
-    docs = _column(part, "docs", np.int64)
-    places = _column(part, "places", np.uint32).astype(np.int64)
+    keys = C.column(part, "keys", np.uint64, rising=True)
+    docs = C.column(part, "docs", np.int64)
+    places = C.column(part, "places", np.uint32).astype(np.int64)
     if len(keys):
         order = np.argsort(keys)
         keys, docs, places = keys[order], docs[order], places[order]
-        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        first = C.firsts(keys)
         least = np.minimum.reduceat(docs, first)
         gone = docs > np.repeat(least, np.diff(first, append=len(keys)))
         docs, places = docs[gone], places[gone]
-    docs = np.concatenate([docs, _column(part, "gone_docs", np.int64, rising=True)])
-    places = np.concatenate([places, _column(part, "gone_places", np.int64, rising=True)])
+    docs = np.concatenate([docs, C.column(part, "gone_docs", np.int64, rising=True)])
+    places = np.concatenate([places, C.column(part, "gone_places", np.int64, rising=True)])
     return pa.Table.from_pylist(list(_by_doc(docs, places, n_buckets)), schema=GONE)
 
 
 def _merge(part: pa.Table, size: int) -> pa.Table:
-    docs = _column(part, "gone_docs", np.int64, rising=True)
-    places = _column(part, "gone_places", np.int64, rising=True)
+    docs = C.column(part, "gone_docs", np.int64, rising=True)
+    places = C.column(part, "gone_places", np.int64, rising=True)
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
     apart = (np.diff(docs) != 0) | (np.diff(places) > size)
