@@ -60,7 +60,38 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN least ON x = w.doc_id
 """
 )
 
+OP7 = r"""
+WITH docs AS (
+  SELECT doc_id, source, md5('mix-0:' || doc_id::VARCHAR) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM docs GROUP BY source
+), swept AS (
+  SELECT *, (sum(source_size) OVER () - 3 * (sum(source_size) OVER w - source_size))
+    / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS level
+  FROM sources WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), final AS (
+  SELECT max(level) AS level FROM swept WHERE level * weight <= 3 * source_size
+), targets AS (
+  SELECT source, source_size, least(final.level * weight, 3.0 * source_size)::DOUBLE AS target
+  FROM swept, final
+), placed AS (
+  SELECT doc_id, size, source_size, target,
+    sum(size) OVER (PARTITION BY docs.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (rounds + CASE WHEN target - rounds * source_size > 0
+    AND before + size / 2 <= target - rounds * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""
+
 ORACLES = {
+    "op7_source_mix": OP7,
     "op2_ngram_jaccard_join": OP2,
     "op5_substring_dedup": OP5,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import jaccard, substring
+from filingloom.llm import jaccard, mixing, substring
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +20,13 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op7_source_mix": op7_source_mix,
     "op5_substring_dedup": op5_substring_dedup,
 }
