@@ -90,7 +90,20 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP3 = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, ''))::BIGINT AS n FROM pages
+), led AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS lead FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN lead = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN lead <> page_id THEN lead END AS refers_to
+FROM led
+"""
+
 ORACLES = {
+    "op3_warc": OP3,
     "op7_source_mix": OP7,
     "op2_ngram_jaccard_join": OP2,
     "op5_substring_dedup": OP5,

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import jaccard, mixing, substring
+from filingloom.llm import jaccard, mixing, substring, warc
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_documents(C.table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = C.table(spark, folder, "pages").select("page_id", "url", "html")
+    records = warc.read_records(warc.write_archives(pages), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = C.table(spark, folder, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select(
@@ -28,5 +34,6 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op7_source_mix": op7_source_mix,
+    "op3_warc": op3_warc,
     "op5_substring_dedup": op5_substring_dedup,
 }
