@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import jaccard, mixing, substring, warc
+from filingloom.llm import jaccard, mixing, packing, substring, warc
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(C.table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +36,7 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op3_warc": op3_warc,
