@@ -102,7 +102,32 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM led
 """
 
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+    AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)))
+    AND NOT list_bool_and(list_transform(e, lambda x: x = 0))
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+), counts AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON least.x = v.vec_id LEFT JOIN counts ON counts.x = v.vec_id
+"""
+
 ORACLES = {
+    "op9_embedding_near_dedup": OP9,
     "op3_warc": OP3,
     "op7_source_mix": OP7,
     "op2_ngram_jaccard_join": OP2,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import jaccard, mixing, packing, substring, warc
+from filingloom.llm import jaccard, mixing, neighbours, packing, substring, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,10 +35,15 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.link_vectors(C.table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op3_warc": op3_warc,
     "op5_substring_dedup": op5_substring_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
