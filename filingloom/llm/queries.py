@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import jaccard, mixing, neighbours, packing, substring, warc
+from filingloom.llm import jaccard, language, mixing, neighbours, packing, quality, substring, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"), 5, 0)
+    model = language.fit(docs.where(~held))
+    found = docs.select("doc_id", held.alias("held_out"), language.predict(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", "p.*")
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = C.table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,11 +47,22 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.link_vectors(C.table(spark, folder, "embeddings"))
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents").select("doc_id", "text")
+    held = language.held_out(F.col("doc_id"), 3, 1)
+    labels = C.table(spark, folder, "labels").select("doc_id", "quality")
+    model = quality.fit(docs, labels.where(~held))
+    scored = docs.select("doc_id", held.alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
     "op7_source_mix": op7_source_mix,
     "op3_warc": op3_warc,
     "op5_substring_dedup": op5_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
