@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import jaccard, language, mixing, neighbours, packing, quality, substring, warc
+from filingloom.llm import fingerprint, jaccard, language, mixing, neighbours, packing, quality, substring, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,19 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = C.table(spark, folder, "documents").select("doc_id", "text")
+    return fingerprint.fingerprints(docs).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("hashes")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_hashes")).alias("edited_fingerprint"),
+        fingerprint.jaccard(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        fingerprint.jaccard(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = C.table(spark, folder, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).select(
@@ -62,6 +75,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_source_mix": op7_source_mix,
     "op3_warc": op3_warc,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_substring_dedup": op5_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
