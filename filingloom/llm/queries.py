@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import fingerprint, jaccard, language, mixing, neighbours, packing, quality, substring, warc
+from filingloom.llm import fingerprint, html, jaccard, language, mixing, neighbours, packing, quality, substring, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = C.table(spark, folder, "pages").select("page_id", "url", "html")
+    text = html.main_text(F.col("html"))
+    found = pages.select("page_id", "url", text.alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.link_vectors(C.table(spark, folder, "embeddings"))
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
