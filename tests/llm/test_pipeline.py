@@ -1,0 +1,71 @@
+"""The pipeline's stages against brute force, and on rows that are hard to handle."""
+
+from collections import defaultdict
+
+import pytest
+from test_operators import brute_cut, brute_links, prose, table, words
+
+import corpus_pipeline as P
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = prose(1, 80)
+    near = base.split()
+    near[40] = "other"
+    out = [
+        (0, base, "en", "a", 0), (1, base, "en", "b", 0), (2, " ".join(near), "en", "a", 0), (2, " ".join(near), "en", "a", 0),
+        (3, None, None, None, None), (4, "", "en", "a", 0), (5, "12 345 !!", "en", "c", 0),
+        (6, prose(2, 40) + " " + " ".join(base.split()[:30]), "en", "b", 0), (None, prose(3, 50), None, None, None),
+        (7, " ".join(base.split()[5:60]), "en", "c", 0), (8, "short", "en", "c", 0), (9, prose(4, 7000, 4000), "de", None, 0),
+    ]
+    return out + [(20 + i, prose(50 + i, 30), "en", "abc"[i % 3], 0) for i in range(30)]
+
+
+def test_stages_in_turn(spark, rows, tmp_path):
+    docs, kept = table(spark, rows), {}
+    for name, stage in P.STAGES:
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = docs.collect()
+        if name != P.STAGES[-1][0]:
+            assert docs.columns == P.COLUMNS
+    first = [(r["doc_id"], r["text"]) for r in kept["language_id"]]
+    assert sorted(map(str, first)) == sorted(str((d, t)) for d, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    # numbers stand for null ids, before all others
+    first = [(-1 if d is None else d, t) for d, t in first]
+    groups = defaultdict(set)
+    for doc, _, group in brute_links(first):
+        groups[group].add(doc)
+    second = [(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept["near_duplicates"]]
+    assert sorted(d for d, _ in second) == sorted(groups)
+    third = {-1 if r["doc_id"] is None else r["doc_id"]: r for r in kept["repeated_passages"]}
+    for doc, n, removed, text in brute_cut(second, 13):
+        if removed == n and n:
+            assert doc not in third
+        else:
+            assert third[doc]["text"] == (text if removed else dict(second)[doc])
+            assert third[doc]["n_chars"] == len(third[doc]["text"])
+    copies = defaultdict(int)
+    for r in kept["source_mix"]:
+        copies[r["doc_id"]] += 1
+        assert words(r["text"])
+    assert max(copies.values()) <= 3
+    fills = defaultdict(int)
+    for r in kept["packed"]:
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 2048
+    assert sum(r["piece"] == 0 for r in kept["packed"]) == len(kept["source_mix"])
+
+
+def test_empty_table(spark):
+    docs = table(spark, [])
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 0
+
+
+def test_run_on_the_tables(spark):
+    out = P.run(spark, "/root/testdata/sf0.001")
+    assert out.where("piece = 0").count() > 150
+    assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES][-1] == "packed"
