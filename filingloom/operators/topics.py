@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import vectors as V
 from filingloom.operators.coherence import coherence
-from filingloom.operators.vocabulary import (
-    VOCABULARY_LIMIT,
-    bag_counter,
-    build_vocabulary,
-)
+from filingloom.operators.vocabulary import BROADCAST_TERMS, bag_counter, build_vocabulary
 from filingloom.runtime import broadcast_if_small, durable
 from filingloom.schemas import SCORES, TOPIC_TERMS
 
@@ -38,7 +34,8 @@ def prepare_bags(
     """
     cores = tokens.sparkSession.sparkContext.defaultParallelism
     n = partitions or max(cores, tokens.rdd.getNumPartitions())
-    bags = counter.transform(tokens).select("doc_id", "ticker", "year", "n_tokens", "features")
+    order = [c for c in ("source_path",) if c in tokens.columns]
+    bags = counter.transform(tokens).select("doc_id", "ticker", "year", "n_tokens", *order, "features")
     return durable(bags.repartition(n, "doc_id").sortWithinPartitions("doc_id"), "bags")
 
 
@@ -76,13 +73,13 @@ def topic_terms(model: LDAModel, words: list[str], n: int = 10) -> DataFrame:
 
 
 def topic_weights(model: LDAModel, words: list[str]) -> DataFrame:
-    """``(topic, term, weight)`` for the whole vocabulary (at most its row limit per topic)."""
+    """``(topic, term, weight)`` for the whole vocabulary."""
     spark = SparkSession.active()
     flat = model.describeTopics(len(words)).select(
         "topic", F.inline(F.arrays_zip("termIndices", "termWeights")).alias("id", "weight")
     )
     terms = spark.createDataFrame(list(enumerate(words)), "id int, term string")
-    return flat.join(broadcast_if_small(terms, VOCABULARY_LIMIT), "id").select(
+    return flat.join(broadcast_if_small(terms, BROADCAST_TERMS), "id").select(
         "topic", "term", "weight"
     )
 
@@ -120,6 +117,7 @@ def document_topics(model: LDAModel, bags: DataFrame) -> DataFrame:
         "ticker",
         "year",
         "n_tokens",
+        *[c for c in ("source_path",) if c in bags.columns],
         V.let(theta, lambda t: F.when(V.total(t) > 0, t).otherwise(prior)).alias("theta"),
     )
 
@@ -182,12 +180,13 @@ def search_topics(
     measure: str = "c_v",
     min_df: int = 3,
     max_share: float = 0.7,
+    limit: int | None = None,
 ) -> TopicSearch:
     """Fit every K in the range on the same bags and keep the most coherent.
 
     ``tokens`` is read once per K for the coherence, so hand over a stored table.
     """
-    vocabulary = build_vocabulary(tokens, min_df, max_share)
+    vocabulary = build_vocabulary(tokens, min_df, max_share, limit)
     if vocabulary.isEmpty():
         raise ValueError("no token passes the document-frequency bounds")
     counter = bag_counter(vocabulary)

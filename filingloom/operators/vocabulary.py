@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from filingloom.functions import text as X
 from filingloom.runtime import broadcast_if_small, durable
 
-VOCABULARY_LIMIT = 100_000
+# Dictionary rows that are sent to the documents rather than joined.
+BROADCAST_TERMS = 100_000
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -32,24 +33,36 @@ def build_vocabulary(
     tokens: DataFrame,
     min_df: int = 3,
     max_share: float = 0.7,
-    limit: int = VOCABULARY_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """``(token, df, tf, id)`` with neither rare nor ubiquitous tokens.
 
-    Ids follow falling document frequency, then the alphabet. The result has at
-    most ``limit`` rows and is stored.
+    Ids follow falling document frequency, then the alphabet. With ``limit`` only that many
+    of the most frequent stay. The result is stored.
     """
     documents = tokens.count()
     pruned = frequencies(tokens).where(
         (F.col("df") >= min_df) & (F.col("df") <= math.floor(max_share * documents))
     )
     pruned = durable(pruned, "frequencies")
-    top = _above_cut(pruned, limit).orderBy(F.desc("df"), "token").limit(limit)
-    order = Window.orderBy(F.desc("df"), "token")
-    numbered = top.select(
-        "token", "df", "tf", (F.row_number().over(order) - 1).cast("int").alias("id")
+    if limit is not None:
+        pruned = _above_cut(pruned, limit).orderBy(F.desc("df"), "token").limit(limit)
+    return durable(_numbered(pruned), "vocabulary")
+
+
+def _numbered(terms: DataFrame) -> DataFrame:
+    """Ids in the order of the terms: range sort, then a start for every partition."""
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = terms.repartitionByRange(parts, F.desc("df"), "token")
+    ranged = durable(ranged.withColumn("part", F.spark_partition_id()), "ranged-terms")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("part").orderBy(F.desc("df"), "token")
+    return ranged.join(F.broadcast(starts), "part").select(
+        "token", "df", "tf", (F.col("start") + F.row_number().over(order) - 1).cast("int").alias("id")
     )
-    return durable(numbered, "vocabulary")
 
 
 def _above_cut(counts: DataFrame, limit: int) -> DataFrame:
@@ -70,18 +83,28 @@ def _above_cut(counts: DataFrame, limit: int) -> DataFrame:
 
 def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(doc_id, token, id, cnt)`` for the tokens that the vocabulary holds."""
-    ids = broadcast_if_small(vocabulary.select("token", "id"), VOCABULARY_LIMIT)
+    ids = broadcast_if_small(vocabulary.select("token", "id"), BROADCAST_TERMS)
     return term_counts(tokens).join(ids, "token").select("doc_id", "token", "id", "cnt")
 
 
 def bag_counter(vocabulary: DataFrame) -> CountVectorizerModel:
     """Turns ``tokens`` into sparse counts ``features`` in the order of the ids.
 
-    A fit depends on that order, so it is given and not left to a term count. The
-    vocabulary's row limit bounds what passes through the driver.
+    A fit depends on that order, so it is given and not left to a term count. The words pass
+    through the driver, where the fitted model holds a weight per topic and word anyway; on
+    corpora with too many words for that, bound them by ``min_df`` or ``limit``.
     """
-    words = [row.token for row in vocabulary.select("id", "token").orderBy("id").collect()]
-    return CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
+    rows = vocabulary.select("id", "token").collect()
+    words = [token for _, token in sorted((r.id, r.token) for r in rows)]
+    # handed over in one call: word by word takes longer than the fit
+    jvm = vocabulary.sparkSession.sparkContext._jvm
+    array = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(words)) if words else None
+    if array is None:
+        return CountVectorizerModel.from_vocabulary([], inputCol="tokens", outputCol="features")
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", array
+    )
+    return model.setInputCol("tokens").setOutputCol("features")
 
 
 def document_lengths(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -92,7 +115,10 @@ def document_lengths(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def vocabulary_report(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Number of terms and of documents."""
-    return vocabulary.agg(F.count("*").alias("terms")).withColumn(
-        "documents", tokens.agg(F.count("*")).scalar()
+    """Number of terms, of different tokens left out, and of documents."""
+    tokens_all = tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    return vocabulary.agg(F.count("*").alias("terms")).select(
+        "terms",
+        (tokens_all.agg(F.count_distinct("token")).scalar() - F.col("terms")).alias("dropped"),
+        tokens.agg(F.count("*")).scalar().alias("documents"),
     )

@@ -44,6 +44,13 @@ def test_silhouette_matches_definition(spark):
     assert C.silhouette(table(spark, x), "para_id") is None
 
 
+def test_silhouette_scores_every_row(spark):
+    rng = np.random.default_rng(2)
+    points = table(spark, rng.normal(size=(6000, 2)), rng.integers(0, 3, 6000))
+    assert C.silhouette_points(points).count() == 6000
+    assert C.silhouette_points(points, sample_size=100).count() == 100
+
+
 def test_sample_is_exact_and_repeatable(spark):
     points = spark.range(3000).select(F.col("id").alias("para_id"), F.lit(1).alias("x"))
     first = {r.para_id for r in C.sample_points(points, "para_id", 250).collect()}
@@ -117,11 +124,12 @@ def test_builtin_vectors_are_unit_or_zero(spark):
         assert vectors.columns == ["para_id", "paragraph", "embedding"]
 
 
-def test_word_limit_sets_least_count(spark, monkeypatch):
-    toks = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c", "d"],)], "tokens array<string>")
-    assert E._min_count(toks) == 1
-    monkeypatch.setattr(E, "WORD_LIMIT", 2)
-    assert E._min_count(toks) == 2
+def test_rare_words_have_vectors_unless_asked_otherwise(spark):
+    toks = spark.createDataFrame([("x", ["a"] * 5), ("y", ["rare"])], "para_id string, tokens array<string>")
+    for least, zero in ((1, False), (2, True)):
+        rows = E.word2vec_vectors(toks, 4, partitions=1, min_count=least).collect()
+        size = {r.para_id: np.linalg.norm(r.embedding) for r in rows}
+        assert (size["y"] == 0) == zero and size["x"] == pytest.approx(1)
 
 
 def test_external_model_loads_per_task(spark):
