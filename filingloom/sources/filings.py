@@ -12,13 +12,14 @@ from filingloom.schemas import CORPUS, RAW_FILING, empty
 SUBMISSION = "full-submission.txt"
 
 
-def _corpus(df: DataFrame, doc_id: Column | str) -> DataFrame:
+def _corpus(df: DataFrame, doc_id: Column | str, *more: str) -> DataFrame:
     return df.select(
         (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"),
         "ticker",
         F.col("year").cast("int").alias("year"),
         "text",
         X.word_count("text").cast("int").alias("word_count"),
+        *more,
     )
 
 
@@ -32,7 +33,9 @@ def _whole_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty(spark, RAW_FILING)
-    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+    # the path comes percent-encoded, in which a plus sign stands for itself
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return files.select(F.url_decode(encoded).alias("path"), "value")
 
 
 def read_filings(spark: SparkSession, path: str, pick: str = "first") -> DataFrame:
@@ -42,7 +45,7 @@ def read_filings(spark: SparkSession, path: str, pick: str = "first") -> DataFra
 
 
 def extract_filings(raw: DataFrame, pick: str = "first") -> DataFrame:
-    """Corpus from raw filings ``(path, value)``.
+    """Corpus from raw filings ``(path, value)``, with ``source_path`` as its order.
 
     A filing is dropped when its path has no 10-K folder, its header names no
     period, or its text has no Item 1A. An empty section is kept.
@@ -53,12 +56,12 @@ def extract_filings(raw: DataFrame, pick: str = "first") -> DataFrame:
         "path", ticker.alias("ticker"), F.explode(F.array(X.decode("value"))).alias("body")
     )
     sections = parsed.where(X.has_risk_section("body")).select(
-        "path",
+        F.col("path").alias("source_path"),
         "ticker",
         X.report_year("body").alias("year"),
         X.clean_markup(X.strip(X.risk_section("body", pick))).alias("text"),
     )
-    return _corpus(sections.where("year IS NOT NULL"), F.xxhash64("path"))
+    return _corpus(sections.where("year IS NOT NULL"), F.xxhash64("source_path"), "source_path")
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
@@ -72,12 +75,12 @@ def flat_filings(raw: DataFrame) -> DataFrame:
     stem = F.replace(F.element_at(F.split("path", "/"), -1), F.lit(".txt"), F.lit(""))
     parts = F.split(stem, "_")
     named = raw.select(
-        "path",
+        F.col("path").alias("source_path"),
         F.get(parts, F.lit(0)).alias("ticker"),
         F.get(parts, F.lit(1)).try_cast("int").alias("year"),
         X.decode("value").alias("text"),
     )
-    return _corpus(named.where("year IS NOT NULL"), F.xxhash64("path"))
+    return _corpus(named.where("year IS NOT NULL"), F.xxhash64("source_path"), "source_path")
 
 
 def from_table(

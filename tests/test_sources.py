@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from filingloom.operators.drift import yearly_profiles
 from filingloom.schemas import CORPUS
 from filingloom.sources import extract_filings, read_filings, read_flat, write_results
 
@@ -50,7 +52,7 @@ def by_ticker(df):
 
 def test_filing_tree(spark, tree):
     df = read_filings(spark, str(tree))
-    assert df.schema.simpleString() == CORPUS.simpleString()
+    assert df.drop("source_path").schema.simpleString() == CORPUS.simpleString()
     rows = by_ticker(df)
     assert set(rows) == {"AAA", "BBB", "GGG", "HHH"}
     texts = sorted(r.text for r in rows["AAA"])
@@ -80,7 +82,7 @@ def test_missing_folder_and_empty_folder(spark, tmp_path):
     for reader in (read_filings, read_flat):
         for path in (tmp_path / "nowhere", tmp_path):
             df = reader(spark, str(path))
-            assert df.schema.simpleString() == CORPUS.simpleString()
+            assert df.drop("source_path").schema.simpleString() == CORPUS.simpleString()
             assert df.count() == 0
 
 
@@ -103,3 +105,19 @@ def test_results_replace_and_split_by_year(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{out}/t").select("x", "year").collect()] == [("b", 2024)]
     assert (tmp_path / "out" / "t" / "year=2024").exists()
     assert spark.read.parquet(f"{out}/u").count() == 2
+
+
+def test_paths_are_decoded_and_order_filings(spark, tmp_path):
+    period = "CONFORMED PERIOD OF REPORT:\t20231231\n"
+    for ticker in ("BRK B", "A+B", "C%D", "E%20F"):
+        for n, words in (("a2", "late words here now"), ("a1", "first")):
+            submission(tmp_path, f"{ticker}/10-K/{n}/full-submission.txt", period + f"Item 1A. Risk Factors {words} Item 2.")
+            later = period.replace("2023", "2024")
+            submission(tmp_path, f"{ticker}/10-K/b{n}/full-submission.txt", later + f"Item 1A. Risk Factors {words} Item 2.")
+    found = read_filings(spark, str(tmp_path))
+    assert {r.ticker for r in found.collect()} == {"BRK B", "A+B", "C%D", "E%20F"}
+    theta = F.array(F.col("word_count").cast("double"))
+    first = yearly_profiles(found.withColumn("theta", theta), 2023, 2024)
+    assert {(r.ticker, *r.before, *r.after) for r in first.collect()} == {
+        (t, 1.0, 1.0) for t in ("BRK B", "A+B", "C%D", "E%20F")
+    }
