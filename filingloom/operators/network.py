@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.functions import vectors as V
-from filingloom.runtime import broadcast_if_small, durable
+from filingloom.runtime import broadcast_if_small, durable, release
 
 # Companies of one grid cell that meet in one task; larger cells are split.
 CELL_LIMIT = 2_000
 # Split cells are broadcast only up to this many rows (a few MB).
 SPLIT_LIMIT = 100_000
 GRID_DIMS = 3
+# Below this threshold whole cells of connected companies are joined through one of them.
+CONTRACT_BELOW = 0.9
 # Slack for rounding in the grid bound; the exact test follows anyway.
 SLACK = 1e-6
 
@@ -26,7 +28,10 @@ def vertices(exposure: DataFrame) -> DataFrame:
 
 
 def similarity_edges(
-    exposure: DataFrame, threshold: float = 0.75, cell_limit: int = CELL_LIMIT
+    exposure: DataFrame,
+    threshold: float = 0.75,
+    cell_limit: int = CELL_LIMIT,
+    apart: str | None = None,
 ) -> DataFrame:
     """``(src, dst, weight, width)`` for pairs ``src < dst`` with cosine above the threshold.
 
@@ -35,10 +40,14 @@ def similarity_edges(
     every coordinate. Companies are laid on a grid of that width over the widest
     coordinates and only meet those of neighbouring cells. Cells with very many
     companies are cut into blocks on both sides, so no key is one large task.
+    With ``apart`` only pairs that differ in that column are made; its values come
+    along as ``apart_src`` and ``apart_dst``.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie in 0..1")
-    unit = exposure.select("ticker", V.unit("exposure").alias("u")).where(V.norm("u") > 0)
+    kept = F.col(apart) if apart else F.col("ticker")
+    unit = exposure.select("ticker", V.unit("exposure").alias("u"), kept.alias("apart"))
+    unit = unit.where(V.norm("u") > 0)
     unit = durable(unit, "unit-exposure")
     reach = math.sqrt(2 - 2 * threshold) + SLACK
     spans = (
@@ -53,13 +62,13 @@ def similarity_edges(
 
     home = [
         F.floor((F.get("u", F.lit(d)) - F.lit(low)) / reach).cast("long") for d, low in dims
-    ]
-    placed = unit.select("ticker", "u", F.array(*home).cast("array<bigint>").alias("cell"))
+    ] or [_one_block().cast("long")]
+    placed = unit.select("ticker", "u", "apart", F.array(*home).cast("array<bigint>").alias("cell"))
     around = placed.withColumn("cell", F.explode(_neighbours(F.col("cell"), len(dims))))
     if max((r.n for r in spans), default=0) > cell_limit:
         left, right = _blocked(placed, around, len(dims), cell_limit)
     else:
-        left, right = (side.withColumn("block", F.lit(0)) for side in (placed, around))
+        left, right = (side.withColumn("block", _one_block()) for side in (placed, around))
     cosine = sum(
         (F.get("a.u", F.lit(i)) * F.get("b.u", F.lit(i)) for i in range(1, size)),
         F.get("a.u", F.lit(0)) * F.get("b.u", F.lit(0)),
@@ -68,8 +77,10 @@ def similarity_edges(
         (F.col("a.cell") == F.col("b.cell"))
         & (F.col("a.block") == F.col("b.block"))
         & (F.col("a.ticker") < F.col("b.ticker"))
+        & (F.col("a.apart") != F.col("b.apart"))
         & (cosine > threshold)
     )
+    ends = [F.col("a.apart").alias("apart_src"), F.col("b.apart").alias("apart_dst")]
     return (
         left.alias("a")
         .join(right.alias("b"), meet)
@@ -77,13 +88,22 @@ def similarity_edges(
             F.col("a.ticker").alias("src"),
             F.col("b.ticker").alias("dst"),
             cosine.alias("weight"),
+            (cosine * 4).alias("width"),
+            *(ends if apart else []),
         )
-        .withColumn("width", F.col("weight") * 4)
     )
 
 
+def _one_block() -> Column:
+    """Number 0 as a value of the row, for all companies in one cell or block. With a constant
+    a low threshold would leave no key to join on."""
+    return F.pmod(F.size("u"), F.lit(1))
+
+
 def _neighbours(cell: Column, n_dims: int) -> Column:
     """The cell and those one step away in any of its coordinates."""
+    if not n_dims:
+        return F.array(cell)
     steps = itertools.product((-1, 0, 1), repeat=n_dims)
     return F.array(
         *[
@@ -116,7 +136,7 @@ def _blocked(
     )
     splits = durable(splits.where("rows > 1 OR cols > 1"), "cell-splits")
     if splits.isEmpty():
-        return placed.withColumn("block", F.lit(0)), around.withColumn("block", F.lit(0))
+        return placed.withColumn("block", _one_block()), around.withColumn("block", _one_block())
     splits = broadcast_if_small(splits, SPLIT_LIMIT)
 
     def cut(side: DataFrame, own: str, other: str, number) -> DataFrame:
@@ -125,7 +145,7 @@ def _blocked(
         return (
             joined.withColumn("mine", mine)
             .withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select("ticker", "u", "cell", number.alias("block"))
+            .select("ticker", "u", "apart", "cell", number.alias("block"))
         )
 
     cols = F.col("cols")
@@ -149,7 +169,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
     links = durable(_small_star(_large_star(links)), "links")
     while not _is_star(links):
-        links = durable(_small_star(_large_star(links)), "links")
+        before, links = links, durable(_small_star(_large_star(links)), "links")
+        release(before)
     return vertices.join(links.withColumnsRenamed({"hi": "ticker", "lo": "root"}), "ticker", "left").select(
         "ticker", F.coalesce("root", "ticker").alias("component")
     )
@@ -158,24 +179,49 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def exposure_components(exposure: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``(ticker, component)`` straight from the exposures.
 
-    Companies with the very same exposure are peers of each other, so one of them
-    stands for all: a large group of copies adds one vertex instead of all its pairs.
+    Companies with the very same exposure are peers of each other, so one of them stands for
+    all: a large group of copies adds one vertex instead of all its pairs. At low thresholds
+    the same holds for all companies of a cell whose diagonal is as long as the threshold
+    allows. Cells are joined through their leads first; then companies whose components still
+    differ are compared, so the pairs inside a component are never made.
     """
     if threshold >= 1 - SLACK:
         return connected_components(vertices(exposure), similarity_edges(exposure, threshold))
     # an all-zero exposure resembles nobody, not even its copies
     alone = F.when(V.norm("exposure") == 0, F.col("ticker"))
     keyed = exposure.select("ticker", "exposure", alone.alias("alone"))
-    groups = keyed.groupBy("exposure", "alone").agg(F.min("ticker").alias("lead"))
+    wide = threshold < CONTRACT_BELOW
+    if wide:
+        side = F.lit(math.sqrt(2 - 2 * threshold) * (1 - SLACK)) / F.sqrt(F.size("exposure"))
+        cell = F.transform(V.unit("exposure"), lambda x: F.floor(x / side))
+        keyed = keyed.withColumn("cell", cell)
+    else:
+        keyed = keyed.withColumn("cell", F.col("exposure"))
+    keyed = durable(keyed, "exposure-cells")
+    groups = keyed.groupBy("cell", "alone").agg(
+        F.min("ticker").alias("lead"), F.min_by("exposure", "ticker").alias("exposure")
+    )
     groups = durable(groups, "exposure-groups")
     leads = groups.select(F.col("lead").alias("ticker"), "exposure")
     found = connected_components(leads.select("ticker"), similarity_edges(leads, threshold))
-    same = (F.col("k.exposure") == F.col("g.exposure")) & F.col("k.alone").eqNullSafe(
-        F.col("g.alone")
+    same = (F.col("k.cell") == F.col("g.cell")) & F.col("k.alone").eqNullSafe(F.col("g.alone"))
+    members = keyed.alias("k").join(groups.alias("g"), same).select("k.ticker", "k.exposure", "lead")
+    named = members.join(found.withColumnRenamed("ticker", "lead"), "lead").select(
+        "ticker", "exposure", "component"
     )
-    members = keyed.alias("k").join(groups.alias("g"), same).select("k.ticker", "lead")
-    return members.join(found.withColumnRenamed("ticker", "lead"), "lead").select(
-        "ticker", "component"
+    if not wide:
+        return named.select("ticker", "component")
+    named = durable(named, "lead-components")
+    roots = named.select(F.col("component").alias("ticker")).distinct()
+    if roots.limit(2).count() < 2:
+        return named.select("ticker", "component")
+    rest = similarity_edges(named, threshold, apart="component").select("apart_src", "apart_dst")
+    rest = rest.distinct().toDF("src", "dst")
+    joined = connected_components(roots, rest).toDF("before", "component")
+    return (
+        named.select("ticker", F.col("component").alias("before"))
+        .join(joined, "before")
+        .select("ticker", "component")
     )
 
 
@@ -225,6 +271,7 @@ def peer_groups(components: DataFrame) -> DataFrame:
     sizes = (
         components.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     )
+    sizes = broadcast_if_small(durable(sizes, "component-sizes"))
     return (
         components.join(sizes, "component")
         .select("component", "size", "ticker")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ def durable_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if root:
+        if root.startswith("file:") and not context.master.startswith("local"):
+            warnings.warn(
+                f"{CHECKPOINT_KEY} is {root}: it must be mounted on every machine of the cluster",
+                stacklevel=2,
+            )
         return root.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
@@ -58,7 +64,29 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{durable_root(spark)}/filingloom/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._durable_path = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing will read any more."""
+    for table in tables:
+        path = getattr(table, "_durable_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all stored tables of this application: call it when the results are written."""
+    app = spark.sparkContext.applicationId
+    _delete(spark, f"{durable_root(spark)}/filingloom/{app}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:

@@ -195,3 +195,14 @@ def test_exposure_forms_agree(spark):
     assert [r.topic for r in total] == [0, 1] and total[0].total_exposure == pytest.approx(1.3)
     weights = TP.topics_wide(theta, 2).where("doc_id = 1").first()
     assert (weights.Topic_0, weights.Topic_1) == (0.2, 0.8)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.6, 0.75, 0.89])
+def test_contracted_cells_give_the_same_components(spark, threshold):
+    rng = np.random.default_rng(4)
+    vectors = np.abs(rng.normal(size=(90, 4))) ** 4
+    vectors[5] = vectors[6]
+    vectors[7] = 0
+    exposure = exposure_table(spark, vectors)
+    plain = N.connected_components(N.vertices(exposure), N.similarity_edges(exposure, threshold))
+    assert sorted(map(tuple, N.exposure_components(exposure, threshold).collect())) == sorted(map(tuple, plain.collect()))

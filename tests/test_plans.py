@@ -1,5 +1,6 @@
 """The physical plans that large inputs depend on."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -14,7 +15,7 @@ from filingloom.operators import network as N
 from filingloom.operators import tokens as T
 from filingloom.operators import vocabulary as VO
 from filingloom.plans import registry as R
-from filingloom.runtime import CHECKPOINT_KEY, broadcast_if_small, durable, durable_root
+from filingloom.runtime import CHECKPOINT_KEY, broadcast_if_small, durable, durable_root, release
 from filingloom.sources import from_table, write_results
 
 SF = "/root/testdata/sf0.001"
@@ -64,10 +65,9 @@ def test_tokenizing_is_one_narrow_stage(spark, corpus):
 
 def test_lemma_lookup_does_not_shuffle_tokens(spark, corpus):
     toks = durable(T.tokenize(corpus, []), "tokens")
-    table = spark.createDataFrame([("ther", "the")], "token string, lemma string")
-    assert "Exchange" not in plan(T.apply_lemmas(toks, table))
-    assert "Exchange" not in plan(T.remove_stop_table(toks, table))
-    assert "from_json" not in plan(T.apply_lemmas(toks, table))  # parsed once, as a constant
+    words = durable(T.distinct_tokens(toks), "words")
+    for out in (T.lemmatize(toks, words), T.remove_stop_table(toks, words.limit(500))):
+        assert "Exchange" not in plan(out) and "INSET" in plan(out)
 
 
 def test_one_shuffle_each(spark, corpus, theta):
@@ -95,8 +95,10 @@ def test_ranking_drops_rows_before_the_shuffle(spark):
 
 def test_network_joins_on_keys(spark):
     exposure = durable(R.profiles_40(spark, SF), "exposure")
-    text = plan(N.similarity_edges(exposure, 0.97))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    for threshold in (0.97, 0.75, 0.0):
+        for limit in (4, 2000):
+            text = plan(N.similarity_edges(exposure, threshold, limit))
+            assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_broadcast_depends_on_the_checked_size(spark):
@@ -126,7 +128,16 @@ def test_durable_folder_comes_from_the_session():
     assert durable_root(local) == durable_root(local)
 
 
-def test_durable_tables_are_files(spark):
+def test_durable_tables_are_files_until_released(spark):
     copy = durable(spark.range(3), "x")
     assert copy.count() == 3
     assert "FileScan parquet" in plan(copy)
+    path = copy._durable_path.removeprefix("file:")
+    assert os.path.isdir(path)
+    release(copy, spark.range(1))
+    assert not os.path.exists(path)
+
+
+def test_a_machine_local_folder_on_a_cluster_warns():
+    with pytest.warns(UserWarning, match="every machine"):
+        durable_root(session({CHECKPOINT_KEY: "file:/x"}, None, "spark://host"))
