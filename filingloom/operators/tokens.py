@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -79,19 +77,24 @@ def tokenize(
     corpus: DataFrame,
     stop: list[str],
     min_len: int = 4,
-    lexicon: DataFrame | None = None,
+    lexicon: DataFrame | str | None = None,
     refilter: bool = False,
+    lookup_limit: int = LOOKUP_LIMIT,
 ) -> DataFrame:
     """Corpus without its text, plus ``tokens`` and ``n_tokens``.
 
-    Lemmas come after the stop-word and length tests, so a lemma may itself be a
-    stop word; ``refilter`` tests again.
+    ``lexicon`` is a table ``(token)`` of known words, or ``"corpus"`` for the corpus's own;
+    without one, tokens stay as they are. Lemmas come after the stop-word and length tests,
+    so a lemma may itself be a stop word; ``refilter`` tests again.
     """
     attrs = [c for c in corpus.columns if c != "text"]
-    out = corpus.select(*attrs, X.keep_tokens(X.raw_tokens("text"), stop, min_len).alias("tokens"))
+    raw = corpus.select(*attrs, X.raw_tokens("text").alias("tokens"))
     if lexicon is not None:
-        out = durable(out, "plain-tokens")
-        out = apply_lemmas(out, lemma_table(distinct_tokens(out), lexicon))
+        raw = durable(raw, "raw-tokens")
+    out = raw.withColumn("tokens", X.keep_tokens("tokens", stop, min_len))
+    if lexicon is not None:
+        words = distinct_tokens(raw) if isinstance(lexicon, str) else lexicon
+        out = lemmatize(out, words, lookup_limit)
         if refilter:
             out = out.withColumn("tokens", X.keep_tokens("tokens", stop, min_len))
     return out.withColumn("n_tokens", F.size("tokens"))
@@ -119,80 +122,70 @@ def _candidates(token: Column) -> Column:
     return F.array_compact(F.array(token, *shorter))
 
 
-def lemma_table(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``(token, lemma)`` for those distinct tokens whose lemma differs.
+def _fits(token: Column) -> Column:
+    """Whether a token may have another lemma than itself."""
+    is_irregular = token.isin(list(IRREGULAR_NOUNS))
+    return reduce(or_, [token.endswith(end) for end, _ in NOUN_ENDINGS], is_irregular)
 
-    Candidates that the lexicon does not hold are no words; of the rest the
-    shortest wins, then the alphabetically first. Irregular plurals keep only
-    themselves and their singular as candidates.
-    """
+
+def _all_candidates(token: Column) -> Column:
+    """Irregular plurals keep only themselves and their singular."""
     irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR_NOUNS.items() for x in pair])
-    known = F.element_at(irregular, F.col("token"))
-    is_irregular = F.col("token").isin(list(IRREGULAR_NOUNS))
-    # any other token is its own lemma
-    fits = reduce(or_, [F.col("token").endswith(end) for end, _ in NOUN_ENDINGS], is_irregular)
-    candidates = F.when(
-        is_irregular, F.array(F.col("token"), known)
-    ).otherwise(_candidates(F.col("token")))
+    return F.when(
+        token.isin(list(IRREGULAR_NOUNS)), F.array(token, F.element_at(irregular, token))
+    ).otherwise(_candidates(token))
+
+
+def _known_candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(token, lemma)``: the candidates that the lexicon holds, also the token itself."""
     words = lexicon.select(F.col("token").alias("lemma")).distinct()
     return (
-        tokens.where(fits)
-        .select("token", F.explode(F.array_distinct(candidates)).alias("lemma"))
+        tokens.where(_fits(F.col("token")))
+        .select("token", F.explode(F.array_distinct(_all_candidates(F.col("token")))).alias("lemma"))
         .join(words, "lemma")
-        .groupBy("token")
-        .agg(F.min(F.struct(F.length("lemma").alias("size"), "lemma"))["lemma"].alias("lemma"))
-        .where("lemma <> token")
     )
 
 
-def apply_lemmas(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Replace tokens by their lemmas, order kept.
-
-    A table of checked size is looked up inside each row, so the token table is
-    not shuffled; a larger one is joined and the documents are put together again.
-    """
-    lemmas = durable(lemmas, "lemmas")
-    size = lemmas.count()
-    if size == 0:
-        return tokens
-    if size <= LOOKUP_LIMIT:
-        return _lemmas_in_row(tokens, lemmas, size)
-    return _lemmas_by_join(tokens, lemmas)
+def _shortest(candidates: DataFrame) -> DataFrame:
+    best = F.min(F.struct(F.length("lemma").alias("size"), "lemma"))["lemma"]
+    return candidates.groupBy("token").agg(best.alias("lemma")).where("lemma <> token")
 
 
-def _constant_lookup(
-    table: DataFrame, columns: list[str], size: int
-) -> Callable[[Column], Column]:
-    """Hash lookup in a small table as an expression: token to its row, or null.
+def lemma_table(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(token, lemma)`` for those distinct tokens whose lemma differs.
 
-    The table becomes constant text, which the optimizer parses once into an array
-    of slots; each lookup reads one slot inside the row, without a join.
+    Candidates that the lexicon does not hold are no words; of the rest the
+    shortest wins, then the alphabetically first.
     """
-    slots = 2 * max(size, 1)
+    return _shortest(_known_candidates(tokens, lexicon))
 
-    def slot_of(token: Column) -> Column:
-        return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
 
-    filled = [[] for _ in range(slots)]
-    for row in table.select(slot_of(F.col("token")).alias("slot"), *columns).collect():
-        filled[row.slot].append({c: row[c] for c in columns})
-    fields = ", ".join(f"{c}: string" for c in columns)
-    lookup = F.from_json(
-        F.lit(json.dumps(filled, separators=(",", ":"))), f"array<array<struct<{fields}>>>"
-    )
+def lemmatize(tokens: DataFrame, lexicon: DataFrame, lookup_limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """Replace tokens by their lemmas, order kept.
 
-    def find(token: Column) -> Column:
-        entries = F.get(lookup, slot_of(token))
-        return F.get(F.filter(entries, lambda e: e["token"] == token), F.lit(0))
+    The known words among all candidates, if at most ``lookup_limit``, are a constant set:
+    each token takes its shortest candidate in it, inside the row. Otherwise the lemma table
+    is joined and the documents are put together again.
+    """
+    known = durable(_known_candidates(distinct_tokens(tokens), lexicon), "known-candidates")
+    words = known.select("lemma").distinct()
+    if words.limit(lookup_limit + 1).count() > lookup_limit:
+        return apply_lemmas(tokens, _shortest(known))
+    found = [r.lemma for r in words.collect()]
+    if not found:
+        return tokens
 
-    return find
+    def lemma(token: Column) -> Column:
+        fit = F.filter(_all_candidates(token), lambda c: c.isin(found))
+        sized = F.transform(fit, lambda c: F.struct(F.length(c).alias("size"), c.alias("word")))
+        return F.when(_fits(token), F.coalesce(F.array_min(sized)["word"], token)).otherwise(token)
 
+    return tokens.withColumn("tokens", F.transform("tokens", lemma))
 
-def _lemmas_in_row(tokens: DataFrame, lemmas: DataFrame, size: int) -> DataFrame:
-    find = _constant_lookup(lemmas, ["token", "lemma"], size)
-    return tokens.withColumn(
-        "tokens", F.transform("tokens", lambda t: F.coalesce(find(t)["lemma"], t))
-    )
+
+def apply_lemmas(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Replace tokens by the lemmas of a table ``(token, lemma)`` of any size, order kept."""
+    return _lemmas_by_join(tokens, durable(lemmas, "lemmas"))
 
 
 def _lemmas_by_join(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
@@ -211,16 +204,19 @@ def _lemmas_by_join(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     )
 
 
-def remove_stop_table(tokens: DataFrame, stop: DataFrame) -> DataFrame:
+def remove_stop_table(
+    tokens: DataFrame, stop: DataFrame, lookup_limit: int = LOOKUP_LIMIT
+) -> DataFrame:
     """Drop tokens named in a table ``(token)``; repeats of kept tokens stay.
 
-    A list of checked size is looked up inside each row, a longer one is an anti join.
+    A list of checked size is a constant set in each row, a longer one is an anti join.
     """
     stop = durable(stop.select("token").distinct(), "stop-words")
-    size = stop.count()
-    if size <= LOOKUP_LIMIT:
-        find = _constant_lookup(stop, ["token"], size)
-        kept = tokens.withColumn("tokens", F.filter("tokens", lambda t: find(t).isNull()))
+    if stop.count() <= lookup_limit:
+        words = [r.token for r in stop.collect()]
+        kept = tokens
+        if words:
+            kept = tokens.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(words)))
     else:
         kept = _stop_by_join(tokens, stop)
     return kept.withColumn("n_tokens", F.size("tokens"))

@@ -71,7 +71,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC,
 
 THETA = f"""theta_raw AS (
     SELECT vec_id AS doc_id, 'T' || (vec_id % 10) AS ticker, 2023 + (vec_id // 10) % 2 AS year,
-           list_transform(embedding[1:{K}], lambda x: abs(x::DOUBLE)) AS w FROM embeddings),
+           list_transform(range({K}), lambda t: list_sum(list_transform(range(t + 1, len(embedding) + 1, {K}), lambda i: abs(embedding[i]::DOUBLE)))) AS w FROM embeddings),
 theta AS (
     SELECT doc_id, ticker, year, unnest(range({K})) AS topic,
            unnest(w) / list_sum(w) AS weight FROM theta_raw)"""
@@ -82,9 +82,10 @@ NAME = "'Topic_' || topic || ': ' || coalesce(label, 'Generic Risk ' || topic)"
 CLUSTER_T = f"labels_c(cluster, label) AS (VALUES {_values(CLUSTER_LABELS.items())})"
 
 NET = f"""net AS (
-    SELECT 'C' || lpad((vec_id % 40)::VARCHAR, 2, '0') AS ticker, i AS topic,
-           avg(greatest(embedding[i]::DOUBLE, 0)) AS w
-    FROM embeddings, range(1, {K + 1}) r(i) GROUP BY ALL),
+    SELECT 'C' || lpad((vec_id % 40)::VARCHAR, 2, '0') AS ticker, t AS topic,
+           avg(list_sum(list_transform(range(t + 1, len(embedding) + 1, {K}),
+                                       lambda i: greatest(embedding[i]::DOUBLE, 0)))) AS w
+    FROM embeddings, range({K}) r(t) GROUP BY ALL),
 sizes AS (SELECT ticker, sqrt(sum(w * w)) AS n FROM net GROUP BY ticker),
 sims AS (
     SELECT a.ticker AS src, b.ticker AS dst, sum(a.w * b.w) / (x.n * y.n) AS weight
@@ -236,7 +237,8 @@ SELECT doc_id, array_to_string(tokens[1:20], ' ') AS tokens FROM toks""",
     "vocabulary": f"WITH {VOCABULARY} SELECT token, df, tf, id FROM voc",
     "vocabulary_capped": f"WITH {VOCABULARY} SELECT token, df, tf, id FROM voc WHERE id < 500",
     "vocabulary_size": f"""WITH {VOCABULARY}
-SELECT count(*) AS terms, (SELECT count(*) FROM toks) AS documents FROM voc""",
+SELECT count(*) AS terms, (SELECT count(*) FROM freq) - count(*) AS dropped,
+       (SELECT count(*) FROM toks) AS documents FROM voc""",
     "bag_of_words": f"""WITH {VOCABULARY}
 SELECT doc_id, token, id, cnt FROM bag JOIN voc USING (token)""",
     "document_lengths": f"""WITH {VOCABULARY}
@@ -265,8 +267,10 @@ SELECT topic_a, topic_b, round(sqrt(greatest(sum(
     CASE WHEN x > 0 THEN x * ln(2 * x / (x + y)) ELSE 0 END
     + CASE WHEN y > 0 THEN y * ln(2 * y / (x + y)) ELSE 0 END) / 2, 0)), 6) AS distance
 FROM duo GROUP BY ALL""",
-    "topic_prevalence": f"""WITH {THETA}, parts AS (
-    SELECT topic, sum(weight * (doc_id % 97 + 1)) AS part FROM theta GROUP BY topic)
+    "topic_prevalence": f"""WITH {VOCABULARY}, {THETA}, lengths AS (
+    SELECT doc_id, sum(cnt) AS length FROM bag JOIN voc USING (token) GROUP BY doc_id),
+parts AS (
+    SELECT topic, sum(weight * length) AS part FROM theta JOIN lengths USING (doc_id) GROUP BY topic)
 SELECT topic, round(part / sum(part) OVER (), 9) AS prevalence FROM parts""",
     "coherence_cv": f"""WITH {COUNTS}, summed AS (
     SELECT topic, j, sum(v) AS s FROM npmi GROUP BY ALL),
@@ -288,14 +292,14 @@ SELECT ticker, {NAME} AS label, round(exposure, 9) AS exposure
 FROM exposure LEFT JOIN labels_t USING (topic)""",
     "doc_topic_normalise": f"""WITH raw AS (
     SELECT vec_id AS doc_id, unnest(range({K})) AS topic,
-           greatest(unnest(embedding[1:{K}])::DOUBLE, 1e-10) AS w FROM embeddings)
+           greatest(unnest(list_transform(range({K}), lambda t: list_sum(list_transform(range(t + 1, len(embedding) + 1, {K}), lambda i: embedding[i]::DOUBLE)))), 1e-10) AS w FROM embeddings)
 SELECT doc_id, topic, round(w / sum(w) OVER (PARTITION BY doc_id), 9) AS weight FROM raw""",
     "doc_topics_wide": f"""WITH {THETA}
 SELECT doc_id, ticker, year, {", ".join(
     f"round(coalesce(max(weight) FILTER (topic = {i}), 0), 9) AS Topic_{i}" for i in range(K))}
-FROM theta WHERE weight > 0.05 GROUP BY doc_id, ticker, year""",
+FROM theta GROUP BY doc_id, ticker, year""",
     "unit_vectors": f"""WITH raw AS (
-    SELECT vec_id, unnest(embedding[1:{K}])::DOUBLE AS x, unnest(range({K})) AS i FROM embeddings),
+    SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
 sums AS (
     SELECT vec_id, sqrt(sum(x * x)) AS n, max(x) FILTER (i = 0) AS x0,
            sum(x * CASE WHEN i < 4 THEN 2 * x ELSE x END) AS d,
@@ -326,7 +330,7 @@ SELECT ticker, round(jsd, 6) AS jsd, jsd > 0.35 AS flagged FROM drift""",
 SELECT ticker, {NAME} AS label, round(q - p, 9) AS delta FROM yearly LEFT JOIN labels_t USING (topic)""",
     "drift_table": f"""WITH {_drift()}
 SELECT ticker, round(any_value(jsd), 4) AS jsd, {", ".join(
-    f"round(max(q - p) FILTER (topic = {i}), 4) AS Topic_{i}_delta" for i in range(K))}
+    f"round(max(q - p) FILTER (topic = {i}), 4) + 0.0 AS Topic_{i}_delta" for i in range(K))}
 FROM yearly JOIN drift USING (ticker) GROUP BY ticker""",
     "top_drifter_deltas": f"""WITH {_drift()}, {LABELS},
 best AS (SELECT ticker FROM drift ORDER BY jsd DESC, ticker LIMIT 1)
@@ -395,3 +399,31 @@ FROM pieces WHERE length(paragraph) > 100"""
 ORACLES["paragraph_excerpt"] = f"""{_PIECES}
 SELECT doc_id || '-' || para_pos AS para_id, substring(paragraph, 1, 200) || '...' AS excerpt
 FROM pieces WHERE length(paragraph) > 100"""
+ORACLES["lemmatize_joined"] = ORACLES["lemmatize"]
+ORACLES["stopword_filter_joined"] = ORACLES["stopword_filter"]
+ORACLES["similarity_edges_blocked"] = ORACLES["similarity_edges"]
+ORACLES["components_default"] = ORACLES["company_components"].replace("weight > 0.97", "weight > 0.75")
+ORACLES["first_filings"] = f"""WITH sections AS ({
+    ORACLES["filing_extract"].replace("SELECT regexp_extract(path", "SELECT path, regexp_extract(path").replace(
+        "SELECT ticker, year, text,", "SELECT path, ticker, year, text,")
+})
+SELECT ticker, arg_min(word_count, path) FILTER (year = 2023)::DOUBLE AS before,
+       arg_min(word_count, path) FILTER (year = 2024)::DOUBLE AS after
+FROM sections GROUP BY ticker HAVING count(DISTINCT year) = 2"""
+ORACLES["doc_topics_check"] = """
+SELECT count(*) AS documents, 5::BIGINT AS topics, count(*) AS whole FROM documents"""
+ORACLES["kmeans_check"] = "SELECT count(*) AS points, count(*) AS nearest FROM embeddings"
+ORACLES["paragraph_vectors_check"] = f"""{_PIECES}
+SELECT count(*) AS paragraphs, count(*) AS whole FROM pieces WHERE length(paragraph) > 100"""
+ORACLES["comparison_report"] = f"""WITH {LANG_TOPICS}, {LABELS}, {CENTRES}, {CLUSTER_T}, best AS (
+    SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, para_id) AS rank FROM near),
+texts AS (
+    SELECT cluster, rank, substring(text, 1, 200) || '...' AS summary
+    FROM best JOIN documents ON doc_id = para_id WHERE rank <= 2),
+sizes AS (SELECT i AS cluster, count(label) AS size FROM range(12) r(i) LEFT JOIN embeddings ON label = i GROUP BY i)
+SELECT 'lda' AS method, topic AS id, {NAME} AS label, NULL::BIGINT AS size, 1::BIGINT AS rank,
+       string_agg(printf('%.3f', weight) || '*"' || term || '"', ' + ' ORDER BY ranked.rank) AS summary
+FROM ranked LEFT JOIN labels_t USING (topic) WHERE ranked.rank <= 10 GROUP BY topic, label
+UNION ALL
+SELECT 'kmeans', cluster, coalesce(label, 'Unnamed Embedding Topic ' || cluster), size, rank, summary
+FROM sizes LEFT JOIN texts USING (cluster) LEFT JOIN labels_c USING (cluster)"""

@@ -18,6 +18,7 @@ from filingloom.operators import tokens as T
 from filingloom.operators import topics as TP
 from filingloom.operators import vocabulary as VO
 from filingloom.runtime import durable
+from filingloom.schemas import RESULTS, empty
 
 
 @dataclass
@@ -26,7 +27,9 @@ class Config:
     end_year: int
     tickers: list[str] | None = None
     stop_words: list[str] | None = None
-    lexicon: DataFrame | None = None
+    # known words for lemmas: a table, "corpus" for the corpus's own, None for no lemmas
+    lexicon: DataFrame | str | None = "corpus"
+    vocabulary_limit: int | None = None
     min_df: int = 3
     max_share: float = 0.7
     min_topics: int = 5
@@ -52,7 +55,7 @@ def _labels(spark: SparkSession, key: str, labels: dict[int, str]) -> DataFrame:
 
 
 def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """All result tables by name; an empty dictionary for an empty corpus.
+    """All result tables by name; for an empty corpus the same tables without rows.
 
     Tables that later steps read more than once (corpus, tokens, bags, vectors,
     document topics, exposure) are stored once; the model fits, the component
@@ -64,7 +67,7 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         CO.in_period(corpus, cfg.start_year, cfg.end_year, cfg.tickers), "corpus"
     )
     if corpus.isEmpty():
-        return {}
+        return {name: empty(spark, schema) for name, schema in RESULTS.items()}
     stop = T.stop_words(spark, cfg.stop_words)
     tokens = durable(T.tokenize(corpus, stop, lexicon=cfg.lexicon), "tokens")
 
@@ -77,6 +80,7 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         cfg.measure,
         cfg.min_df,
         cfg.max_share,
+        cfg.vocabulary_limit,
     )
     k = search.best_k
     terms = TP.topic_terms(search.model, search.words, 10)
@@ -110,11 +114,13 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         D.yearly_profiles(doc_topics, cfg.start_year, cfg.end_year, cfg.same_year, k), "profiles"
     )
     drift = D.topic_drift(profiles)
+    names = {t: f"Topic_{t}" for t in range(k)}
     return {
         "corpus_stats": CO.corpus_stats(corpus),
         "docs_per_year": CO.docs_per_year(corpus),
         "token_stats": T.token_stats(tokens),
         "vocabulary": search.vocabulary,
+        "vocabulary_report": VO.vocabulary_report(tokens, search.vocabulary),
         "coherence_scores": D.flag_scores(search.scores, D.COHERENCE_TARGET),
         "topic_terms": terms,
         "topic_prevalence": TP.topic_prevalence(doc_topics, lengths, k),
@@ -122,16 +128,18 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         "topic_distance": TP.topic_distance(weights, list(range(k))),
         "doc_topics": TP.topics_long(doc_topics),
         "exposure": EX.with_topic_names(EX.exposure_long(exposure), topic_labels),
+        "exposure_wide": EX.exposure_wide(exposure, k),
         "exposure_total": EX.exposure_total(exposure, k),
         "edges": N.similarity_edges(exposure, cfg.similarity_threshold),
         "components": components,
         "peer_groups": N.peer_groups(components),
         "drift": D.flag_drift(drift, cfg.drift_threshold),
         "drift_ranking": D.drift_ranking(drift, 10),
+        "drift_table": D.delta_table(drift, D.topic_deltas(profiles), names),
         "drift_deltas": EX.with_topic_names(D.topic_deltas(profiles), topic_labels),
         "top_drifter": D.top_drifter_deltas(profiles, topic_labels),
         "silhouette_scores": D.flag_scores(found.scores, D.SILHOUETTE_TARGET),
-        "clusters": found.assigned.drop("embedding"),
+        "clusters": found.assigned.drop("embedding", "paragraph"),
         "cluster_sizes": sizes,
         "representatives": nearest,
         "report": R.comparison_report(terms, topic_labels, sizes, nearest, cluster_labels),

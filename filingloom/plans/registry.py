@@ -86,12 +86,22 @@ def stored_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return durable(tokens(spark, sf), "tokens")
 
 
+def fold(values: Column) -> Column:
+    """All dimensions of a vector in ``K`` sums: those with equal index modulo ``K``."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(K - 1)),
+        lambda topic: V.total(F.filter(values, lambda _, i: i % K == topic)),
+    )
+
+
+def _embedding(value: Callable[[Column], Column]) -> Column:
+    return F.transform("embedding", lambda x: value(x.cast("double")))
+
+
 def theta(spark: SparkSession, sf: str) -> DataFrame:
-    """Document topics made from the first dimensions of ``embeddings``."""
+    """Document topics made from all dimensions of ``embeddings``."""
     v = F.col("vec_id")
-    weights = F.transform(
-        F.slice("embedding", 1, K), lambda x: F.abs(x.cast("double"))
-    )
+    weights = fold(_embedding(F.abs))
     return _table(spark, sf, "embeddings").select(
         v.alias("doc_id"),
         F.concat(F.lit("T"), (v % 10).cast("string")).alias("ticker"),
@@ -105,9 +115,7 @@ def profiles_40(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
     docs = _table(spark, sf, "embeddings").select(
         F.concat(F.lit("C"), F.lpad((v % 40).cast("string"), 2, "0")).alias("ticker"),
-        F.transform(
-            F.slice("embedding", 1, K), lambda x: F.greatest(x.cast("double"), F.lit(0.0))
-        ).alias("theta"),
+        fold(_embedding(lambda x: F.greatest(x, F.lit(0.0)))).alias("theta"),
     )
     return EX.company_exposure(docs, K)
 
@@ -179,12 +187,12 @@ def period_filter(spark, sf):
 
 
 def filing_extract(spark, sf):
-    out = extract_filings(raw_filings(spark, sf)).drop("doc_id")
+    out = extract_filings(raw_filings(spark, sf)).drop("doc_id", "source_path")
     return _big(out, "year", "word_count")
 
 
 def filing_extract_html(spark, sf):
-    out = extract_filings(raw_pages(spark, sf)).drop("doc_id")
+    out = extract_filings(raw_pages(spark, sf)).drop("doc_id", "source_path")
     return _big(out, "year", "word_count")
 
 
@@ -193,7 +201,16 @@ def filing_longest(spark, sf):
     raw = raw_filings(spark, sf).withColumn(
         "value", F.concat(F.lit("Item 1A. Risk Factors 12\nItem 2. 30\n"), "value")
     )
-    return _big(extract_filings(raw, pick="longest").drop("doc_id"), "year", "word_count")
+    return _big(extract_filings(raw, pick="longest").drop("doc_id", "source_path"), "year", "word_count")
+
+
+def first_filings(spark, sf):
+    """Word counts of each company's first filing of either year, by path: many a year."""
+    found = extract_filings(raw_filings(spark, sf)).withColumn(
+        "theta", F.array(F.col("word_count").cast("double"))
+    )
+    first = D.yearly_profiles(found, FIRST, SECOND)
+    return first.select("ticker", F.get("before", F.lit(0)).alias("before"), F.get("after", F.lit(0)).alias("after"))
 
 
 def flat_filings_query(spark, sf):
@@ -204,7 +221,7 @@ def flat_filings_query(spark, sf):
         F.lit("_risk_factors.txt"),
     )
     raw = documents(spark, sf).select(name.alias("path"), F.col("text").alias("value"))
-    return _big(flat_filings(raw).drop("doc_id"), "year", "word_count")
+    return _big(flat_filings(raw).drop("doc_id", "source_path"), "year", "word_count")
 
 
 def html_clean(spark, sf):
@@ -224,13 +241,30 @@ def stopword_filter(spark, sf):
     toks = durable(T.tokenize(corpus(spark, sf), []), "tokens")
     n = toks.count()
     frequent = VO.frequencies(toks).where(F.col("df") > 0.1 * n).select("token")
-    out = T.remove_stop_table(toks, frequent)
+    return _without(toks, frequent)
+
+
+def stopword_filter_joined(spark, sf):
+    """The same by an anti join, as for a list of any size."""
+    toks = durable(T.tokenize(corpus(spark, sf), []), "tokens")
+    n = toks.count()
+    return _without(toks, VO.frequencies(toks).where(F.col("df") > 0.1 * n).select("token"), 0)
+
+
+def _without(toks, stop, lookup_limit=T.LOOKUP_LIMIT):
+    out = T.remove_stop_table(toks, stop, lookup_limit)
     return _text(_big(out.select("doc_id", "n_tokens", "tokens"), "n_tokens"))
 
 
 def lemmatize(spark, sf):
     c = corpus(spark, sf)
-    out = T.tokenize(c, T.stop_words(spark), lexicon=T.corpus_lexicon(c))
+    out = T.tokenize(c, T.stop_words(spark), lexicon="corpus")
+    return _text(_big(out.select("doc_id", "n_tokens", "tokens"), "n_tokens"))
+
+
+def lemmatize_joined(spark, sf):
+    """The same by a join, as for a lexicon of any size."""
+    out = T.tokenize(corpus(spark, sf), T.stop_words(spark), lexicon="corpus", lookup_limit=0)
     return _text(_big(out.select("doc_id", "n_tokens", "tokens"), "n_tokens"))
 
 
@@ -310,10 +344,8 @@ def topic_distance(spark, sf):
 
 
 def topic_prevalence(spark, sf):
-    """Lengths stand in as document number modulo 97, plus 1."""
-    t = theta(spark, sf)
-    lengths = t.select("doc_id", (F.col("doc_id") % 97 + 1).alias("length"))
-    out = TP.topic_prevalence(t, lengths, K)
+    """Lengths are those of the documents with the same number."""
+    out = TP.topic_prevalence(theta(spark, sf), document_lengths(spark, sf), K)
     return _big(out.withColumn("prevalence", F.round("prevalence", 9)), "topic")
 
 
@@ -357,17 +389,16 @@ def labelled_exposure(spark, sf):
 
 
 def doc_topic_normalise(spark, sf):
-    """Weights as they come, negative ones included, floored and scaled."""
-    raw = _table(spark, sf, "embeddings").select(
+    """Folded weights as they come, negative ones included, floored and scaled."""
+    out = _table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"),
-        F.posexplode(F.slice("embedding", 1, K).cast("array<double>")).alias("topic", "weight"),
+        F.posexplode(V.floor_and_scale(fold(_embedding(lambda x: x)))).alias("topic", "weight"),
     )
-    out = TP.normalise_weights(raw)
     return _big(out.withColumn("weight", F.round("weight", 9)), "topic")
 
 
 def doc_topics_wide(spark, sf):
-    long = TP.topics_long(theta(spark, sf)).where("weight > 0.05")
+    long = TP.topics_long(theta(spark, sf))
     wide = TP.topics_wide(TP.topics_array(long, K), K)
     return _big(
         wide.withColumns({f"Topic_{i}": F.round(f"Topic_{i}", 9) for i in range(K)}), "year"
@@ -378,7 +409,7 @@ def unit_vectors(spark, sf):
     """Length before and after, and cosine of each vector with its first half doubled."""
     raw = _table(spark, sf, "embeddings").select(
         "vec_id",
-        F.slice("embedding", 1, K).cast("array<double>").alias("v"),
+        F.col("embedding").cast("array<double>").alias("v"),
     )
     skewed = F.transform("v", lambda x, i: F.when(i < 4, 2 * x).otherwise(x))
     return raw.select(
@@ -410,6 +441,19 @@ def company_components(spark, sf):
     return N.exposure_components(durable(profiles_40(spark, sf), "exposure"), 0.97)
 
 
+def components_default(spark, sf):
+    """At the default threshold, where most companies are connected."""
+    return N.exposure_components(durable(profiles_40(spark, sf), "exposure"))
+
+
+def similarity_edges_blocked(spark, sf):
+    """Cells cut into blocks of a few companies, as for very many companies."""
+    out = N.similarity_edges(profiles_40(spark, sf), 0.97, cell_limit=4)
+    return out.select(
+        "src", "dst", F.round("weight", 6).alias("weight"), F.round("width", 6).alias("width")
+    )
+
+
 def peer_components(spark, sf):
     exposure = durable(profiles_40(spark, sf), "exposure")
     edges = N.similarity_edges(exposure, 0.97)
@@ -483,7 +527,7 @@ def cluster_representatives(spark, sf):
 
 
 def silhouette_exact(spark, sf):
-    """Every point of the table: it is no larger than the sample."""
+    """Every point of the table."""
     out = C.silhouette_points(points(spark, sf))
     return _big(out.withColumn("silhouette", F.round("silhouette", 6)), "cluster")
 
@@ -556,19 +600,44 @@ def kmeans_search(spark, sf):
 
 
 def comparison_report(spark, sf):
-    toks = language_tokens(spark, sf)
-    top = TP.rank_terms(language_topics(toks), 10)
-    paras = CO.split_paragraphs(corpus(spark, sf), sep="\n")
-    vectors = E.tfidf_vectors(E.paragraph_tokens(durable(paras, "paragraphs"), T.stop_words(spark)), 64)
-    vectors = durable(vectors, "vectors")
-    found = C.search_clusters(vectors, 4, 5, restarts=1)
-    nearest = C.representative_texts(
-        C.representatives(found.assigned, found.centroids, n=2), vectors
-    )
-    return R.comparison_report(
-        top, topic_labels(spark), C.cluster_sizes(found.assigned, found.best_k), nearest,
+    """Languages as topics, given labels as clusters (two of them empty), documents as texts."""
+    top = TP.rank_terms(language_topics(language_tokens(spark, sf)), 10)
+    p = points(spark, sf)
+    nearest = C.representatives(p, C.label_means(p), n=2)
+    texts = documents(spark, sf).select(F.col("doc_id").alias("para_id"), F.col("text").alias("paragraph"))
+    out = R.comparison_report(
+        top, topic_labels(spark), C.cluster_sizes(p, 12), C.representative_texts(nearest, texts),
         cluster_labels(spark),
     )
+    return _big(out, "id", "size", "rank")
+
+
+def doc_topics_check(spark, sf):
+    """Documents, topics, and documents whose weights sum to 1."""
+    model, _, bags = _five_topics(spark, sf)
+    weights = TP.document_topics(model, bags)
+    sums = F.abs(V.total("theta") - 1) < 1e-6
+    return weights.agg(
+        F.count("*").alias("documents"),
+        F.max(F.size("theta")).cast("long").alias("topics"),
+        F.count_if(sums).alias("whole"),
+    )
+
+
+def kmeans_check(spark, sf):
+    """Points, and points assigned to their nearest centroid; default restarts."""
+    found = C.search_clusters(points(spark, sf).drop("cluster"), 5, 5)
+    centres = F.broadcast(found.centroids.withColumnRenamed("cluster", "other"))  # five rows
+    near = found.assigned.select("para_id", "cluster", F.col("embedding").alias("v")).join(centres, F.lit(True))
+    nearest = near.groupBy("para_id", "cluster").agg(F.min_by("other", V.euclidean("v", "centroid")).alias("best"))
+    return nearest.agg(F.count("*").alias("points"), F.count_if(F.col("best") == F.col("cluster")).alias("nearest"))
+
+
+def paragraph_vectors_check(spark, sf):
+    """Paragraphs, and those whose vector has length 1 (or 0 without any word)."""
+    length = V.norm("embedding")
+    whole = (F.abs(length - 1) < 1e-9) | (length == 0)
+    return paragraph_vectors(spark, sf).agg(F.count("*").alias("paragraphs"), F.count_if(whole).alias("whole"))
 
 
 def full_analysis(spark, sf):
@@ -595,6 +664,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokens": tokens_query,
     "stopword_filter": stopword_filter,
     "lemmatize": lemmatize,
+    "lemmatize_joined": lemmatize_joined,
+    "stopword_filter_joined": stopword_filter_joined,
+    "first_filings": first_filings,
+    "components_default": components_default,
+    "similarity_edges_blocked": similarity_edges_blocked,
     "lemma_table": lemma_table,
     "mean_tokens": mean_tokens,
     "token_preview": token_preview,
@@ -645,5 +719,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paragraph_word_vectors": paragraph_word_vectors,
     "kmeans_search": kmeans_search,
     "comparison_report": comparison_report,
+    "doc_topics_check": doc_topics_check,
+    "kmeans_check": kmeans_check,
+    "paragraph_vectors_check": paragraph_vectors_check,
     "full_analysis": full_analysis,
 }

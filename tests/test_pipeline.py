@@ -88,5 +88,13 @@ def test_period_tickers_and_lexicon(spark, filings):
     assert out["drift_ranking"].first().jsd == 0  # one year compared with itself
 
 
-def test_empty_corpus_gives_no_tables(spark):
-    assert run_pipeline(empty_corpus(spark), Config(2023, 2024)) == {}
+def test_empty_corpus_gives_the_same_tables_without_rows(spark, tables, tmp_path):
+    none = run_pipeline(empty_corpus(spark), Config(2023, 2024))
+    assert list(none) == list(tables)
+    for name, table in none.items():
+        assert table.isEmpty()
+        kinds = dict(tables[name].dtypes)
+        assert {c: kinds.get(c) for c in table.columns} == dict(table.dtypes), name
+    write_results({"edges": tables["edges"]}, str(tmp_path))
+    write_results({"edges": none["edges"]}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/edges").count() == 0

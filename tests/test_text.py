@@ -77,20 +77,19 @@ def test_lemma_rules(spark):
     }
 
 
-def test_lemma_lookup_and_join_agree(spark, monkeypatch):
+def test_lemma_lookup_and_join_agree(spark):
     toks, lexicon = lemma_fixture(spark)
     table = T.lemma_table(T.distinct_tokens(toks), lexicon)
-    small = T.apply_lemmas(toks, table).orderBy("doc_id").collect()
-    monkeypatch.setattr(T, "LOOKUP_LIMIT", 2)
-    large = T.apply_lemmas(toks, table).orderBy("doc_id").collect()
-    assert small == large
+    small = T.lemmatize(toks, lexicon).orderBy("doc_id").collect()
+    large = T.lemmatize(toks, lexicon, lookup_limit=2).orderBy("doc_id").collect()
+    assert small == large == T.apply_lemmas(toks, table).orderBy("doc_id").collect()
     assert small[0].tokens == [
         "box", "church", "woman", "city", "wolf", "bus", "mouse", "glass", "unknowns", "axis", "box"
     ]
     assert T.apply_lemmas(toks, table.where("false")).count() == 3
 
 
-def test_stop_table_paths_agree_and_keep_repeats(spark, monkeypatch):
+def test_stop_table_paths_agree_and_keep_repeats(spark):
     toks = spark.createDataFrame(
         [(1, ["aa", "bb", "aa", "cc"]), (2, ["bb"]), (3, [])], "doc_id long, tokens array<string>"
     )
@@ -98,8 +97,7 @@ def test_stop_table_paths_agree_and_keep_repeats(spark, monkeypatch):
     want = [(1, ["aa", "aa", "cc"], 3), (2, [], 0), (3, [], 0)]
     as_set = T.remove_stop_table(toks, stop).orderBy("doc_id")
     assert [tuple(r) for r in as_set.collect()] == want
-    monkeypatch.setattr(T, "LOOKUP_LIMIT", 1)
-    as_join = T.remove_stop_table(toks, stop).orderBy("doc_id")
+    as_join = T.remove_stop_table(toks, stop, lookup_limit=1).orderBy("doc_id")
     assert [tuple(r) for r in as_join.collect()] == want
 
 
