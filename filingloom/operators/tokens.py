@@ -16,17 +16,6 @@ from filingloom.runtime import durable
 # beyond it the table is joined.
 LOOKUP_LIMIT = 50_000
 
-# Default words that any filing uses whatever its subject. Callers with their own
-# list pass it as a parameter.
-FILING_WORDS = sorted(
-    """annual quarter fiscal filing filings item items section pursuant thereof therein hereby
-    registrant subsidiary subsidiaries company companies business material materially adverse
-    adversely affect affected affects effect effects could would might result results resulted
-    significant significantly certain including include includes subject related ability
-    future additional various among within however therefore although"""
-    .split()
-)
-
 # Noun endings with what replaces them, and irregular plurals.
 NOUN_ENDINGS = [
     ("s", ""),
@@ -68,9 +57,19 @@ def english_stop_words(spark: SparkSession) -> list[str]:
 
 
 def stop_words(spark: SparkSession, extra: list[str] | None = None) -> list[str]:
-    """General English words together with the filing words or the caller's list."""
-    extra = FILING_WORDS if extra is None else extra
-    return sorted(set(english_stop_words(spark)) | set(extra))
+    """General English words together with the caller's list.
+
+    Words that all filings of a corpus use are best taken from it: see ``frequent_words``.
+    """
+    return sorted(set(english_stop_words(spark)) | set(extra or []))
+
+
+def frequent_words(tokens: DataFrame, share: float) -> DataFrame:
+    """``(token)``: what more than ``share`` of all documents use, for ``remove_stop_table``."""
+    documents = tokens.count()
+    per_document = tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    counted = per_document.groupBy("token").agg(F.count("*").alias("df"))
+    return counted.where(F.col("df") > share * documents).select("token")
 
 
 def tokenize(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from filingloom.operators.tokens import FILING_WORDS, IRREGULAR_NOUNS, NOUN_ENDINGS
+from filingloom.operators.tokens import IRREGULAR_NOUNS, NOUN_ENDINGS
 from filingloom.plans.registry import CLUSTER_LABELS, K, TOPIC_LABELS
 
 # Spark's general English stop words of four and more letters
@@ -50,7 +50,7 @@ def wc(x: str) -> str:
 RAW = f"""string_split_regex(
     regexp_replace(lower(text), '[^a-z{SP}]+', '', 'g'), '[{SP}]+')"""
 RAW_WORDS = f"list_filter({RAW}, lambda w: w <> '' AND w NOT IN ({_quoted(CONTRACTIONS)}))"
-STOP = _quoted([*ENGLISH, *CONTRACTIONS, *FILING_WORDS])
+STOP = _quoted([*ENGLISH, *CONTRACTIONS])
 KEPT = f"list_filter({RAW}, lambda w: length(w) >= 4 AND w NOT IN ({STOP}))"
 
 CORPUS = "corpus AS (SELECT doc_id, source AS ticker, 2023 + (doc_id // 20) % 2 AS year, text FROM documents)"

@@ -239,16 +239,13 @@ def tokens_query(spark, sf):
 def stopword_filter(spark, sf):
     """Drops the words that more than a tenth of the documents use, as a table."""
     toks = durable(T.tokenize(corpus(spark, sf), []), "tokens")
-    n = toks.count()
-    frequent = VO.frequencies(toks).where(F.col("df") > 0.1 * n).select("token")
-    return _without(toks, frequent)
+    return _without(toks, T.frequent_words(toks, 0.1))
 
 
 def stopword_filter_joined(spark, sf):
     """The same by an anti join, as for a list of any size."""
     toks = durable(T.tokenize(corpus(spark, sf), []), "tokens")
-    n = toks.count()
-    return _without(toks, VO.frequencies(toks).where(F.col("df") > 0.1 * n).select("token"), 0)
+    return _without(toks, T.frequent_words(toks, 0.1), 0)
 
 
 def _without(toks, stop, lookup_limit=T.LOOKUP_LIMIT):
