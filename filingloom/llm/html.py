@@ -49,7 +49,7 @@ BY_NAME = {
     "form": "form", "button": "form", "fieldset": "form", "dialog": "notice",
 }
 HINTS = {
-    "advert": "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted",
+    "advert": "ad ads adsbygoogle adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted",
     "comments": "comment comments disqus reply replies respond discussion",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc toolbar skip tabs",
     "sidebar": "sidebar aside related recommended recommendations trending widget popular complementary",
@@ -153,9 +153,12 @@ def scan(page: str) -> list[Block | str]:
             continue
         if name == "br":
             pieces.append((" ", False))
-        if name not in INLINE:
-            flush()
         closes = token["close"] or token["close2"]
+        attributes = token["attributes"] or token["attributes2"] or ""
+        hinted, content = hints(attributes) if attributes and not closes else (None, False)
+        # boilerplate inside a line is a block of its own
+        if name not in INLINE or hinted or closes and stack and stack[-1][1]:
+            flush()
         if closes:
             if counts[name] > 0:
                 while stack:
@@ -164,13 +167,11 @@ def scan(page: str) -> list[Block | str]:
                     if top == name:
                         break
         elif name not in VOID:
-            attributes = token["attributes"] or token["attributes2"] or ""
             if name in ("p", "li", "dt", "dd") and counts[name] and stack[-1][0] in (name, "b", "i", "em", "strong", "span", "a"):
                 # a new paragraph or item ends the open one, with what was left open in it
                 while stack and stack[-1][0] in (name, "b", "i", "em", "strong", "span", "a"):
                     pop()
             kind, inside = (stack[-1][1], stack[-1][2]) if stack else (None, False)
-            hinted, content = hints(attributes) if attributes else (None, False)
             if name in ("html", "body"):
                 pass
             elif name in ("article", "main"):
@@ -232,6 +233,15 @@ def fit(pages: Iterable[str]) -> Weights:
     return Weights(odds, costs)
 
 
+def belongs(block: Block, weights: Weights) -> bool:
+    """Whether a block inside the region is text of the article: all of it where the page
+    says so, else what is not boilerplate and not mostly links."""
+    if block.kind == "main":
+        return True
+    prose = 2 * block.linked < len(block.words)
+    return prose and (block.kind == "plain" or block.kind == "outside" and weights.of(block) > 0)
+
+
 def extract(page: str | None, weights: Weights) -> str:
     """Blocks of the best region, joined by line ends; empty if no region scores above zero."""
     items = scan(page or "")
@@ -248,8 +258,7 @@ def extract(page: str | None, weights: Weights) -> str:
         if total > best:
             best, span = total, (start, i + 1)
     region = [x for x in items[slice(*span)] if isinstance(x, Block)]
-    # what the weights take for boilerplate is left out inside the region too
-    own = [x for x in region if x.kind in ("main", "plain", "outside") and weights.of(x) > 0]
+    own = [x for x in region if belongs(x, weights)]
     return "\n".join(" ".join(x.words) for x in own)
 
 
