@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
 from filingloom.operators.network import connected_components
-from filingloom.runtime import durable
+from filingloom.runtime import durable, release
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -88,10 +88,13 @@ def link_documents(
     sets = durable(sets, "shingle-sets")
 
     full = sets.where("n > 0")
-    classes = full.groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
     best = F.min_by(F.struct("n", "anchor", "tokens"), "doc").alias("s")
     reps = full.where("tokens IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc").alias("doc"), best)
     linked = _link_classes(reps.select("doc", "s.*"), percent, n)
+    tokens, sets = sets, durable(sets.select("doc", "n", "hi", "lo"), "documents-of-sets")
+    release(tokens)
+    full = sets.where("n > 0")
+    classes = full.groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
     named = classes.join(linked, classes["rep"] == linked["doc"], "left").select(
         "hi", "lo", F.coalesce("component", "rep").alias("component")
     )
@@ -132,16 +135,16 @@ def _link_classes(reps: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     roots = member.select(F.col("root").alias("ticker")).distinct()
     joined = durable(connected_components(roots, edges), "first-components")
 
-    # (token, gid, component) where the token still spans several components
-    spans = prefix.join(joined, prefix["root"] == joined["ticker"]).select("token", "gid", "component")
-    spans = spans.distinct()
-    torn = spans.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h"))
-    spans = durable(spans.join(torn.where("l < h"), "token").select("token", "gid", "component"), "torn")
-    other = spans.select("token", F.col("gid").alias("b"), F.col("component").alias("other"))
+    # per token and group the components, where the token still spans several
+    spans = prefix.join(joined, prefix["root"] == joined["ticker"])
+    spans = spans.groupBy("token", "gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    torn = spans.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h")
+    spans = durable(spans.join(torn, "token").select("token", "gid", "low", "high"), "torn")
+    other = spans.toDF("token", "b", "other_low", "other_high")
     rest = (
         spans.withColumnRenamed("gid", "a")
         .join(other, "token")
-        .where("a < b AND component <> other")
+        .where("a < b AND least(low, other_low) < greatest(high, other_high)")
         .select("a", "b")
         .distinct()
         .join(first, ["a", "b"], "left_anti")
@@ -149,7 +152,10 @@ def _link_classes(reps: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     more = _open(rest, queries, percent)
     both = durable(edges.union(more), "links")
     final = connected_components(roots, both)
-    return member.join(final, member["root"] == final["ticker"]).select("doc", "component")
+    named = member.join(final, member["root"] == final["ticker"]).select("doc", "component")
+    named = durable(named, "class-components")
+    release(groups, queries, first, edges, joined, spans, both)
+    return named
 
 
 def _open(pairs: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
@@ -245,9 +251,8 @@ def _share(part: pa.Table, n_buckets: int) -> pa.Table:
         several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
         shared = np.repeat(several, np.diff(first, append=len(keys))) & (docs != SHARED)
         rows = list(_owned(docs[shared], keys[shared], n_buckets))
-    passed = part.drop_columns(["keys", "docs"])
-    keep = [i for i, x in enumerate(part["keys"].to_pylist()) if x is None]
-    return pa.concat_tables([passed.take(keep).cast(OWNED), pa.Table.from_pylist(rows, schema=OWNED)])
+    passed = part.filter(part["keys"].is_null()).drop_columns(["keys", "docs"])
+    return pa.concat_tables([passed.cast(OWNED), pa.Table.from_pylist(rows, schema=OWNED)])
 
 
 def _assemble(part: pa.Table, percent: int) -> pa.Table:
@@ -333,7 +338,7 @@ def _group(batches, percent: int):
     """Cut the sorted classes into groups and link the members of each."""
     held, size, anchor, out = [], 0, None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in C.each(batch):
             full = size >= GROUP_TOKENS or len(held) >= GROUP_DOCS
             if held and (full or row["anchor"] != anchor):
                 out.append(_grouped(held, percent))
@@ -369,7 +374,7 @@ def _grouped(held: list, percent: int) -> dict:
 def _send_unions(batches, n_buckets: int):
     held, size = [], 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in C.each(batch):
             union = C.unpack(row["union"], np.uint64)
             held.append((row["gid"], union))
             size += len(union)
@@ -445,7 +450,7 @@ def _prefixes(own: pa.Table, common: pa.Table, percent: int) -> pa.Table:
 def _compare(batches, percent: int):
     for batch in batches:
         edges = set()
-        for row in batch.to_pylist():
+        for row in C.each(batch):
             left, right = Members.read(row["ma"]), Members.read(row["mb"])
             right.index()
             for i in range(len(left.docs)):
