@@ -72,11 +72,9 @@ def remove_repeats(
     spans = repeated_spans(docs, size, id_col, text_col)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     key = F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)).alias("key")
-    joined = docs.select(row, key, docs[text_col].alias("t")).join(
-        spans, F.col("key") == F.col("span_doc"), "left"
-    )
+    joined = docs.select(row, key).join(spans, F.col("key") == F.col("span_doc"), "left")
     cut = F.arrow_udf(_cut, CUT)
-    out = joined.select("row", cut("t", "starts", "ends").alias("cut"))
+    out = joined.select("row", cut(F.col("row")[text_col], "starts", "ends").alias("cut"))
     extra = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
     return out.select(*[F.col("row")[c].alias(c) for c in extra], "cut.*")
 
