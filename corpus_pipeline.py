@@ -27,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is fitted on the labelled documents of the input. ``lang`` stays as it is.
     """
+    common.small_batches(spark)
     model = language.fit(docs)
     found = docs.select(*COLUMNS, language.predict(docs, model).alias("found"))
     kept = (F.col("found.lang_pred") != language.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)
@@ -38,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows with one id one stays. Rows without an id are one group among themselves.
     """
+    common.small_batches(spark)
     linked = jaccard.link_documents(docs)
     # a null id counts as smaller than all others, so its component is its own
     key = F.coalesce("doc_id", F.lit(common.NULL_ID))
@@ -51,6 +53,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts that lose nothing keep their white space; ``n_chars`` follows the text.
     """
+    common.small_batches(spark)
     cut = substring.remove_repeats(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
@@ -59,6 +62,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: a row for every time a document is taken."""
+    common.small_batches(spark)
     key = F.coalesce(F.col("doc_id"), F.lit(common.NULL_ID))
     mixed = mixing.mix(docs).where("copies > 0").select(key.alias("key"), "copies")
     rows = docs.select(*COLUMNS, key.alias("key")).join(mixed, "key")
@@ -67,6 +71,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the training sequences."""
+    common.small_batches(spark)
     return packing.pack_documents(docs)
 
 

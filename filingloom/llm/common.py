@@ -7,7 +7,7 @@ window would cost the shuffle four times as much.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +22,9 @@ from pyspark.sql.types import StructType
 # A word is a maximal run of other characters than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Words that are hashed together; bounds the memory of a task, not the data.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 # Word hashes a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 # Odd multiplier of the rolling hash and of the final mixing (64-bit golden ratio).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -38,17 +38,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def buckets_for(df: DataFrame, text: str, per_bucket: int = 8 << 20) -> int:
-    """Power of two: at most ``per_bucket`` bytes of text and several buckets to a shuffle partition."""
+def buckets_for(df: DataFrame, text: str, per_bucket: int = 4 << 20) -> int:
+    """Power of two: about ``per_bucket`` bytes of text to a bucket, a bucket for each partition.
+
+    Buckets answer buckets, so their number is kept low: raise ``per_bucket`` with the memory
+    of the executors.
+    """
     size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(2 * partitions, size // per_bucket).bit_length()
+    return 1 << max(1, max(partitions, size // per_bucket) - 1).bit_length()
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of text that a task hands to Python at once, unless the session's own
+    bound is lower: beside the heap an executor has little memory for its workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if not 0 < now <= size:
+        spark.conf.set(key, str(size))
 
 
 def ddl(schema: pa.Schema) -> StructType:
     return from_arrow_schema(schema)
 
 
+_SLOT: dict = {}
+
+
+def worker_cache(key, make: Callable[[], object]):
+    """The one object that a Python worker keeps between its tasks; another key replaces it."""
+    if _SLOT.get("key") != key:
+        _SLOT.clear()
+        _SLOT.update(key=key, value=make())
+    return _SLOT["value"]
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for the first words seen."""
 
@@ -77,7 +101,7 @@ class Chunk:
 
 def chunks(batches, id_name: str, text_name: str, lower: bool = False) -> Iterator[Chunk]:
     """Hash the words of every text. Null texts have no words; null ids become ``NULL_ID``."""
-    cache = WordHashes()
+    cache = worker_cache("word hashes", WordHashes)
     ids, parts, size = [], [], 0
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text_name)).cast(pa.binary())
@@ -88,11 +112,13 @@ def chunks(batches, id_name: str, text_name: str, lower: bool = False) -> Iterat
             ids.append(NULL_ID if key.as_py() is None else key.as_py())
             parts.append(hashed)
             size += len(hashed)
-            if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS // 16:
+            if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS // 8:
                 yield _chunk(ids, parts)
                 ids, parts, size = [], [], 0
     if ids:
         yield _chunk(ids, parts)
+    # Arrow keeps freed memory, which the worker's later tasks may not need
+    pa.default_memory_pool().release_unused()
 
 
 def _chunk(ids: list[int], parts: list[np.ndarray]) -> Chunk:
@@ -172,6 +198,12 @@ def firsts(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1])
 
 
+def each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, one in Python at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """One list for each length, cut from ``values`` in order."""
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

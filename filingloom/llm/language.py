@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,28 +188,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: pa.Array) -> pa.Array:
-        scores = _scores(shared)
-        pairs = [scores.predict(t.as_py()) for t in texts]
-        langs = pa.array([p[0] for p in pairs], pa.string())
-        return pa.StructArray.from_arrays(
-            [langs, pa.array([p[1] for p in pairs], pa.float64())], names=["lang_pred", "score"]
-        )
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        # the scores hold the model, so its identity names them
+        scores = C.worker_cache(("language", id(model)), lambda: Scores(model))
+        for texts in batches:
+            pairs = [scores.predict(t.as_py()) for t in texts]
+            langs = pa.array([p[0] for p in pairs], pa.string())
+            shares = pa.array([p[1] for p in pairs], pa.float64())
+            yield pa.StructArray.from_arrays([langs, shares], names=["lang_pred", "score"])
 
     return F.arrow_udf(run, PREDICTED)(docs[text_col].cast("string"))
 
 
-_KEPT: dict = {}
-
-
-def _scores(shared) -> Scores:
-    """One table of scores for each worker and model."""
-    if shared.value is not _KEPT.get("model"):
-        _KEPT.clear()
-        _KEPT.update(model=shared.value, scores=Scores(shared.value))
-    return _KEPT["scores"]
-
-
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """True for ids whose crc32 (as text) leaves ``part`` modulo ``parts``; null ids never."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
