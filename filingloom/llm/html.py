@@ -4,7 +4,10 @@ Method: maximum-scoring subsequence. A page is a sequence of words and tags. Wor
 where they stand (in a paragraph, a list, a link, inside or outside the page's article), tags
 score negative, both with weights from labelled pages: log odds of lying in the main text. A
 linear scan finds the region with the greatest sum. Elements that say themselves that they are
-menus, adverts, comments and so on score nothing and are left out of the region.
+menus, adverts, comments and so on score nothing and are left out of the region. What they say
+is weighed first: an element with most of the page's words is a wrapper whatever its class,
+words with other meanings count only where links or few words bear them out, and an article
+is one also in a form or a page header.
 
 Extraction is one narrow stage; a page is worked on as a whole and nothing is shared between
 pages but the weights.
@@ -59,12 +62,24 @@ HINTS = {
     "share": "share sharing social",
     "form": "search login form",
 }
+# Words of the above that sections of an article have as well.
+WEAK_HINTS = set(
+    "promotion discussion menu skip tabs popular related recommended recommendations trending complementary"
+    " consent notice notices alert overlay disclaimer share sharing social search login form".split()
+)
+# has-sidebar, with-comments: said of what stands beside.
+BESIDE = {"has", "with", "without"}
+# Lists of cards, each of which may be an article element.
+CARDS = {"comments", "advert", "sidebar"}
+CONTROLS = {"input", "select", "textarea", "button", "label"}
 CONTENT_HINTS = set("article content post entry story main maincontent articlebody body text".split())
 HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 
 
 # Text outside of paragraphs, lists and tables is long from this many words on.
 LONG_WORDS = 20
+# A form is prose from this many words of paragraphs on, for itself and for each control.
+FORM_WORDS = 40
 
 
 @dataclass
@@ -91,25 +106,106 @@ class Weights:
         return sum(n * self.words.get(f, -0.1 if f[2] else 0.1) for f, n in block.features() if n)
 
 
-def hints(attributes: str) -> tuple[str | None, bool]:
-    """Kind of boilerplate and whether content is meant, by words of class, id and role."""
-    kind, content = None, False
+class Frame:
+    """An element that says what it holds, and what was counted in it and its descendants."""
+
+    def __init__(self, parent: Frame | None, name: str, hinted: str | None, strong: bool, content: bool):
+        self.parent, self.name, self.hinted, self.strong, self.content = parent, name, hinted, strong, content
+        self.named = BY_NAME.get(name)
+        self.words = self.plain = self.spoken = self.prose = self.controls = self.signals = 0
+        self.commented = hinted == "comments" or parent is not None and parent.commented
+        self.kind: str | None = None
+        self.inside = False
+
+    def add(self, block: Block) -> None:
+        plain = len(block.words) - block.linked
+        self.words += len(block.words)
+        self.plain += plain
+        self.spoken += 0 if self.commented else plain
+        self.prose += plain if block.place in ("paragraph", "long") else 0
+
+    def give(self) -> None:
+        """Add the counts to the parent."""
+        for c in ("words", "plain", "spoken", "prose", "controls", "signals"):
+            setattr(self.parent, c, getattr(self.parent, c) + getattr(self, c))
+
+    def linky(self) -> bool:
+        return 4 * (self.words - self.plain) >= self.words
+
+    def wraps(self, page: Frame, free: int) -> bool:
+        """Whether it has most of the page's words, comments aside; ``free`` words stand in no marked element."""
+        own, all_ = (self.plain, page.plain) if self.commented or 10 * page.spoken < page.plain else (self.spoken, page.spoken)
+        if 2 * own <= all_:
+            return False
+        if not self.strong:
+            return True
+        if page.signals > self.signals:
+            return False  # the article or headline is elsewhere
+        return self.signals > 0 or self.content or self.named is None and 10 * free < page.plain
+
+    def drops(self, page: Frame, free: int, inside: bool) -> str | None:
+        """Kind of boilerplate that the element is."""
+        named = None if self.named == "header" and inside else self.named  # the head of the article itself
+        kind = named or (self.hinted if self.name not in HEADINGS else None)
+        if kind is None or self.wraps(page, free):
+            return None
+        if self.strong:
+            return kind
+        if named or kind == "form" and self.controls:
+            prose = self.prose >= FORM_WORDS * (self.controls + bool(named)) and not self.linky()
+            return None if prose and kind == "form" else kind
+        return kind if self.linky() or not inside and self.plain < LONG_WORDS else None
+
+    def settle(self, page: Frame, free: int, lonely: bool) -> None:
+        """Kind and place by those of the parent. ``lonely``: no article is outside boilerplate."""
+        up = self.parent
+        self.kind, self.inside = up.kind, up.inside
+        if self.name in ("article", "main"):
+            if self.hinted in CARDS and not self.wraps(page, free):
+                self.kind = self.kind or self.hinted
+            elif self.kind not in CARDS:
+                if self.kind not in ("menu", "footer", "notice") or lonely and 2 * self.spoken > page.spoken:
+                    self.kind = None
+            self.inside = self.inside or self.kind is None
+        elif self.kind is None:
+            self.kind = self.drops(page, free, self.inside)
+            if self.kind is None and self.content and self.name in ("div", "section", "td"):
+                self.inside = True
+        elif self.content and self.hinted is None and self.kind not in CARDS and self.name in ("div", "section", "td"):
+            if 3 * self.spoken >= page.spoken > 0:
+                self.kind, self.inside = None, True
+
+
+def hints(attributes: str) -> tuple[str | None, bool, bool]:
+    """Kind of boilerplate, whether a word without other meanings says so, and whether content
+    is meant, by words of class, id and role."""
+    kind, strong, content = None, False, False
     for values in ATTRIBUTE.findall(attributes):
-        for word in HINT.findall("".join(values)):
-            kind = kind or HINT_OF.get(word.lower())
-            content = content or word.lower() in CONTENT_HINTS
-    return kind, content
+        for value in "".join(values).split():
+            said = [word.lower() for word in HINT.findall(value)]
+            content = content or any(word in CONTENT_HINTS for word in said)
+            if said and said[0] in BESIDE:
+                continue
+            for word in said:
+                found = HINT_OF.get(word)
+                if found and not strong and (kind is None or word not in WEAK_HINTS):
+                    kind, strong = found, word not in WEAK_HINTS
+    return kind, strong, content
 
 
 def scan(page: str) -> list[Block | str]:
     """Blocks and names of tags in page order. Tags inside boilerplate are left out."""
-    out: list[Block | str] = []
-    stack: list[tuple[str, str | None, bool]] = []  # name, kind of boilerplate, inside main
+    root = Frame(None, "", None, False, False)
+    frames = [root]
+    found: list[tuple[Block | str, Frame, bool]] = []  # with its element, and whether it goes on a line
+    stack: list[tuple[str, Frame]] = []
     counts: Counter = Counter()  # open elements by name
     pieces: list[tuple[str, bool]] = []
     kept = [0]
+    runs_on = [False]
 
-    def flush() -> None:
+    def flush(inline: bool = False) -> None:
+        goes_on, runs_on[0] = runs_on[0], inline and (runs_on[0] or bool(pieces))
         if not pieces:
             return
         words: list[str] = []
@@ -121,7 +217,7 @@ def scan(page: str) -> list[Block | str]:
         pieces.clear()
         if not words:
             return
-        kind, inside = (stack[-1][1], stack[-1][2]) if stack else (None, False)
+        frame = stack[-1][1] if stack else root
         place = "other"
         if any(counts[h] for h in HEADINGS):
             place = "heading"
@@ -133,7 +229,9 @@ def scan(page: str) -> list[Block | str]:
             place = "paragraph"
         elif len(words) >= LONG_WORDS:
             place = "long"
-        out.append(Block(kind or ("main" if inside else "plain"), place, words, min(linked, len(words)), bool(kept[0])))
+        block = Block("", place, words, min(linked, len(words)), bool(kept[0]))
+        frame.add(block)
+        found.append((block, frame, goes_on))
 
     def pop() -> None:
         name = stack.pop()[0]
@@ -141,6 +239,15 @@ def scan(page: str) -> list[Block | str]:
         if name.endswith("+"):
             kept[0] -= 1
 
+    def ends_frame(name: str) -> bool:
+        """Whether closing ``name`` leaves an element with a frame of its own."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][1] is not (stack[i - 1][1] if i else root):
+                return True
+            if stack[i][0] == name:
+                return False
+        return False
+
     at = 0
     for token in TOKEN.finditer(page):
         if token.start() > at:
@@ -148,17 +255,24 @@ def scan(page: str) -> list[Block | str]:
         at = token.end()
         name = (token["name"] or token["name2"] or "").lower()
         if not name:
-            if token["opaque"] and token["opaque"].lower() not in INLINE:
+            opaque = (token["opaque"] or "").lower()
+            if opaque in CONTROLS:
+                (stack[-1][1] if stack else root).controls += 1
+            if opaque and opaque not in INLINE:
                 pieces.append((" ", False))
             continue
         if name == "br":
             pieces.append((" ", False))
         closes = token["close"] or token["close2"]
         attributes = token["attributes"] or token["attributes2"] or ""
-        hinted, content = hints(attributes) if attributes and not closes else (None, False)
+        hinted, strong, content = hints(attributes) if attributes and not closes else (None, False, False)
         # boilerplate inside a line is a block of its own
-        if name not in INLINE or hinted or closes and stack and stack[-1][1]:
+        if name not in INLINE:
             flush()
+        elif hinted or closes and counts[name] > 0 and ends_frame(name):
+            flush(inline=True)
+        if name in CONTROLS and not closes and "hidden" not in attributes:
+            (stack[-1][1] if stack else root).controls += 1
         if closes:
             if counts[name] > 0:
                 while stack:
@@ -171,31 +285,52 @@ def scan(page: str) -> list[Block | str]:
                 # a new paragraph or item ends the open one, with what was left open in it
                 while stack and stack[-1][0] in (name, "b", "i", "em", "strong", "span", "a"):
                     pop()
-            kind, inside = (stack[-1][1], stack[-1][2]) if stack else (None, False)
-            if name in ("html", "body"):
-                pass
-            elif name in ("article", "main"):
-                if hinted in ("comments", "advert", "sidebar"):
-                    kind = kind or hinted
-                inside = inside or kind is None
-            elif kind is None:
-                named = BY_NAME.get(name)
-                if named == "header" and inside:
-                    named = None  # the head of the article itself
-                kind = named or (hinted if name not in HEADINGS else None)
-                if kind is None and content and hinted is None and name in ("div", "section", "td"):
-                    inside = True
-            stack.append((name, kind, inside))
+            frame = stack[-1][1] if stack else root
+            if name == "h1" or name in ("article", "main") and hinted not in CARDS:
+                frame.signals += 1
+            if name not in ("html", "body") and (hinted or content or name in BY_NAME or name in ("article", "main")):
+                strong = strong or name in ("nav", "menu", "footer", "aside", "button")
+                frame = Frame(frame, name, hinted, strong, content)
+                frames.append(frame)
+            stack.append((name, frame))
             counts[name] += 1
             if attributes and "data-keep" in attributes:
                 kept[0] += 1
-                stack[-1] = (name, kind, inside)
-                stack.append((name + "+", kind, inside))
-        if not (stack and stack[-1][1]):
-            out.append(name)
+                stack.append((name + "+", frame))
+        found.append((name, stack[-1][1] if stack else root, False))
     if at < len(page):
         pieces.append((page[at:], counts["a"] > 0))
     flush()
+    return _settled(found, frames)
+
+
+def _settled(found: list[tuple[Block | str, Frame, bool]], frames: list[Frame]) -> list[Block | str]:
+    """Blocks with their kinds, now that all of the page was counted."""
+    root = frames[0]
+    marked = {id(root): False}
+    for f in frames[1:]:
+        marked[id(f)] = marked[id(f.parent)] or bool(f.named or f.hinted)
+    free = sum(len(x.words) - x.linked for x, f, _ in found if isinstance(x, Block) and not marked[id(f)])
+    for f in reversed(frames[1:]):
+        f.give()
+    for lonely in (False, True):
+        for f in frames[1:]:
+            f.settle(root, free, lonely)
+        if any(f.name in ("article", "main") and f.kind is None for f in frames):
+            break
+    out: list[Block | str] = []
+    last: Block | None = None
+    for x, f, goes_on in found:
+        if isinstance(x, Block):
+            x.kind = f.kind or ("main" if f.inside else "plain")
+            if goes_on and last is not None and last.kind == x.kind:
+                last.words += x.words
+                last.linked += x.linked
+                continue
+            last = x
+            out.append(x)
+        elif f.kind is None:
+            out.append(x)
     if any(isinstance(x, Block) and x.kind == "main" for x in out):
         for x in out:
             if isinstance(x, Block) and x.kind == "plain":

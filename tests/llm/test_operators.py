@@ -453,6 +453,31 @@ def test_pages_of_the_tables(spark):
         assert r["t"] == "\n".join(" ".join(p) for p in parts if p)
 
 
+WRAPPERS = ["<form id=aspnetForm>", "<div id=page class=has-sidebar>", '<div class="layout-sidebar">', "<fieldset>", "<header>"]
+SECTIONS = ["id=discussion", "class=popular-science", "class=tabs", "class=alert", "class=disclaimer", "class=promotion", "class=search"]
+
+
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_one_hint_word_does_not_drop_the_article(inner):
+    """A wrapper of the page, a section of the article; what is boilerplate beside them goes."""
+    weights = H.default_weights()
+    first, second = "word " * 60, "other " * 50
+    nav, foot = "<nav>" + "<a href=#>link</a>" * 6 + "</nav>", "<footer>legal words</footer>"
+    want = "\n".join(["Head line", first.strip(), second.strip()])
+    for wrapper in WRAPPERS:
+        page = f"{nav}<{inner}><h1>Head line</h1><p>{first}</p><p>{second}</p></{inner}>{foot}"
+        assert H.extract(f"<body>{wrapper}{page}</{wrapper[1:].split()[0].rstrip('>')}></body>", weights) == want, wrapper
+    for section in SECTIONS:
+        page = f"<{inner}><h1>Head line</h1><p>{first}</p><section {section}><p>{second}</p></section></{inner}>"
+        assert H.extract(f"<body>{nav}{page}{foot}</body>", weights) == want, section
+    article = f"<{inner}><h1>Head line</h1><p>{first}</p><p>{second}</p></{inner}>"
+    cards = "<article><p>" + "card " * 90 + "</p></article>"
+    for beside in (f"<div id=comments>{cards * 9}</div>", f"<aside>{cards}</aside>", f"<footer>{cards}</footer>"):
+        assert H.extract(f"<body>{nav}{article}{beside}</body>", weights) == want, beside
+    shared = article.replace(f"</{inner}>", f"<div class=share>To <a href=#>a</a> <a href=#>b</a></div></{inner}>")
+    assert H.extract(f"<body>{shared}</body>", weights) == want
+
+
 # --- registered queries ------------------------------------------------------
 
 
