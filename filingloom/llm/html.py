@@ -91,6 +91,7 @@ class Block:
     words: list[str]
     linked: int
     kept: bool
+    article: Frame | None = None  # the outermost article, else main, that it lies in
 
     def features(self) -> list[tuple[tuple[str, str, bool], int]]:
         plain = len(self.words) - self.linked
@@ -116,6 +117,7 @@ class Frame:
         self.commented = hinted == "comments" or parent is not None and parent.commented
         self.kind: str | None = None
         self.inside = False
+        self.article: Frame | None = None
 
     def add(self, block: Block) -> None:
         plain = len(block.words) - block.linked
@@ -159,7 +161,7 @@ class Frame:
     def settle(self, page: Frame, free: int, lonely: bool) -> None:
         """Kind and place by those of the parent. ``lonely``: no article is outside boilerplate."""
         up = self.parent
-        self.kind, self.inside = up.kind, up.inside
+        self.kind, self.inside, self.article = up.kind, up.inside, up.article
         if self.name in ("article", "main"):
             if self.hinted in CARDS and not self.wraps(page, free):
                 self.kind = self.kind or self.hinted
@@ -167,6 +169,8 @@ class Frame:
                 if self.kind not in ("menu", "footer", "notice") or lonely and 2 * self.spoken > page.spoken:
                     self.kind = None
             self.inside = self.inside or self.kind is None
+            if self.kind is None and (self.article is None or self.name == "article" != self.article.name):
+                self.article = self
         elif self.kind is None:
             self.kind = self.drops(page, free, self.inside)
             if self.kind is None and self.content and self.name in ("div", "section", "td"):
@@ -323,6 +327,7 @@ def _settled(found: list[tuple[Block | str, Frame, bool]], frames: list[Frame])
     for x, f, goes_on in found:
         if isinstance(x, Block):
             x.kind = f.kind or ("main" if f.inside else "plain")
+            x.article = f.article if f.kind is None else None
             if goes_on and last is not None and last.kind == x.kind:
                 last.words += x.words
                 last.linked += x.linked
@@ -377,8 +382,24 @@ def belongs(block: Block, weights: Weights) -> bool:
     return prose and (block.kind == "plain" or block.kind == "outside" and weights.of(block) > 0)
 
 
+def of_articles(items: list[Block | str], span: tuple[int, int]) -> set[int]:
+    """The articles that the region lies in, all of whose text is kept; without a region the longest.
+
+    A main element may hold more than the article, so it counts only where no article does.
+    """
+    words: Counter = Counter()
+    by_id = {}
+    for x in items[slice(*span)] if span[1] else items:
+        if isinstance(x, Block) and x.article is not None:
+            words[id(x.article)] += len(x.words)
+            by_id[id(x.article)] = x.article.name
+    narrow = {k: n for k, n in words.items() if by_id[k] == "article"} or words
+    return set(narrow) if span[1] or not narrow else {max(narrow, key=narrow.get)}
+
+
 def extract(page: str | None, weights: Weights) -> str:
-    """Blocks of the best region, joined by line ends; empty if no region scores above zero."""
+    """Blocks of the best region and of the articles it lies in, joined by line ends; empty if
+    no region scores above zero and the page has no article."""
     items = scan(page or "")
     best, span = 0.0, (0, 0)
     total, start = 0.0, 0
@@ -392,8 +413,11 @@ def extract(page: str | None, weights: Weights) -> str:
         total += score
         if total > best:
             best, span = total, (start, i + 1)
-    region = [x for x in items[slice(*span)] if isinstance(x, Block)]
-    own = [x for x in region if belongs(x, weights)]
+    whole = of_articles(items, span)
+    own = [
+        x for i, x in enumerate(items)
+        if isinstance(x, Block) and (id(x.article) in whole or span[0] <= i < span[1] and belongs(x, weights))
+    ]
     return "\n".join(" ".join(x.words) for x in own)
 
 

@@ -478,6 +478,27 @@ def test_one_hint_word_does_not_drop_the_article(inner):
     assert H.extract(f"<body>{shared}</body>", weights) == want
 
 
+def test_all_of_a_marked_article_is_kept():
+    weights = H.default_weights()
+    prose, nav = "word " * 60, "<nav>" + "<a href=#>link</a>" * 6 + "</nav>"
+    ends = {
+        "<div>The end.</div>": ["The end."],
+        "<ul>" + "<li><a href=#>a source</a></li>" * 5 + "</ul>": ["a source"] * 5,
+        "<figure><img src=x><figcaption>Some caption</figcaption></figure>": ["Some caption"],
+    }
+    for inner in ("article", "main"):
+        for end, lines in ends.items():
+            page = f"<body>{nav}<{inner}>{{}}</{inner}><footer>legal words</footer>"
+            assert H.extract(page.format(f"<p>{prose}</p>{end}"), weights) == "\n".join([prose.strip(), *lines])
+            assert H.extract(page.format(f"{end}<p>{prose}</p>"), weights) == "\n".join([*lines, prose.strip()])
+        for n in (2, 7):
+            verse = "<div>" + " ".join(["verse"] * n) + "</div>"
+            assert H.extract(page.format(verse * 30), weights) == "\n".join([" ".join(["verse"] * n)] * 30)
+    # a main element round an article is not all article
+    beside = f"<main><article><p>{prose}</p></article><div>" + "<h3><a href=#>teaser</a></h3>" * 4 + "</div></main>"
+    assert H.extract(f"<body>{nav}{beside}", weights) == prose.strip()
+
+
 # --- registered queries ------------------------------------------------------
 
 
