@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import common, jaccard, language, mixing, packing, substring
+from filingloom.llm import common, jaccard, keys, language, mixing, packing, substring
 from filingloom.runtime import durable_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,6 +22,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 
 
+def own_keys(docs: DataFrame) -> DataFrame:
+    """``COLUMNS`` and ``key``: the id, or a number of its own for a row without one."""
+    return keys.numbered(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("key")), "key")[0]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null or letterless texts, and undecided ones.
 
@@ -37,15 +42,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents keep the one with the smallest id.
 
-    Of rows with one id one stays. Rows without an id are one group among themselves.
+    Of rows with one id one stays. Every row without an id is a document of its own, before
+    those with one.
     """
     common.small_batches(spark)
-    linked = jaccard.link_documents(docs)
-    # a null id counts as smaller than all others, so its component is its own
-    key = F.coalesce("doc_id", F.lit(common.NULL_ID))
-    first = linked.where(key == F.col("component_id")).select(key.alias("first_id")).distinct()
-    kept = docs.select(*COLUMNS, key.alias("first_id")).join(first, "first_id", "left_semi")
-    return kept.dropDuplicates(["first_id"]).select(*COLUMNS)
+    keyed = own_keys(docs)
+    linked = jaccard.link_documents(keyed, id_col="key")
+    first = linked.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts that lose nothing keep their white space; ``n_chars`` follows the text.
     """
     common.small_batches(spark)
-    cut = substring.remove_repeats(docs.select(*COLUMNS))
+    cut = substring.remove_repeats(own_keys(docs), id_col="key")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -63,9 +67,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: a row for every time a document is taken."""
     common.small_batches(spark)
-    key = F.coalesce(F.col("doc_id"), F.lit(common.NULL_ID))
-    mixed = mixing.mix(docs).where("copies > 0").select(key.alias("key"), "copies")
-    rows = docs.select(*COLUMNS, key.alias("key")).join(mixed, "key")
+    keyed = own_keys(docs)
+    mixed = mixing.mix(keyed, id_col="key").where("copies > 0").select(F.col("doc_id").alias("key"), "copies")
+    rows = keyed.join(mixed, "key")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

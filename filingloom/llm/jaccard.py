@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
+from filingloom.llm import keys as K
 from filingloom.operators.network import connected_components
 from filingloom.runtime import durable, release
 
@@ -74,18 +75,22 @@ def link_documents(
     A document's set holds its distinct shingles of ``size`` words, ASCII letters in lower
     case; a shorter text is one shingle. Two documents link when the intersection has at
     least ``percent`` hundredths of the union. Null, empty and blank texts have an empty set
-    and link with nothing. A null id counts as smaller than all others and comes back null.
-    Repeated rows come back repeated; rows that share an id but not the text count as one
+    and link with nothing. Every row with a null id is a document of its own, smaller than all
+    others; its id comes back null, and components with such rows have numbers from
+    ``C.NULL_ID`` on. Repeated rows come back repeated; rows that share an id but not the text count as one
     document with the shingles of all of them. Other columns are not looked at.
     """
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent must lie in 1..100, size must be positive")
     narrow = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].alias("t"))
     n = C.buckets_for(narrow, "t")
+    narrow, missing = K.numbered(narrow, "d")
     sent = narrow.mapInArrow(lambda batches: _send(batches, size, n), C.ddl(SENT))
     owned = sent.groupBy("bucket").applyInArrow(lambda part: _share(part, n), C.ddl(OWNED))
     sets = owned.groupBy("bucket").applyInArrow(lambda part: _assemble(part, percent), C.ddl(SETS))
     sets = durable(sets, "shingle-sets")
+    if missing:
+        release(narrow)
 
     full = sets.where("n > 0")
     best = F.min_by(F.struct("n", "anchor", "tokens"), "doc").alias("s")
@@ -100,7 +105,7 @@ def link_documents(
     )
     out = full.select("doc", "n", "hi", "lo").join(named, ["hi", "lo"]).select("doc", "n", "component")
     out = out.union(sets.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
-    real = F.when(F.col("doc") != C.NULL_ID, F.col("doc"))
+    real = F.when(F.col("doc") >= C.NULL_ID + missing, F.col("doc"))
     return out.select(
         real.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )

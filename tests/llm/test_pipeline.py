@@ -6,6 +6,7 @@ import pytest
 from test_operators import brute_cut, brute_links, prose, table, words
 
 import corpus_pipeline as P
+from filingloom.llm import jaccard
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,37 @@ def test_run_on_the_tables(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.where("piece = 0").count() > 150
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES][-1] == "packed"
+
+
+def test_rows_without_id_are_documents_of_their_own(spark, tmp_path):
+    base, other = prose(200, 60), prose(201, 60)
+    # the shingles of the short clean text are each in one of the texts without id
+    mixed = " ".join(base.split()[:20])
+    texts = [base, other, base, "", prose(202, 40) + " " + mixed]
+    rows = [(None, t, "en", "a", 0) for t in texts] + [(1, prose(203, 50), "en", "a", 0), (2, other, "en", "b", 0), (3, mixed, "en", "a", 0)]
+    docs = table(spark, rows).repartition(3)
+    linked = jaccard.link_documents(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in linked) == sorted(str(d) for d, *_ in rows)
+    # numbers stand for null ids: the components are those of brute force
+    brute = brute_links([(i - 10 if d is None else d, t) for i, (d, t, *_) in enumerate(rows)])
+    sizes = defaultdict(int), defaultdict(int)
+    for r in linked:
+        sizes[0][r["component_id"]] += 1
+    for _, _, group in brute:
+        sizes[1][group] += 1
+    assert sorted(sizes[0].values()) == sorted(sizes[1].values())
+    assert sorted(r["n_shingles"] for r in linked) == sorted(n for _, n, _ in brute)
+
+    P.near_duplicates(spark, docs, "").write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    want = [(None, base), (None, other), (None, ""), (None, texts[4]), (1, rows[5][1]), (3, mixed)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+    # of repeats between rows without id one stays, and no other row loses its words
+    cut = P.repeated_passages(spark, kept, "").collect()
+    assert {prose(203, 50), other} <= {r["text"] for r in cut}
+    assert not [r for r in cut if r["doc_id"] == 3]
+    assert sum(base.split()[:20] == r["text"].split()[:20] or r["text"].endswith(mixed) for r in cut) >= 1
+    taken = defaultdict(int)
+    for r in P.source_mix(spark, kept, "").collect():
+        taken[r["doc_id"], r["text"]] += 1
+    assert max(taken.values()) <= 3
