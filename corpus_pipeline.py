@@ -31,9 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null or letterless texts, and undecided ones.
 
     The model is fitted on the labelled documents of the input. ``lang`` stays as it is.
+    Without any label nothing can be told apart, and all texts with letters stay.
     """
     common.small_batches(spark)
     model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = docs.select(*COLUMNS, language.predict(docs, model).alias("found"))
     kept = (F.col("found.lang_pred") != language.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)
     return found.where(kept).select(*COLUMNS)

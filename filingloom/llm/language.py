@@ -60,14 +60,19 @@ def fit(
 ) -> Model:
     """Fit on a hash sample of about ``sample_rows`` rows; null texts and labels are left out.
 
-    The hash covers the text, so copies are taken or left together. Without any labelled row
-    the model knows no language.
+    Every language has the same part of the sample, or all its rows if they are fewer. The hash
+    covers the text, so copies are taken or left together. Without any labelled row the model
+    knows no language.
     """
     rows = labelled.select(labelled[lang_col].cast("string").alias("lang"), labelled[text_col].alias("t"))
     rows = rows.where("lang IS NOT NULL AND t IS NOT NULL")
-    share = sample_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(sizes.values()) > sample_rows:
+        # one row for each language
+        limits = [(lang, round(share * 1_000_000)) for lang, share in shares(sizes, sample_rows).items()]
+        limits = rows.sparkSession.createDataFrame(limits, "lang string, below long")
+        drawn = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("below")
+        rows = rows.join(F.broadcast(limits), "lang").where(drawn).select("lang", "t")
     counted = rows.mapInArrow(_count, C.ddl(COUNTED)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = counted.groupBy("lang").agg(
         F.sum("n").alias("total"),
@@ -77,6 +82,16 @@ def fit(
     return _model(dict(sorted(found.items())))
 
 
+def shares(sizes: dict[str, int], sample_rows: int) -> dict[str, float]:
+    """Share of its rows that each language gives: equal numbers, small languages in full."""
+    left, out = float(sample_rows), {}
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, left / (len(sizes) - i))
+        out[lang] = taken / n
+        left -= taken
+    return out
+
+
 def _count(batches):
     for batch in batches:
         counts: dict[str, Counter] = {}

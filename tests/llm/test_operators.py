@@ -398,6 +398,17 @@ def test_language_held_out_and_edges(spark, docs, nothing):
     assert unseen[0] == "de"
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    rare = [f"zug{chr(97 + i)} zug{chr(97 + i)} ende" for i in range(5)]
+    rows = [(i, f"the word {'x' * (i % 9 + 1)} {prose(i, 5)}", "en", "a", 0) for i in range(2_000)]
+    rows += [(5_000 + i, t, "de", "a", 0) for i, t in enumerate(rare)]
+    model = language.fit(table(spark, rows), sample_rows=100)
+    assert model.languages == ["de", "en"]
+    assert all(t.split()[0] in model.words for t in rare)
+    taken = language.shares({"a": 10_000, "b": 3, "c": 40}, 100)
+    assert taken["b"] == taken["c"] == 1 and round(taken["a"] * 10_000) == 57
+
+
 def test_quality_held_out_and_edges(spark, docs, nothing):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -104,3 +104,8 @@ def test_rows_without_id_are_documents_of_their_own(spark, tmp_path):
     for r in P.source_mix(spark, kept, "").collect():
         taken[r["doc_id"], r["text"]] += 1
     assert max(taken.values()) <= 3
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    rows = [(1, "né", None, "a", 0), (2, "12 !!", None, "a", 0), (3, None, None, "a", 0), (4, "日本語", None, "a", 0)]
+    assert sorted(r["doc_id"] for r in P.language_id(spark, table(spark, rows), "").collect()) == [1, 4]
