@@ -22,9 +22,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 
 
-def own_keys(docs: DataFrame) -> DataFrame:
-    """``COLUMNS`` and ``key``: the id, or a number of its own for a row without one."""
-    return keys.numbered(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("key")), "key")[0]
+def own_keys(docs: DataFrame, repeats: bool = False) -> DataFrame:
+    """``COLUMNS`` and ``key``: the id, or a number of its own for a row without one.
+
+    With ``repeats`` rows that share an id have numbers of their own too.
+    """
+    return keys.numbered(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("key")), "key", repeats)[0]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: a row for every time a document is taken."""
     common.small_batches(spark)
-    keyed = own_keys(docs)
+    keyed = own_keys(docs, repeats=True)
     mixed = mixing.mix(keyed, id_col="key").where("copies > 0").select(F.col("doc_id").alias("key"), "copies")
     rows = keyed.join(mixed, "key")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)

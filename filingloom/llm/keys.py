@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.runtime import durable
+from filingloom.runtime import broadcast_if_small, durable
 
 # Spark numbers rows by partition and place in it.
 PLACE_BITS = 33
 
 
-def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
+def numbered(docs: DataFrame, key: str, repeats: bool = False) -> tuple[DataFrame, int]:
     """``docs`` with a number for every null in the long column ``key``, and how many there are.
 
     The numbers are ``C.NULL_ID`` and those after it, below all other ids, in the order of a
     hash of the row. The rows that get one are stored, so they keep it in every later job;
-    ``release`` deletes them. Without null keys ``docs`` comes back as it is.
+    ``release`` deletes them. With ``repeats`` rows whose key others have as well get numbers
+    too, so no key comes twice. Without such rows ``docs`` comes back as it is.
     """
-    lone = docs.where(F.col(key).isNull())
+    lone, given = docs.where(F.col(key).isNull()), docs.where(F.col(key).isNotNull())
+    if repeats:
+        many = durable(given.groupBy(key).count().where("count > 1").select(key), "repeated-ids")
+        if not many.isEmpty():
+            few = broadcast_if_small(many)
+            lone = lone.unionByName(given.join(few, key, "left_semi"))
+            given = given.join(few, key, "left_anti").select(docs.columns)
     n = lone.count()
     if not n:
         return docs, 0
@@ -37,6 +44,6 @@ def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     placed = placed.join(F.broadcast(starts), "part")
     number = (F.lit(C.NULL_ID) + F.col("start") + F.col("place")).cast("long")
     lone = placed.select(*[number.alias(c) if c == key else F.col("row")[c].alias(c) for c in docs.columns])
-    out = docs.where(F.col(key).isNotNull()).union(lone)
+    out = given.union(lone)
     out._durable_path = stored._durable_path
     return out, n

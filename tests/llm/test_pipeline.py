@@ -109,3 +109,14 @@ def test_rows_without_id_are_documents_of_their_own(spark, tmp_path):
 def test_without_labels_texts_with_letters_stay(spark):
     rows = [(1, "né", None, "a", 0), (2, "12 !!", None, "a", 0), (3, None, None, "a", 0), (4, "日本語", None, "a", 0)]
     assert sorted(r["doc_id"] for r in P.language_id(spark, table(spark, rows), "").collect()) == [1, 4]
+
+
+def test_source_mix_takes_repeated_rows_by_themselves(spark):
+    rows = [(7, prose(300 + i, 20), "en", "a", 0) for i in range(4)] + [(None, prose(310 + i, 20), "en", "b", 0) for i in range(4)]
+    rows += [(i, prose(320 + i, 20), "en", "c", 0) for i in range(10, 14)]
+    taken = defaultdict(int)
+    for r in P.source_mix(spark, table(spark, rows), "").collect():
+        taken[r["source"], r["doc_id"], r["text"]] += 1
+    # 240 words by the weights 1, 2, 3 are 40, 80, 120
+    by_source = {s: sum(n for (source, *_), n in taken.items() if source == s) for s in "abc"}
+    assert max(taken.values()) <= 3 and by_source == {"a": 2, "b": 4, "c": 6}
