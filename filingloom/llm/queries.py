@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
-from filingloom.llm import fingerprint, html, jaccard, language, mixing, neighbours, packing, quality, substring, warc
+from filingloom.llm import (
+    conversations,
+    fingerprint,
+    html,
+    jaccard,
+    language,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    spelling,
+    substring,
+    token_counts,
+    warc,
+)
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +90,19 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(C.table(spark, folder, "documents").select("doc_id", "text"), damage=True)
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(C.table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = C.table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.report(conversations.repair(conversations.damage(given)), given)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -87,4 +114,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
