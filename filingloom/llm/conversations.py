@@ -312,10 +312,10 @@ def _in_order(part: pa.Table) -> list[dict]:
     return sorted(part.to_pylist(), key=lambda r: r["node"])
 
 
-def _combine(part: pa.Table) -> pa.Table:
+def _combine(part: pa.Table, node_bits: int) -> pa.Table:
     nodes = _in_order(part)
     moves = summed([_tuples(n["moves"]) for n in nodes])
-    row = (nodes[0]["c"], nodes[0]["node"] >> NODE_BITS, _dicts(moves))
+    row = (nodes[0]["c"], nodes[0]["node"] >> node_bits, _dicts(moves))
     return pa.Table.from_batches([_batch([row], SUMMARY)])
 
 
@@ -340,24 +340,24 @@ def _close(batches):
         yield _batch(out, EDITS)
 
 
-def _long_crossings(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _long_crossings(segments: DataFrame, node_bits: int) -> tuple[DataFrame, DataFrame]:
     """For conversations of several segments ``(c, node, enter, leave)`` of each segment, and of
     the whole: up the tree with sums, down again with crossings."""
     levels = [durable(segments.mapInArrow(_sum_segments, C.ddl(SUMMARY)), "segment-sums")]
     while not levels[-1].groupBy("c").count().where("count > 1").isEmpty():
-        parent = F.shiftright("node", NODE_BITS).alias("parent")
-        up = levels[-1].groupBy("c", parent).applyInArrow(_combine, C.ddl(SUMMARY))
+        parent = F.shiftright("node", node_bits).alias("parent")
+        up = levels[-1].groupBy("c", parent).applyInArrow(lambda p: _combine(p, node_bits), C.ddl(SUMMARY))
         levels.append(durable(up, "node-sums"))
     whole = durable(levels[-1].mapInArrow(_top, C.ddl(CROSSING)), "crossings")
     down = whole
     for level in reversed(levels[:-1]):
         parents = down.select("c", F.col("node").alias("parent"), "enter", "leave")
-        nodes = level.withColumn("parent", F.shiftright("node", NODE_BITS)).join(parents, ["c", "parent"])
+        nodes = level.withColumn("parent", F.shiftright("node", node_bits)).join(parents, ["c", "parent"])
         down = durable(nodes.groupBy("c", "parent").applyInArrow(_hand_down, C.ddl(CROSSING)), "crossings")
     return down, whole
 
 
-def edits(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+def edits(rows: DataFrame, segment_bits: int = SEGMENT_BITS, node_bits: int = NODE_BITS) -> DataFrame:
     """The cheapest edits of ``marked`` rows, without texts: one row an edit (``EDITS``)."""
     node = F.shiftright("at", segment_bits).alias("node")
     members = F.sort_array(F.collect_list(F.struct("at", "turn", "initial", "fault", "digest"))).alias("rows")
@@ -367,14 +367,14 @@ def edits(rows: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     if several.isEmpty():
         return segments.select("c", "rows", *state).mapInArrow(_solve, C.ddl(EDITS))
     long = durable(segments.join(several, "c", "left_semi"), "long-segments")
-    of_segments, of_wholes = _long_crossings(long.select("c", "node", "rows"))
+    of_segments, of_wholes = _long_crossings(long.select("c", "node", "rows"), node_bits)
     alone = segments.join(several, "c", "left_anti").select("c", "rows", *state)
     inside = long.join(of_segments, ["c", "node"]).select("c", "rows", "enter", "leave")
     solved = alone.union(inside).mapInArrow(_solve, C.ddl(EDITS))
     return solved.union(of_wholes.mapInArrow(_close, C.ddl(EDITS)))
 
 
-def repair(conversations: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+def repair(conversations: DataFrame) -> DataFrame:
     """The cheapest edits, one a row: ``(conv_id, at, sub, edit, fault, turn, initial, role, text)``.
 
     ``at`` and ``sub`` order a conversation's edits. ``edit`` is K(eep), R(erole), D(elete) or
@@ -386,7 +386,7 @@ def repair(conversations: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFr
     text. Null roles and texts are one space, null ids one conversation. Other columns are not
     looked at, and an empty table gives no rows.
     """
-    found = durable(edits(marked(conversations), segment_bits), "edits")
+    found = durable(edits(marked(conversations)), "edits")
     kept = found.where(F.col("edit").isin(KEEP, REROLE))
     # a kept row is the first of its text, so no text is wanted twice
     texts = _keyed(conversations).groupBy("c", "digest").agg(F.first("role").alias("own_role"), F.first("text").alias("text"))
