@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
@@ -58,6 +58,16 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def unsigned(hash_: Column) -> Column:
+    """63 bits of a hash, for draws by ``below``."""
+    return F.shiftrightunsigned(hash_, 1)
+
+
+def below(share: float) -> int:
+    """The largest 63-bit hash that a draw of ``share`` of all hashes takes, however small it is."""
+    return max(0, min(2**63 - 1, int(share * 2**63) - 1))
+
+
 def ddl(schema: pa.Schema) -> StructType:
     return from_arrow_schema(schema)
 

@@ -35,8 +35,8 @@ def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS) -> Colum
     """Sorted distinct hashes (bigint) of a text's shingles that lie below the threshold.
 
     A text of fewer words than ``size`` is one shingle; null, empty and blank texts have none.
-    A text with shingles keeps its smallest hash even when it lies above the threshold, so
-    short texts have a fingerprint too; such a hash takes part in comparisons like all others.
+    A text none of whose hashes lies below the threshold keeps its smallest one, so short texts
+    have a fingerprint too; ``merged`` drops it where the other text has hashes below.
     """
     bound = -(2**63) + 2**64 // scale
     words = F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
@@ -59,9 +59,15 @@ def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE_WORDS) -> Colum
     return let(let(hashes, of), below)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Sketch of two documents together, the same as that of the union of their shingles."""
+    bound = -(2**63) + 2**64 // scale
+
+    def kept(both: Column) -> Column:
+        low = F.filter(both, lambda x: x < bound)
+        return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+
+    return let(F.array_sort(F.array_union(a, b)), kept)
 
 
 def jaccard(a: Column, b: Column) -> Column:

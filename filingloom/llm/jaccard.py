@@ -77,14 +77,14 @@ def link_documents(
     least ``percent`` hundredths of the union. Null, empty and blank texts have an empty set
     and link with nothing. Every row with a null id is a document of its own, smaller than all
     others; its id comes back null, and components with such rows have numbers from
-    ``C.NULL_ID`` on. Repeated rows come back repeated; rows that share an id but not the text count as one
-    document with the shingles of all of them. Other columns are not looked at.
+    ``C.NULL_ID`` on. Rows that share an id are documents of their own too, each with its own
+    set; a component is named by the smallest id in it. Other columns are not looked at.
     """
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent must lie in 1..100, size must be positive")
     narrow = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].alias("t"))
     n = C.buckets_for(narrow, "t")
-    narrow, missing = K.numbered(narrow, "d")
+    narrow, missing, given = K.numbered(narrow, "d", repeats=True)
     sent = narrow.mapInArrow(lambda batches: _send(batches, size, n), C.ddl(SENT))
     owned = sent.groupBy("bucket").applyInArrow(lambda part: _share(part, n), C.ddl(OWNED))
     sets = owned.groupBy("bucket").applyInArrow(lambda part: _assemble(part, percent), C.ddl(SETS))
@@ -105,12 +105,30 @@ def link_documents(
     )
     out = full.select("doc", "n", "hi", "lo").join(named, ["hi", "lo"]).select("doc", "n", "component")
     out = out.union(sets.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
-    real = F.when(F.col("doc") >= C.NULL_ID + missing, F.col("doc"))
+    if given is not None:
+        out = _named(out, given, missing)
     return out.select(
-        real.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
 
 
+def _named(out: DataFrame, given: DataFrame, missing: int) -> DataFrame:
+    """``(doc, n, component)`` with the ids that numbered rows had.
+
+    A component that holds rows without an id keeps the smallest of their numbers.
+    """
+    has_number = F.col("doc") < C.NULL_ID + missing
+    own = out.join(given, out["doc"] == given["number"], "left")
+    own = own.withColumn("id", F.when(has_number, F.col("given")).otherwise(F.col("doc")))
+    own = durable(own.select("doc", "id", "n", "component"), "documents-with-ids")
+    odd = own.where(F.col("component") < C.NULL_ID + missing)
+    names = odd.groupBy("component").agg(
+        F.coalesce(F.min(F.when(F.col("id").isNull(), F.col("doc"))), F.min("id")).alias("name")
+    )
+    named = own.join(durable(names, "component-names"), "component", "left")
+    return named.select(F.col("id").alias("doc"), "n", F.coalesce("name", "component").alias("component"))
+
+
 def _link_classes(reps: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """``(doc, component)`` of the class representatives ``(doc, n, anchor, tokens)``."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -69,9 +69,9 @@ def fit(
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if sum(sizes.values()) > sample_rows:
         # one row for each language
-        limits = [(lang, round(share * 1_000_000)) for lang, share in shares(sizes, sample_rows).items()]
+        limits = [(lang, C.below(share)) for lang, share in shares(sizes, sample_rows).items()]
         limits = rows.sparkSession.createDataFrame(limits, "lang string, below long")
-        drawn = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("below")
+        drawn = C.unsigned(F.xxhash64("t")) <= F.col("below")
         rows = rows.join(F.broadcast(limits), "lang").where(drawn).select("lang", "t")
     counted = rows.mapInArrow(_count, C.ddl(COUNTED)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = counted.groupBy("lang").agg(

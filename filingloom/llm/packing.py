@@ -1,7 +1,7 @@
 """Packing tokenized documents into sequences of bounded length by best fit.
 
-Method: hierarchical residual packing. Tasks tokenize their documents and pack the pieces by
-best fit, longest first. Nearly full sequences are final. The others become items themselves:
+Method: hierarchical residual packing. Tasks tokenize their documents; the pieces, numbers only,
+are spread by a hash and packed by best fit, longest first. Nearly full sequences are final. The others become items themselves:
 they meet those of neighbouring tasks in a tree of best-fit rounds, each of which closes what
 is nearly full and passes on the emptiest rest.
 
@@ -27,11 +27,15 @@ from filingloom.runtime import durable
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-# Pieces packed in one run (and bytes of ids, where kept), sequences passed on by a run, runs that meet in one of the next round.
+# Pieces packed in one run, and as many at least where there are enough; sequences passed on by
+# a run, runs that meet in one of the next round.
 RUN_PIECES = 1 << 18
-RUN_BYTES = 64 << 20
+LEAST_RUN = 1 << 13
 CARRY = 256
 FAN_IN = 8
+# Pieces (and bytes of ids, where kept) that a task hands on together.
+HELD_PIECES = 1 << 16
+HELD_BYTES = 64 << 20
 # Sequences at least this full are final.
 NEARLY_FULL = 0.995
 # Words and parts of words whose ids a worker remembers; bytes of text looked up together;
@@ -50,13 +54,12 @@ PIECES = pa.schema(
         ("length", pa.int64()),
         ("ids_crc32", pa.int64()),
         ("ids", pa.list_(pa.int32())),
-        ("part", pa.int64()),
-        ("bin", pa.int64()),
-        ("fill", pa.int64()),
-        ("place", pa.int64()),
-        ("goes_on", pa.bool_()),
     ]
 )
+PLACED = pa.schema(
+    [("rid", pa.int64()), ("part", pa.int64()), ("bin", pa.int64()), ("fill", pa.int64())]
+    + [("place", pa.int64()), ("goes_on", pa.bool_())]
+)
 BINS = pa.schema(
     [("part", pa.int64()), ("bin", pa.int64()), ("fill", pa.int64()), ("final", pa.bool_())]
     + [("members", pa.list_(pa.struct([("member", pa.int64()), ("base", pa.int64())])))]
@@ -100,7 +103,8 @@ class WordTokens(dict):
                 continue
             low = word.lower()
             stem = low.rstrip(ASCII_MARKS)
-            if stem and len(stem) < len(low) and stem.decode()[-1].isalpha():
+            # one letter can become a letter and a mark in lower case
+            if stem and len(stem) < len(low) and stem.decode().lower()[-1].isalpha():
                 cut.append((word, stem, low[len(stem) :]))
             else:
                 cut.append((word, low, b""))
@@ -154,12 +158,17 @@ def pack_documents(
         raise ValueError("capacity must be at least 1")
     narrow = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].cast("string").alias("t"))
     pieces = narrow.mapInArrow(lambda b: _pieces(b, capacity, tokenizer, keep_ids), C.ddl(PIECES))
-    pieces = durable(pieces, "pieces")
+    pieces = durable(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    # only numbers move: every run sees the mix of lengths, however the texts are ordered
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, -(-pieces.count() // LEAST_RUN)))
+    spread = pieces.select("rid", "length").repartition(parts, F.xxhash64("rid"))
+    placed = durable(spread.mapInArrow(lambda b: _runs(b, capacity), C.ddl(PLACED)), "placed-pieces")
 
     alone = F.array(F.struct(F.col("bin").alias("member"), F.lit(0).cast("long").alias("base")))
-    level = pieces.where("goes_on AND place = 0").select("part", "bin", "fill", alone.alias("members"))
+    level = placed.where("goes_on AND place = 0").select("part", "bin", "fill", alone.alias("members"))
     done = []
-    runs_left = pieces.agg(F.max("part")).first()[0] or 0
+    runs_left = placed.agg(F.max("part")).first()[0] or 0
     while True:
         level = level.withColumn("part", F.floor(F.col("part") / FAN_IN))
         level = level.groupBy("part").applyInArrow(lambda p: _round(p, capacity), C.ddl(BINS))
@@ -174,17 +183,17 @@ def pack_documents(
         moved = moved.union(other.select("bin", "members"))
     moved = moved.select(F.col("bin").alias("sequence"), F.inline("members"))
     moved = moved.where("sequence <> member OR base <> 0")
-    out = pieces.join(moved, pieces["bin"] == moved["member"], "left").select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+    found = placed.join(moved, placed["bin"] == moved["member"], "left").select(
+        "rid",
         F.coalesce("sequence", "bin").alias("sequence_id"),
         (F.col("place") + F.coalesce("base", F.lit(0))).alias("offset"),
-        "ids",
     )
-    return out if keep_ids else out.drop("ids")
+    if not keep_ids:
+        pieces = pieces.drop("ids")
+    out = pieces.join(found, "rid").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else [])
+    )
+    return out
 
 
 def unfinished(fills: np.ndarray, capacity: int) -> np.ndarray:
@@ -239,7 +248,6 @@ def _encoded(batches, tokenizer: str | None):
 
 
 def _pieces(batches, capacity: int, tokenizer: str | None, keep_ids: bool):
-    part, run = TaskContext.get().partitionId(), 0
     end = np.array([END_ID], "<u4").tobytes()
     held: list[tuple] = []
     kept_bytes = 0
@@ -250,22 +258,39 @@ def _pieces(batches, capacity: int, tokenizer: str | None, keep_ids: bool):
             kept = np.frombuffer(own, "<i4") if keep_ids else None
             held.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), kept))
         kept_bytes += len(ids) if keep_ids else 0
-        if len(held) >= RUN_PIECES or kept_bytes >= RUN_BYTES:
-            yield _packed(held, capacity, part, run)
-            held, run, kept_bytes = [], run + 1, 0
+        if len(held) >= HELD_PIECES or kept_bytes >= HELD_BYTES:
+            yield _batch(held, PIECES)
+            held, kept_bytes = [], 0
     if held:
-        yield _packed(held, capacity, part, run)
+        yield _batch(held, PIECES)
+
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def _packed(held: list[tuple], capacity: int, part: int, run: int) -> pa.RecordBatch:
-    columns = list(zip(*held, strict=True))
-    bins, places, fills = best_fit(np.array(columns[3], np.int64), capacity)
+
+def _runs(batches, capacity: int):
+    """Best fit of a task's pieces, in runs of bounded length."""
+    held: list[pa.RecordBatch] = []
+    run = 0
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= RUN_PIECES:
+            yield _packed(held, capacity, run)
+            held, run = [], run + 1
+    if any(b.num_rows for b in held):
+        yield _packed(held, capacity, run)
+
+
+def _packed(held: list[pa.RecordBatch], capacity: int, run: int) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId()
+    rids, lengths = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+    bins, places, fills = best_fit(lengths, capacity)
     # part, run and bin of the run make the name of a bin
-    base = (part << 36) + (run << 19)
-    columns += [[part] * len(held), bins + base, fills[bins], places, unfinished(fills, capacity)[bins]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES
-    )
+    names = bins + (part << 36) + (run << 19)
+    columns = [rids, np.full(len(rids), part), names, fills[bins], places, unfinished(fills, capacity)[bins]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLACED, strict=True)], schema=PLACED)
 
 
 def _round(part: pa.Table, capacity: int) -> pa.Table:

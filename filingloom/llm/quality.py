@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.llm import common as C
+from filingloom.runtime import broadcast_if_small, durable
 
 SAMPLE_ROWS = 20_000
 PAIRS = 60_000
@@ -100,7 +101,9 @@ def fit(
     marks = marks.where("k IS NOT NULL AND label IN (0, 1)")
     share = sample_rows / max(1, marks.count())
     if share < 1:
-        marks = marks.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
+        marks = marks.where(C.unsigned(F.xxhash64("k")) <= C.below(share))
+    # the sample is sent to the texts, once its rows have been counted
+    marks = broadcast_if_small(durable(marks, "sampled-labels"))
     texts = docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("t"))
     rows = marks.join(texts, "k").select("label", "t").mapInArrow(_featured, C.ddl(FEATURES))
     found = rows.collect()  # about sample_rows vectors

@@ -120,3 +120,15 @@ def test_source_mix_takes_repeated_rows_by_themselves(spark):
     # 240 words by the weights 1, 2, 3 are 40, 80, 120
     by_source = {s: sum(n for (source, *_), n in taken.items() if source == s) for s in "abc"}
     assert max(taken.values()) <= 3 and by_source == {"a": 2, "b": 4, "c": 6}
+
+
+def test_rows_that_share_an_id_all_stay(spark):
+    texts = [prose(400 + i, 60) for i in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[0])]
+    docs = table(spark, [(d, t, "en", "a", 0) for d, t in rows])
+    kept = sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, "").collect())
+    # the copy under another id goes, or stays for it
+    assert sorted(t for _, t in kept) == sorted(texts) and {d for d, _ in kept} <= {1, 2, 3}
+    twice = table(spark, [(1, texts[0], "en", "a", 0), (1, texts[0] + " " + texts[1], "en", "a", 0)])
+    cut = sorted(len(r["text"].split()) for r in P.repeated_passages(spark, twice, "").collect())
+    assert sum(cut) == 120

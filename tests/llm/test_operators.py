@@ -165,6 +165,16 @@ def _limited(grouped, limits):
     return run
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    a, b, z = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, z), (5, z + " tail of it"), (None, z), (7, b), (7, b)]
+    found = jaccard.link_documents(table(spark, [(d, t, None, None, None) for d, t in rows])).collect()
+    size = {t: n for (_, n, _), t in zip(brute_links([(i, t) for i, (_, t) in enumerate(rows)]), [t for _, t in rows])}
+    got = sorted(map(str, map(tuple, found)))
+    name = {1: 1, 2: 1, 3: 1, 4: C.NULL_ID, 5: C.NULL_ID, None: C.NULL_ID, 7: 1}
+    assert got == sorted(map(str, [(d, size[t], name[d]) for d, t in rows]))
+
+
 def test_jaccard_null_id_and_empty_table(with_null_id, nothing):
     got = sorted(map(str, map(tuple, jaccard.link_documents(with_null_id).collect())))
     assert got == sorted([f"(None, 36, {C.NULL_ID})", f"(3, 36, {C.NULL_ID})", f"(3, 36, {C.NULL_ID})", "(9, 0, 9)"])
@@ -219,6 +229,30 @@ def test_packing_words_of_every_kind():
         assert np.frombuffer(got, "<u4").tolist() == encode(text, add_special_tokens=False).ids
 
 
+def test_packing_words_of_any_characters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode, own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode, packing._tokens(None)
+    draw = random.Random(21)
+    pool = "aB,.!?-'()İıßẞΣς\u0307\u0301é½²ǅﬁ中😀\u200d \n" + "".join(chr(c) for c in range(0xC0, 0x180, 7))
+    texts = ["İ?", "Aİ!", "ẞ."] + ["".join(draw.choices(pool, k=draw.randint(1, 12))) for _ in range(10_000)]
+    for text, got in zip(texts, own.of([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_of_tables_sorted_by_length(spark):
+    """Tasks of one length each would leave every sequence half empty."""
+    lengths = [1100] * 3000 + [900] * 3000
+    rows = spark.range(6000).select("id", F.when(F.col("id") < 3000, 1100).otherwise(900).alias("words"))
+    docs = rows.select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), F.col("words") - 1).alias("text"))
+    ordered = docs.repartitionByRange(8, "doc_id")
+    out = packing.pack_documents(ordered, 2048)
+    used = out.select("sequence_id").distinct().count()
+    assert out.agg(F.sum("length")).first()[0] == sum(lengths)
+    assert used <= sum(lengths) / 2048 * 1.03 and used >= 3000
+
+
 def test_packing_merges_over_many_tasks(spark):
     rows = [(i, prose(i, 40 + 7 * (i % 9)), None, None, None) for i in range(120)]
     out = packing.pack_documents(table(spark, rows).repartition(40), 2048)
@@ -405,6 +439,10 @@ def test_language_sample_keeps_rare_languages(spark):
     model = language.fit(table(spark, rows), sample_rows=100)
     assert model.languages == ["de", "en"]
     assert all(t.split()[0] in model.words for t in rare)
+    huge = language.shares({"a": 30 * 10**9, "b": 12 * 10**9, "c": 10**9, "d": 500}, 20_000)
+    drawn = {x: C.below(share) / 2**63 * n for (x, share), n in zip(huge.items(), (500, 10**9, 12 * 10**9, 30 * 10**9))}
+    assert all(drawn[x] == pytest.approx(6500) for x in "abc") and drawn["d"] == pytest.approx(500)
+    assert C.below(1.0) == 2**63 - 1
     taken = language.shares({"a": 10_000, "b": 3, "c": 40}, 100)
     assert taken["b"] == taken["c"] == 1 and round(taken["a"] * 10_000) == 57
 
