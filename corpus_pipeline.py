@@ -48,14 +48,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents keep the one with the smallest id.
 
-    Of rows with one id one stays. Every row without an id is a document of its own, before
-    those with one.
+    Every row is a document of its own: rows without an id, and rows whose id others have too,
+    come before the others.
     """
     common.small_batches(spark)
-    keyed = own_keys(docs)
+    keyed = own_keys(docs, repeats=True)
     linked = jaccard.link_documents(keyed, id_col="key")
-    first = linked.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    first = linked.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return keyed.join(first, "key", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts that lose nothing keep their white space; ``n_chars`` follows the text.
     """
     common.small_batches(spark)
-    cut = substring.remove_repeats(own_keys(docs), id_col="key")
+    cut = substring.remove_repeats(own_keys(docs, repeats=True), id_col="key")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
