@@ -18,6 +18,11 @@ SPLIT_LIMIT = 100_000
 GRID_DIMS = 3
 # Below this threshold whole cells of connected companies are joined through one of them.
 CONTRACT_BELOW = 0.9
+# Links of a vertex from which on it is a hub, hubs that are sent to all tasks, and parts that
+# the links of a hub are spread over otherwise.
+HUB_LINKS = 100_000
+HUB_LIMIT = 50_000
+HUB_PARTS = 256
 # Slack for rounding in the grid bound; the exact test follows anyway.
 SLACK = 1e-6
 
@@ -154,6 +159,83 @@ def _blocked(
     return left, right
 
 
+def similarity_classes(exposure: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links of ``similarity_edges`` in a form that stays small in crowded networks.
+
+    ``(members, classes, pairs)``: ``(ticker, cell)``; ``(cell_a, cell_b)``, cells all of whose
+    companies are linked with each other, a cell with itself included; and ``(src, dst,
+    weight)`` for single links between other cells. Together exactly the links, each once.
+
+    Cells are small cubes, each with its mean direction and the angle that holds all its
+    members. By the triangle inequality on angles two cells are linked as wholes, not at all, or
+    have to be opened; only companies of the last kind are compared. Companies without any
+    exposure are in no cell and have no links.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie between 0 and 1")
+    unit = exposure.select("ticker", V.unit("exposure").alias("u")).where(V.norm("exposure") > 0)
+    unit = durable(unit, "unit-exposure")
+    size = unit.select(F.max(F.size("u"))).first()[0] or 1
+    reach = math.acos(threshold)
+    # narrow enough for cells that have to be opened to lie less than a right angle apart
+    side = min(reach / 4, (math.pi / 2 - reach) / 2.5) / math.sqrt(size)
+    placed = unit.withColumn("cell", F.xxhash64(F.transform("u", lambda x: F.floor(x / F.lit(side)))))
+    placed = durable(placed, "angular-cells")
+    sums = [F.sum(F.get("u", F.lit(i))) for i in range(size)]
+    centres = placed.groupBy("cell").agg(F.array(*sums).alias("s"), F.min("ticker").alias("lead"))
+    centres = durable(centres.select("cell", "lead", V.unit("s").alias("c")), "cell-centres")
+    off = placed.join(centres, "cell").groupBy("cell").agg(
+        (F.max(_angle(V.dot("u", "c"))) + SLACK).alias("off"), F.count("*").alias("n")
+    )
+    centres = durable(centres.join(off, "cell"), "cell-angles")
+    widest = centres.agg(F.max("off")).first()[0] or 0.0
+    least = max(0.0, math.cos(min(math.pi / 2, reach + 2 * widest)) - SLACK)
+    near = similarity_edges(centres.select(F.col("lead").alias("ticker"), F.col("c").alias("exposure")), least)
+    ends = [
+        centres.select(F.col("lead").alias(end), F.col("cell").alias(f"cell_{x}"), F.col("off").alias(f"off_{x}"))
+        for x, end in (("a", "src"), ("b", "dst"))
+    ]
+    met = near.select("src", "dst", _angle(F.col("weight")).alias("apart")).join(ends[0], "src").join(ends[1], "dst")
+    spread = F.col("off_a") + F.col("off_b")
+    other = met.where(F.col("apart") - spread <= reach + SLACK).select(
+        "cell_a", "cell_b", (F.col("apart") + spread + SLACK < reach).alias("whole")
+    )
+    own = centres.where("n > 1").select(
+        F.col("cell").alias("cell_a"), F.col("cell").alias("cell_b"), (2 * F.col("off") + SLACK < reach).alias("whole")
+    )
+    kinds = durable(own.union(other), "cell-pairs")
+    left, right = _members(placed, "a"), _members(placed, "b")
+    cosine = V.dot("u_a", "u_b")
+    opened = kinds.where("NOT whole").select("cell_a", "cell_b")
+    pairs = opened.join(left, "cell_a").join(right, "cell_b").where(_once() & (cosine > threshold))
+    pairs = pairs.select(
+        F.least("t_a", "t_b").alias("src"), F.greatest("t_a", "t_b").alias("dst"), cosine.alias("weight")
+    )
+    return placed.select("ticker", "cell"), kinds.where("whole").select("cell_a", "cell_b"), pairs
+
+
+def _members(placed: DataFrame, x: str) -> DataFrame:
+    names = {"cell": f"cell_{x}", "ticker": f"t_{x}", "u": f"u_{x}"}
+    return placed.select(*[F.col(c).alias(names[c]) for c in placed.columns if c in names])
+
+
+def _once() -> Column:
+    """Every pair of two cells, and each pair inside a cell once."""
+    return (F.col("cell_a") != F.col("cell_b")) | (F.col("t_a") < F.col("t_b"))
+
+
+def expand_classes(members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(src, dst)`` of all links: as large as the network is dense."""
+    whole = classes.join(_members(members, "a"), "cell_a").join(_members(members, "b"), "cell_b").where(_once())
+    return whole.select(F.least("t_a", "t_b").alias("src"), F.greatest("t_a", "t_b").alias("dst")).union(
+        pairs.select("src", "dst")
+    )
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(ticker, component)``; the component is named by its smallest member.
 
@@ -167,15 +249,22 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         .select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
         .distinct()
     )
-    links = durable(_small_star(_large_star(links)), "links")
+    links = _contracted(durable(links, "links"))
     while not _is_star(links):
-        before, links = links, durable(_small_star(_large_star(links)), "links")
-        release(before)
+        links = _contracted(links)
     return vertices.join(links.withColumnsRenamed({"hi": "ticker", "lo": "root"}), "ticker", "left").select(
         "ticker", F.coalesce("root", "ticker").alias("component")
     )
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """One round over stored links, whose files are deleted."""
+    large = durable(_large_star(links), "large-star")
+    small = durable(_small_star(large), "links")
+    release(links, large)
+    return small
+
+
 def exposure_components(exposure: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``(ticker, component)`` straight from the exposures.
 
@@ -225,13 +314,36 @@ def exposure_components(exposure: DataFrame, threshold: float = 0.75) -> DataFra
     )
 
 
+def _with_least(links: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """``links`` joined with ``(key, m, n)``, where ``n`` counts the links of the key.
+
+    Links of hubs are not brought together: the few hubs are sent to their links, or, if there
+    are too many for that, spread over parts by the other end.
+    """
+    if links.limit(HUB_LINKS + 1).count() <= HUB_LINKS:
+        return links.join(least.drop("n"), key)
+    least = durable(least, "least-neighbours")
+    hubs = least.where(F.col("n") > HUB_LINKS)
+    if hubs.isEmpty():
+        return links.join(least.drop("n"), key)
+    other = next(c for c in links.columns if c != key)
+    rest = least.where(F.col("n") <= HUB_LINKS).drop("n")
+    if hubs.limit(HUB_LIMIT + 1).count() <= HUB_LIMIT:
+        near = links.join(F.broadcast(hubs.drop("n")), key)  # its rows were counted
+        return near.unionByName(links.join(rest, key))
+    salt = F.pmod(F.xxhash64(other), F.lit(HUB_PARTS))
+    copies = hubs.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).cast("long"))
+    near = links.withColumn("salt", salt).join(copies, [key, "salt"]).drop("salt")
+    return near.unionByName(links.join(rest, key))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
         links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
     return (
-        both.join(least, "u")
+        _with_least(both, "u", least)
         .where("v > u")
         .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         .distinct()
@@ -239,9 +351,9 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = links.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
     moved = (
-        links.join(least, "hi")
+        _with_least(links, "hi", least)
         .where("lo <> m")
         .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import or_
 
@@ -13,8 +14,9 @@ from filingloom.functions import text as X
 from filingloom.runtime import durable
 
 # Up to this many entries a lookup table travels with the tasks (a few MB);
-# beyond it the table is joined.
+# beyond it the table is joined. A map is searched one entry after the other, a set is not.
 LOOKUP_LIMIT = 50_000
+LEMMA_LIMIT = 5_000
 
 # Noun endings with what replaces them, and irregular plurals.
 NOUN_ENDINGS = [
@@ -78,7 +80,7 @@ def tokenize(
     min_len: int = 4,
     lexicon: DataFrame | str | None = None,
     refilter: bool = False,
-    lookup_limit: int = LOOKUP_LIMIT,
+    lookup_limit: int = LEMMA_LIMIT,
 ) -> DataFrame:
     """Corpus without its text, plus ``tokens`` and ``n_tokens``.
 
@@ -92,8 +94,9 @@ def tokenize(
         raw = durable(raw, "raw-tokens")
     out = raw.withColumn("tokens", X.keep_tokens("tokens", stop, min_len))
     if lexicon is not None:
-        words = distinct_tokens(raw) if isinstance(lexicon, str) else lexicon
-        out = lemmatize(out, words, lookup_limit)
+        own = durable(distinct_tokens(raw), "distinct-tokens")
+        lemmas = lemma_table(own.where(F.length("token") >= min_len), own if isinstance(lexicon, str) else lexicon)
+        out = apply_lemmas(out, lemmas, lookup_limit)
         if refilter:
             out = out.withColumn("tokens", X.keep_tokens("tokens", stop, min_len))
     return out.withColumn("n_tokens", F.size("tokens"))
@@ -159,49 +162,49 @@ def lemma_table(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return _shortest(_known_candidates(tokens, lexicon))
 
 
-def lemmatize(tokens: DataFrame, lexicon: DataFrame, lookup_limit: int = LOOKUP_LIMIT) -> DataFrame:
-    """Replace tokens by their lemmas, order kept.
+def lemmatize(tokens: DataFrame, lexicon: DataFrame, lookup_limit: int = LEMMA_LIMIT) -> DataFrame:
+    """Replace tokens by their lemmas, order kept; lemmas are found for distinct tokens only."""
+    return apply_lemmas(tokens, lemma_table(distinct_tokens(tokens), lexicon), lookup_limit)
 
-    The known words among all candidates, if at most ``lookup_limit``, are a constant set:
-    each token takes its shortest candidate in it, inside the row. Otherwise the lemma table
-    is joined and the documents are put together again.
+
+def apply_lemmas(tokens: DataFrame, lemmas: DataFrame, lookup_limit: int = LEMMA_LIMIT) -> DataFrame:
+    """Replace tokens by the lemmas of a table ``(token, lemma)`` of any size, order kept.
+
+    The table holds only words that change. Up to ``lookup_limit`` of them are a constant in
+    the row; otherwise each document gets the entries of its own words by a join.
     """
-    known = durable(_known_candidates(distinct_tokens(tokens), lexicon), "known-candidates")
-    words = known.select("lemma").distinct()
-    if words.limit(lookup_limit + 1).count() > lookup_limit:
-        return apply_lemmas(tokens, _shortest(known))
-    found = [r.lemma for r in words.collect()]
+    lemmas = durable(lemmas.select("token", "lemma"), "lemmas")
+    if lemmas.limit(lookup_limit + 1).count() > lookup_limit:
+        return _lemmas_by_join(tokens, lemmas)
+    found = {r.token: r.lemma for r in lemmas.collect()}
     if not found:
         return tokens
-
-    def lemma(token: Column) -> Column:
-        fit = F.filter(_all_candidates(token), lambda c: c.isin(found))
-        sized = F.transform(fit, lambda c: F.struct(F.length(c).alias("size"), c.alias("word")))
-        return F.when(_fits(token), F.coalesce(F.array_min(sized)["word"], token)).otherwise(token)
-
-    return tokens.withColumn("tokens", F.transform("tokens", lemma))
-
-
-def apply_lemmas(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Replace tokens by the lemmas of a table ``(token, lemma)`` of any size, order kept."""
-    return _lemmas_by_join(tokens, durable(lemmas, "lemmas"))
+    # one text that becomes a constant map: a literal for each word would cost a call each
+    constant = F.from_json(F.lit(json.dumps(found)), "map<string,string>")
+    changed = sorted(found)
+    return tokens.withColumn(
+        "tokens",
+        F.transform("tokens", lambda t: F.when(t.isin(changed), F.element_at(constant, t)).otherwise(t)),
+    )
 
 
 def _lemmas_by_join(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
-    placed = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    replaced = (
-        placed.join(lemmas, "token", "left")
-        .select("doc_id", F.struct("pos", F.coalesce("lemma", "token").alias("t")).alias("at"))
+    """Only words that may change leave the document, each once; their lemmas come back as one
+    small map for each document."""
+    fitting = F.array_distinct(F.filter("tokens", _fits))
+    own = (
+        tokens.select("doc_id", F.explode(fitting).alias("token"))
+        .join(lemmas, "token")
         .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list("at")).alias("ats"))
-        .select("doc_id", F.col("ats.t").alias("replaced"))
-    )
-    return (
-        tokens.join(replaced, "doc_id", "left")
-        .withColumn("tokens", F.coalesce("replaced", "tokens"))
-        .select(*tokens.columns)
+        .agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "lemma")))).alias("own_lemmas"))
     )
 
+    def lemma(token: Column) -> Column:
+        return F.coalesce(F.try_element_at("own_lemmas", token), token)
+
+    changed = F.when(F.col("own_lemmas").isNull(), F.col("tokens")).otherwise(F.transform("tokens", lemma))
+    return tokens.join(own, "doc_id", "left").withColumn("tokens", changed).select(*tokens.columns)
+
 
 def remove_stop_table(
     tokens: DataFrame, stop: DataFrame, lookup_limit: int = LOOKUP_LIMIT

@@ -1,87 +1,62 @@
-"""LDA topics: fit, search over K, term tables and document weights."""
+"""LDA topics: bags, fit, search over K, term tables and document weights."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingloom.functions import vectors as V
+from filingloom.operators import lda
 from filingloom.operators.coherence import coherence
-from filingloom.operators.vocabulary import BROADCAST_TERMS, bag_counter, build_vocabulary
-from filingloom.runtime import broadcast_if_small, durable
-from filingloom.schemas import SCORES, TOPIC_TERMS
+from filingloom.operators.lda import LdaModel, Sweep
+from filingloom.operators.vocabulary import bag_of_words, build_vocabulary
+from filingloom.runtime import durable
+from filingloom.schemas import SCORES
 
 
-def document_prior(k: int) -> list[float]:
-    """Fixed asymmetric prior: falls with the topic number and sums to 1."""
-    raw = [1.0 / (i + math.sqrt(k)) for i in range(k)]
-    return [x / sum(raw) for x in raw]
+def prepare_bags(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One stored row for each document, with the ``ids`` of its terms and their ``counts``.
 
+    Documents without any term of the vocabulary have empty arrays. Ids of documents are unique.
+    """
+    attrs = ["doc_id", "ticker", "year", "n_tokens", *[c for c in ("source_path",) if c in tokens.columns]]
+    entries = F.sort_array(F.collect_list(F.struct("id", "cnt"))).alias("entries")
+    counted = bag_of_words(tokens, vocabulary).groupBy("doc_id").agg(entries)
+    nothing = F.array().cast("array<int>")
+    bags = tokens.select(attrs).join(counted, "doc_id", "left").select(
+        *attrs,
+        F.coalesce("entries.id", nothing).alias("ids"),
+        F.coalesce("entries.cnt", nothing).alias("counts"),
+    )
+    return durable(bags, "bags")
 
-def prepare_bags(
-    tokens: DataFrame, counter: CountVectorizerModel, partitions: int | None = None
-) -> DataFrame:
-    """Count vectors in one fixed layout and order: with them a seeded fit repeats.
 
-    By default as many partitions as the token table has splits, and at least one
-    per core.
-    """
-    cores = tokens.sparkSession.sparkContext.defaultParallelism
-    n = partitions or max(cores, tokens.rdd.getNumPartitions())
-    order = [c for c in ("source_path",) if c in tokens.columns]
-    bags = counter.transform(tokens).select("doc_id", "ticker", "year", "n_tokens", *order, "features")
-    return durable(bags.repartition(n, "doc_id").sortWithinPartitions("doc_id"), "bags")
-
-
-def fit_lda(bags: DataFrame, k: int, passes: int = 15, seed: int = 42) -> LDAModel:
-    """Online variational fit. Each pass draws as many documents as the corpus has,
-    so every pass costs one full read; the vectors are kept in memory meanwhile."""
-    features = bags if bags.is_cached else bags.select("features").persist()
-    model = LDA(
-        k=k,
-        maxIter=passes,
-        seed=seed,
-        optimizer="online",
-        subsamplingRate=1.0,
-        learningOffset=1.0,
-        learningDecay=0.51,
-        docConcentration=document_prior(k),
-        topicConcentration=1.0 / k,
-        optimizeDocConcentration=False,
-    ).fit(features)
-    if features is not bags:
-        features.unpersist()
-    return model
-
-
-def topic_terms(model: LDAModel, words: list[str], n: int = 10) -> DataFrame:
+def fit_lda(bags: DataFrame, k: int, passes: int = 15, seed: int = 42) -> LdaModel:
+    """One model with a learned prior over terms; each pass reads every document once."""
+    return lda.fit_sweep(bags, [k], passes, seed).model(k)
+
+
+def topic_weights(model: LdaModel, vocabulary: DataFrame) -> DataFrame:
+    """``(topic, term, weight)`` for all terms, joined by id; weights sum to 1 in a topic."""
+    weights = F.transform("weights", lambda x, i: x / F.get(F.array(*map(F.lit, model.totals)), i))
+    named = model.terms.join(vocabulary.select("id", F.col("token").alias("term")), "id")
+    return named.select("term", F.posexplode(weights).alias("topic", "weight")).select("topic", "term", "weight")
+
+
+def topic_terms(model: LdaModel, vocabulary: DataFrame, n: int = 10) -> DataFrame:
     """``(topic, rank, term, weight)``, the ``n`` heaviest terms of each topic."""
-    described = model.describeTopics(min(n, len(words))).collect()
-    spark = SparkSession.active()
-    rows = [
-        (t.topic, r + 1, words[i], float(w))
-        for t in described
-        for r, (i, w) in enumerate(zip(t.termIndices, t.termWeights))
-    ]
-    return spark.createDataFrame(rows, TOPIC_TERMS)
+    return rank_terms(topic_weights(model, vocabulary), n)
 
 
-def topic_weights(model: LDAModel, words: list[str]) -> DataFrame:
-    """``(topic, term, weight)`` for the whole vocabulary."""
-    spark = SparkSession.active()
-    flat = model.describeTopics(len(words)).select(
-        "topic", F.inline(F.arrays_zip("termIndices", "termWeights")).alias("id", "weight")
-    )
-    terms = spark.createDataFrame(list(enumerate(words)), "id int, term string")
-    return flat.join(broadcast_if_small(terms, BROADCAST_TERMS), "id").select(
-        "topic", "term", "weight"
-    )
+def sweep_terms(sweep: Sweep, vocabulary: DataFrame, n: int = 20) -> DataFrame:
+    """``(k, topic, rank, term, weight)``: heaviest terms of all topics of all models."""
+    whole = LdaModel(len(sweep.totals), sweep.terms, sweep.totals, [])
+    places = [(k, topic) for k in sorted(sweep.starts) for topic in range(k)]
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("topic")) for k, t in places])
+    ranked = topic_terms(whole, vocabulary, n).withColumn("place", F.get(pairs, F.col("topic")))
+    return ranked.select("place.k", "place.topic", "rank", "term", "weight")
 
 
 def rank_terms(weights: DataFrame, n: int = 10) -> DataFrame:
@@ -104,22 +79,12 @@ def topic_keywords(terms: DataFrame) -> DataFrame:
     )
 
 
-def document_topics(model: LDAModel, bags: DataFrame) -> DataFrame:
+def document_topics(model: LdaModel, bags: DataFrame) -> DataFrame:
     """``(doc_id, ticker, year, n_tokens, theta)``; weights always sum to 1.
 
     A document with no word in the vocabulary gets the prior.
     """
-    k = model.getK()
-    prior = F.array(*[F.lit(x) for x in document_prior(k)])
-    theta = vector_to_array("topicDistribution")
-    return model.transform(bags).select(
-        "doc_id",
-        "ticker",
-        "year",
-        "n_tokens",
-        *[c for c in ("source_path",) if c in bags.columns],
-        V.let(theta, lambda t: F.when(V.total(t) > 0, t).otherwise(prior)).alias("theta"),
-    )
+    return lda.infer_topics(model, bags)
 
 
 def topics_long(doc_topics: DataFrame) -> DataFrame:
@@ -145,13 +110,6 @@ def topics_wide(doc_topics: DataFrame, k: int) -> DataFrame:
     )
 
 
-def normalise_weights(long: DataFrame, floor: float = 1e-10) -> DataFrame:
-    """Long weights raised to ``floor`` and scaled to sum 1 within the document."""
-    raised = long.withColumn("weight", F.greatest("weight", F.lit(floor)))
-    size = F.sum("weight").over(Window.partitionBy("doc_id"))
-    return raised.withColumn("weight", F.col("weight") / size)
-
-
 def best_score(scores: DataFrame) -> DataFrame:
     """The row with the highest score; the smallest K among equals."""
     return scores.orderBy(F.desc("score"), "k").limit(1)
@@ -160,15 +118,14 @@ def best_score(scores: DataFrame) -> DataFrame:
 @dataclass
 class TopicSearch:
     best_k: int
-    models: dict[int, LDAModel]
+    sweep: Sweep
     scores: DataFrame
-    words: list[str]
     vocabulary: DataFrame
     bags: DataFrame
 
     @property
-    def model(self) -> LDAModel:
-        return self.models[self.best_k]
+    def model(self) -> LdaModel:
+        return self.sweep.model(self.best_k)
 
 
 def search_topics(
@@ -182,27 +139,23 @@ def search_topics(
     max_share: float = 0.7,
     limit: int | None = None,
 ) -> TopicSearch:
-    """Fit every K in the range on the same bags and keep the most coherent.
+    """Fit every K in the range in the same passes and keep the most coherent.
 
-    ``tokens`` is read once per K for the coherence, so hand over a stored table.
+    The tokens are read once for the coherence of all models.
     """
     vocabulary = build_vocabulary(tokens, min_df, max_share, limit)
     if vocabulary.isEmpty():
         raise ValueError("no token passes the document-frequency bounds")
-    counter = bag_counter(vocabulary)
-    words = counter.vocabulary
-    bags = prepare_bags(tokens, counter)
-    features = bags.select("features").persist()
-    models, rows = {}, []
-    for k in range(min_topics, max_topics + 1):
-        models[k] = fit_lda(features, k, passes, seed)
-        top = topic_terms(models[k], words, 20)
-        score = coherence(tokens, top, measure=measure).agg(F.avg("coherence")).first()[0]
-        rows.append((k, float(score)))
-    features.unpersist()
-    scores = tokens.sparkSession.createDataFrame(rows, SCORES)
+    bags = prepare_bags(tokens, vocabulary)
+    ks = list(range(min_topics, max_topics + 1))
+    sweep = lda.fit_sweep(bags, ks, passes, seed)
+    top = durable(sweep_terms(sweep, vocabulary), "sweep-terms")
+    scored = coherence(tokens, top, measure=measure).groupBy("k").agg(F.avg("coherence").alias("score"))
+    found = {r.k: r.score for r in scored.collect()}
+    rows = [(k, float(found.get(k) or 0.0)) for k in ks]
     best_k = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    return TopicSearch(best_k, models, scores, words, vocabulary, bags)
+    scores = tokens.sparkSession.createDataFrame(rows, SCORES)
+    return TopicSearch(best_k, sweep, scores, vocabulary, bags)
 
 
 def topic_prevalence(doc_topics: DataFrame, lengths: DataFrame, k: int) -> DataFrame:

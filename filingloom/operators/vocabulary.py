@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,26 +86,6 @@ def bag_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return term_counts(tokens).join(ids, "token").select("doc_id", "token", "id", "cnt")
 
 
-def bag_counter(vocabulary: DataFrame) -> CountVectorizerModel:
-    """Turns ``tokens`` into sparse counts ``features`` in the order of the ids.
-
-    A fit depends on that order, so it is given and not left to a term count. The words pass
-    through the driver, where the fitted model holds a weight per topic and word anyway; on
-    corpora with too many words for that, bound them by ``min_df`` or ``limit``.
-    """
-    rows = vocabulary.select("id", "token").collect()
-    words = [token for _, token in sorted((r.id, r.token) for r in rows)]
-    # handed over in one call: word by word takes longer than the fit
-    jvm = vocabulary.sparkSession.sparkContext._jvm
-    array = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(words)) if words else None
-    if array is None:
-        return CountVectorizerModel.from_vocabulary([], inputCol="tokens", outputCol="features")
-    model = CountVectorizerModel._create_from_java_class(
-        "org.apache.spark.ml.feature.CountVectorizerModel", array
-    )
-    return model.setInputCol("tokens").setOutputCol("features")
-
-
 def document_lengths(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(doc_id, length)``: tokens that the vocabulary holds, per document."""
     return (

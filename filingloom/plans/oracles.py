@@ -412,6 +412,8 @@ SELECT ticker, arg_min(word_count, path) FILTER (year = 2023)::DOUBLE AS before,
 FROM sections GROUP BY ticker HAVING count(DISTINCT year) = 2"""
 ORACLES["doc_topics_check"] = """
 SELECT count(*) AS documents, 5::BIGINT AS topics, count(*) AS whole FROM documents"""
+ORACLES["lda_model_check"] = f"""WITH {VOCABULARY}
+SELECT count(*) AS terms, 5::BIGINT AS topics, 5::BIGINT AS whole, 14::BIGINT AS rising FROM voc"""
 ORACLES["kmeans_check"] = "SELECT count(*) AS points, count(*) AS nearest FROM embeddings"
 ORACLES["paragraph_vectors_check"] = f"""{_PIECES}
 SELECT count(*) AS paragraphs, count(*) AS whole FROM pieces WHERE length(paragraph) > 100"""
@@ -427,3 +429,13 @@ FROM ranked LEFT JOIN labels_t USING (topic) WHERE ranked.rank <= 10 GROUP BY to
 UNION ALL
 SELECT 'kmeans', cluster, coalesce(label, 'Unnamed Embedding Topic ' || cluster), size, rank, summary
 FROM sizes LEFT JOIN texts USING (cluster) LEFT JOIN labels_c USING (cluster)"""
+ORACLES["filing_tree_round_trip"] = ORACLES["filing_extract"]
+ORACLES["flat_files_round_trip"] = ORACLES["flat_filings"]
+ORACLES["similarity_classes"] = f"WITH {NET} SELECT src, dst FROM sims WHERE weight > 0.75"
+ORACLES["paragraph_svd_check"] = ORACLES["paragraph_vectors_check"]
+ORACLES["encoded_paragraphs"] = f"""{_PIECES}, counts AS (
+    SELECT doc_id || '-' || para_pos AS para_id, list_transform(string_split('aeinorst', ''),
+        lambda c: (length(paragraph) - length(replace(paragraph, c, '')))::DOUBLE) AS n
+    FROM pieces WHERE length(paragraph) > 100)
+SELECT para_id, round(list_sum(n) / sqrt(list_sum(list_transform(n, lambda x: x * x))), 6) AS total, 1.0::DOUBLE AS length
+FROM counts"""

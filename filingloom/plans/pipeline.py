@@ -17,6 +17,7 @@ from filingloom.operators import report as R
 from filingloom.operators import tokens as T
 from filingloom.operators import topics as TP
 from filingloom.operators import vocabulary as VO
+from filingloom.operators.svd import svd_vectors
 from filingloom.runtime import durable
 from filingloom.schemas import RESULTS, empty
 
@@ -83,8 +84,8 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         cfg.vocabulary_limit,
     )
     k = search.best_k
-    terms = TP.topic_terms(search.model, search.words, 10)
-    weights = TP.topic_weights(search.model, search.words)
+    terms = TP.topic_terms(search.model, search.vocabulary, 10)
+    weights = durable(TP.topic_weights(search.model, search.vocabulary), "topic-weights")
     doc_topics = durable(TP.document_topics(search.model, search.bags), "doc-topics")
     lengths = VO.document_lengths(tokens, search.vocabulary)
     topic_labels = _labels(spark, "topic", cfg.topic_labels)
@@ -94,7 +95,7 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
     if cfg.encoder:
         vectors = cfg.encoder(paragraphs)
     else:
-        vectors = E.tfidf_vectors(E.paragraph_tokens(paragraphs, stop))
+        vectors = svd_vectors(E.paragraph_tokens(paragraphs, stop))
     vectors = durable(vectors, "vectors")
     found = C.search_clusters(
         vectors, cfg.min_clusters, cfg.max_clusters, cfg.seed, cfg.restarts

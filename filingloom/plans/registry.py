@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,13 @@ from filingloom.operators import embeddings as E
 from filingloom.operators import exposure as EX
 from filingloom.operators import network as N
 from filingloom.operators import report as R
+from filingloom.operators import svd as SVD
 from filingloom.operators import tokens as T
 from filingloom.operators import topics as TP
 from filingloom.operators import vocabulary as VO
 from filingloom.plans.pipeline import Config, run_pipeline
-from filingloom.runtime import durable, spread
-from filingloom.sources import extract_filings, flat_filings, from_table
+from filingloom.runtime import durable, durable_root, spread
+from filingloom.sources import extract_filings, flat_filings, from_table, read_filings, read_flat, write_files
 
 K = 8
 FIRST, SECOND = 2023, 2024
@@ -224,6 +226,30 @@ def flat_filings_query(spark, sf):
     return _big(flat_filings(raw).drop("doc_id", "source_path"), "year", "word_count")
 
 
+def filing_tree_round_trip(spark, sf):
+    """Documents written as a filing tree, beside files of another name, and read back."""
+    raw = raw_filings(spark, sf)
+    name = F.replace(F.col("path"), F.lit("file:/filings/"), F.lit(""))
+    strange = F.replace(name, F.lit("full-submission"), F.lit("other"))
+    root = f"{durable_root(spark)}/filingloom/{spark.sparkContext.applicationId}/tree-{uuid.uuid4().hex}"
+    files = raw.select(name.alias("name"), "value").union(raw.select(strange, "value"))
+    write_files(files, root).write.format("noop").mode("overwrite").save()
+    return _big(read_filings(spark, root).drop("doc_id", "source_path"), "year", "word_count")
+
+
+def flat_files_round_trip(spark, sf):
+    """Documents written as flat files, some with a malformed name, and read back."""
+    d = F.col("doc_id")
+    given = F.concat_ws("_", "source", _year(d).cast("string"), d.cast("string"), F.lit("risk_factors.txt"))
+    malformed = F.concat_ws("_", "source", F.lit("x"), d.cast("string"), F.lit("risk_factors.txt"))
+    name = F.when(d % 9 == 0, malformed).otherwise(given)
+    root = f"{durable_root(spark)}/filingloom/{spark.sparkContext.applicationId}/flat-{uuid.uuid4().hex}"
+    write_files(documents(spark, sf).select(name.alias("name"), F.col("text").alias("value")), root).write.format(
+        "noop"
+    ).mode("overwrite").save()
+    return _big(read_flat(spark, root).drop("doc_id", "source_path"), "year", "word_count")
+
+
 def html_clean(spark, sf):
     return _table(spark, sf, "pages").select("page_id", X.clean_markup("html").alias("text"))
 
@@ -443,6 +469,13 @@ def components_default(spark, sf):
     return N.exposure_components(durable(profiles_40(spark, sf), "exposure"))
 
 
+def similarity_classes(spark, sf):
+    """Links at the default threshold as cells that are linked as wholes and single links,
+    written out again."""
+    found = N.similarity_classes(durable(profiles_40(spark, sf), "exposure"))
+    return N.expand_classes(*found)
+
+
 def similarity_edges_blocked(spark, sf):
     """Cells cut into blocks of a few companies, as for very many companies."""
     out = N.similarity_edges(profiles_40(spark, sf), 0.97, cell_limit=4)
@@ -551,16 +584,16 @@ def cluster_choice(spark, sf):
 
 
 def _five_topics(spark, sf):
-    """A fit with five topics on all documents: its model, words and bags."""
+    """A fit with five topics on all documents: its model, vocabulary and bags."""
     toks = stored_tokens(spark, sf)
-    counter = VO.bag_counter(VO.build_vocabulary(toks))
-    bags = TP.prepare_bags(toks, counter)
-    return TP.fit_lda(bags, 5), counter.vocabulary, bags
+    vocabulary = VO.build_vocabulary(toks)
+    bags = TP.prepare_bags(toks, vocabulary)
+    return TP.fit_lda(bags, 5), vocabulary, bags
 
 
 def topic_terms(spark, sf):
-    model, words, _ = _five_topics(spark, sf)
-    return TP.topic_terms(model, words, 10)
+    model, terms, _ = _five_topics(spark, sf)
+    return TP.topic_terms(model, terms, 10)
 
 
 def doc_topics(spark, sf):
@@ -576,7 +609,8 @@ def lda_drift(spark, sf):
 
 
 def lda_search(spark, sf):
-    return TP.search_topics(stored_tokens(spark, sf), 2, 4).scores
+    """Default range: 5 to 15 topics, fitted and scored together."""
+    return TP.search_topics(stored_tokens(spark, sf)).scores
 
 
 def paragraph_vectors(spark, sf):
@@ -621,6 +655,19 @@ def doc_topics_check(spark, sf):
     )
 
 
+def lda_model_check(spark, sf):
+    """Terms and topics of a fit, topics whose weights sum to 1, passes that raised the bound,
+    and whether the learned prior differs between terms."""
+    model, terms, _ = _five_topics(spark, sf)
+    rising = sum(b > a for a, b in zip(model.bounds, model.bounds[1:]))
+    sums = TP.topic_weights(model, terms).groupBy("topic").agg(F.sum("weight").alias("s"), F.count("*").alias("n"))
+    return sums.agg(
+        F.max("n").alias("terms"),
+        F.count("*").alias("topics"),
+        F.count_if(F.abs(F.col("s") - 1) < 1e-6).alias("whole"),
+    ).withColumn("rising", F.lit(rising).cast("long"))
+
+
 def kmeans_check(spark, sf):
     """Points, and points assigned to their nearest centroid; default restarts."""
     found = C.search_clusters(points(spark, sf).drop("cluster"), 5, 5)
@@ -638,13 +685,41 @@ def paragraph_vectors_check(spark, sf):
 
 
 def full_analysis(spark, sf):
-    """The whole analysis; shows the network-and-drift summary per company."""
-    config = Config(
-        FIRST, SECOND, min_topics=3, max_topics=4, passes=10, separator="\n",
-        min_clusters=4, max_clusters=5, restarts=1, topic_labels=TOPIC_LABELS,
-    )
+    """The whole analysis with its default numbers of topics, passes, clusters and restarts:
+    rows and a checksum of every result table."""
+    config = Config(FIRST, SECOND, separator="\n", topic_labels=TOPIC_LABELS, cluster_labels=CLUSTER_LABELS)
     tables = run_pipeline(corpus(spark, sf), config)
-    return tables["components"].join(tables["drift"], "ticker", "left")
+    rows = []
+    for name, table in tables.items():
+        texts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in table.columns]
+        # one row for each result table
+        found = table.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*texts)), F.lit(0)).alias("x")).first()
+        rows.append((name, found.n, found.x))
+    return spark.createDataFrame(rows, "name string, rows long, checksum long")
+
+
+def encoded_paragraphs(spark, sf):
+    """Vectors of a caller's model, here letter counts, loaded once a task."""
+    paras = CO.split_paragraphs(corpus(spark, sf), sep="\n").select("para_id", "paragraph")
+
+    def load():
+        return lambda texts: [[float(t.count(letter)) for letter in "aeinorst"] for t in texts]
+
+    out = E.encode(paras, load)
+    return out.select("para_id", F.round(V.total("embedding"), 6).alias("total"), F.round(V.norm("embedding"), 6).alias("length"))
+
+
+def paragraph_svd(spark, sf):
+    """Vectors in the leading directions of weighted word counts."""
+    paras = CO.split_paragraphs(corpus(spark, sf), sep="\n").select("para_id", "paragraph")
+    return SVD.svd_vectors(E.paragraph_tokens(paras, T.stop_words(spark)).drop("paragraph"))
+
+
+def paragraph_svd_check(spark, sf):
+    """Paragraphs, and those whose vector has length 1 (or 0 without any word)."""
+    length = V.norm("embedding")
+    whole = (F.abs(length - 1) < 1e-9) | (length == 0)
+    return paragraph_svd(spark, sf).agg(F.count("*").alias("paragraphs"), F.count_if(whole).alias("whole"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -717,7 +792,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_search": kmeans_search,
     "comparison_report": comparison_report,
     "doc_topics_check": doc_topics_check,
+    "lda_model_check": lda_model_check,
     "kmeans_check": kmeans_check,
     "paragraph_vectors_check": paragraph_vectors_check,
+    "paragraph_svd": paragraph_svd,
+    "paragraph_svd_check": paragraph_svd_check,
+    "encoded_paragraphs": encoded_paragraphs,
+    "filing_tree_round_trip": filing_tree_round_trip,
+    "flat_files_round_trip": flat_files_round_trip,
+    "similarity_classes": similarity_classes,
     "full_analysis": full_analysis,
 }

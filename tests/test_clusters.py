@@ -1,9 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from filingloom.operators import clusters as C
 from filingloom.operators import embeddings as E
+from filingloom.operators import kmeans as KM
+from filingloom.operators import svd as SVD
 
 
 def table(spark, x, labels=None):
@@ -91,15 +94,75 @@ def test_search_finds_planted_clusters(spark):
     assert set(labels) <= {0, 1, 2}
     assert all(len(set(labels[i : i + 15])) == 1 for i in (0, 15, 30))
     assert found.centroids.count() == 3
-    features = found.assigned.select(C.array_to_vector("embedding").alias("features"))
-    single = [C.KMeans(k=3, seed=42 + i).fit(features).summary.trainingCost for i in range(3)]
-    assert C.fit_kmeans(features, 3, 42, 3).summary.trainingCost == pytest.approx(min(single))
+
+
+def spark_costs(spark, x, k, restarts):
+    features = table(spark, x).select(C.array_to_vector("embedding").alias("features")).cache()
+    return [KMeans(k=k, seed=42 + i).fit(features).summary.trainingCost for i in range(restarts)]
+
+
+def test_all_models_together_cost_no_more_than_single_fits(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([c + rng.normal(0, 0.5, (40, 3)) for c in rng.normal(0, 4, (6, 3))])
+    fits = KM.fit_many(KM.stored(table(spark, x)), [2, 4, 6], restarts=5)
+    assert sorted(fits) == [2, 4, 6]
+    for k, fit in fits.items():
+        gaps = ((x[:, None] - fit.centres[None]) ** 2).sum(axis=2).min(axis=1)
+        assert fit.cost == pytest.approx(gaps.sum())
+        assert fit.cost <= min(spark_costs(spark, x, k, 5)) * 1.001
+
+
+def test_one_job_for_each_iteration(spark):
+    rng = np.random.default_rng(3)
+    points = KM.stored(table(spark, rng.normal(size=(300, 3))))
+    calls = []
+    inner = KM._aggregate
+    KM._aggregate = lambda p, m: calls.append(len(m)) or inner(p, m)
+    try:
+        fits = KM.fit_many(points, [2, 3, 4], restarts=4)
+    finally:
+        KM._aggregate = inner
+    # draws and their weights, one for the spread, then the iterations of the slowest model
+    assert calls[: KM.DRAWS + 1] == [4] * (KM.DRAWS + 1) and calls[KM.DRAWS + 1] == 1
+    iterations = calls[KM.DRAWS + 2 :]
+    assert iterations[0] == 12 and sorted(iterations, reverse=True) == iterations
+    assert max(f.iterations for f in fits.values()) <= len(iterations) <= KM.ITERATIONS
+
+
+def test_scores_of_all_models_equal_single_scores(spark):
+    rng = np.random.default_rng(5)
+    points = table(spark, rng.normal(size=(120, 4))).drop("cluster")
+    fits = KM.fit_many(KM.stored(points), [2, 3, 5], restarts=2)
+    scores = KM.score_many(points, fits)
+    for k, fit in fits.items():
+        assert scores[k] == pytest.approx(C.silhouette_squared(KM.assign(points, fit.centres)))
+
+
+def test_fewer_different_points_than_clusters(spark):
+    points = KM.stored(table(spark, [[0, 0]] * 5 + [[3, 4]] * 5))
+    fits = KM.fit_many(points, [2, 4], restarts=2)
+    assert fits[2].cost == pytest.approx(0) and fits[4].cost == pytest.approx(0)
+    assert len(fits[4].centres) == 2
+    same = KM.stored(table(spark, [[1, 1]] * 4))
+    alone = KM.fit_many(same, [3], restarts=1)
+    assert len(alone[3].centres) == 1 and KM.score_many(same, alone) == {}
+
+
+def test_silhouette_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, labels = rng.normal(size=(230, 3)), rng.integers(0, 4, 230)
+    x[5] = x[6]  # the same point twice
+    monkeypatch.setattr(C, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 24 * 30)
+    got = {r.para_id: r.silhouette for r in C.silhouette_points(table(spark, x, labels)).collect()}
+    want = brute_silhouette(x, labels)
+    assert [got[f"p{i:04d}"] for i in range(230)] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("n", [0, 1])
 def test_too_few_points_give_one_dummy_cluster(spark, n):
     found = C.search_clusters(table(spark, np.zeros((n, 2))).drop("cluster"))
-    assert (found.best_k, found.score, found.model) == (1, C.NO_SCORE, None)
+    assert (found.best_k, found.score, found.fit) == (1, C.NO_SCORE, None)
     assert [r.cluster for r in found.assigned.collect()] == [0] * n
 
 
@@ -139,3 +202,48 @@ def test_external_model_loads_per_task(spark):
     rows = {r.para_id: r.embedding for r in E.encode(paragraphs(spark), load, batch=2).collect()}
     assert rows["c"] == [0.0, 1.0]
     assert rows["d"] == pytest.approx([15 / np.hypot(15, 3), 3 / np.hypot(15, 3)])
+
+
+def test_svd_vectors_are_unit_or_zero(spark):
+    toks = E.paragraph_tokens(paragraphs(spark), [])
+    out = SVD.svd_vectors(toks, dim=3, slots=1 << 10)
+    assert out.columns == ["para_id", "paragraph", "embedding"]
+    rows = {r.para_id: np.array(r.embedding) for r in out.collect()}
+    assert len(rows) == 4 and all(len(v) == 3 for v in rows.values())
+    assert np.linalg.norm(rows["c"]) == 0
+    assert [np.linalg.norm(rows[i]) for i in "abd"] == pytest.approx([1, 1, 1])
+    assert rows["a"] @ rows["b"] > rows["a"] @ rows["d"]
+    assert SVD.svd_vectors(toks.where("false"), dim=3).count() == 0
+
+
+def test_svd_spans_the_leading_directions(spark):
+    """The same subspace as a dense decomposition of the weighted, scaled matrix."""
+    rng = np.random.default_rng(6)
+    shares = rng.dirichlet([0.1] * 40, 4)
+    docs = [[f"w{w}" for w in rng.choice(40, 60, p=shares[i % 4])] for i in range(60)]
+    toks = spark.createDataFrame([(f"p{i}", d) for i, d in enumerate(docs)], "para_id string, tokens array<string>")
+    got = {r.para_id: np.array(r.embedding) for r in SVD.svd_vectors(toks, dim=4, rounds=6).collect()}
+    words = sorted({w for d in docs for w in d})
+    x = np.array([[d.count(w) for w in words] for d in docs], float)
+    x *= np.log((len(docs) + 1) / ((x > 0).sum(axis=0) + 1)) + 1e-9
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x @ np.linalg.svd(x)[2][:4].T
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    mine = np.array([got[f"p{i}"] for i in range(60)])
+    assert np.abs(mine @ mine.T - y @ y.T).max() < 0.02
+
+
+def test_words_used_alike_are_closer_than_by_slots(spark):
+    rng = np.random.default_rng(9)
+    themes = {"car": "engine wheel road driver fuel".split(), "tree": "leaf forest branch root bark".split()}
+    names = {"car": ["automobile", "vehicle"], "tree": ["oak", "maple"]}
+    rows = []
+    for i in range(120):
+        theme = "car" if i % 2 else "tree"
+        rows.append((f"p{i}", [names[theme][i // 2 % 2], *rng.choice(themes[theme], 4, replace=False)]))
+    rows += [("x", ["automobile"]), ("y", ["vehicle"]), ("z", ["oak"])]
+    toks = spark.createDataFrame([(i, [str(w) for w in t]) for i, t in rows], "para_id string, tokens array<string>")
+    svd = {r.para_id: np.array(r.embedding) for r in SVD.svd_vectors(toks, dim=2).collect()}
+    slots = {r.para_id: np.array(r.embedding) for r in E.tfidf_vectors(toks, 4096).collect()}
+    assert slots["x"] @ slots["y"] == pytest.approx(0)
+    assert svd["x"] @ svd["y"] > 0.9 and abs(svd["x"] @ svd["z"]) < 0.3

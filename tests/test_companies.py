@@ -206,3 +206,71 @@ def test_contracted_cells_give_the_same_components(spark, threshold):
     exposure = exposure_table(spark, vectors)
     plain = N.connected_components(N.vertices(exposure), N.similarity_edges(exposure, threshold))
     assert sorted(map(tuple, N.exposure_components(exposure, threshold).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def expanded(found):
+    members, classes, pairs = (t.collect() for t in found)
+    cells = {}
+    for r in members:
+        cells.setdefault(r.cell, []).append(r.ticker)
+    out = [(r.src, r.dst) for r in pairs]
+    for r in classes:
+        for a in cells[r.cell_a]:
+            for b in cells[r.cell_b]:
+                if r.cell_a != r.cell_b or a < b:
+                    out.append((min(a, b), max(a, b)))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.75, 0.95, 0.999])
+@pytest.mark.parametrize("signs", [False, True])
+def test_classes_hold_every_link_once(spark, threshold, signs):
+    rng = np.random.default_rng(int(threshold * 100) + signs)
+    vectors = rng.normal(size=(80, 4)) if signs else rng.dirichlet([0.4] * 4, 80)
+    vectors[:30] = vectors[0] + rng.normal(0, 0.005, (30, 4))
+    vectors[31] = vectors[30]
+    vectors[32] = 0
+    table = exposure_table(spark, vectors)
+    found = N.similarity_classes(table, threshold)
+    links = expanded(found)
+    assert len(links) == len(set(links))
+    assert set(links) == set(brute_edges(vectors, threshold))
+    written = N.expand_classes(*found).collect()
+    assert sorted((r.src, r.dst) for r in written) == sorted(links)
+    for r in found[2].collect():
+        a, b = int(r.src[1:]), int(r.dst[1:])
+        assert r.weight == pytest.approx(brute_edges(vectors[[a, b]], -2)["c000", "c001"])
+
+
+def test_classes_of_a_crowd_are_few(spark):
+    """Two crowds: links grow with the square of their size, classes and members do not."""
+    rows = []
+    for size in (100, 200):
+        rng = np.random.default_rng(1)
+        crowd = np.vstack([c + rng.uniform(0, 0.002, (size, 3)) for c in ([0.503, 0.303, 0.203], [0.203, 0.703, 0.103])])
+        members, classes, pairs = N.similarity_classes(exposure_table(spark, crowd))
+        assert N.expand_classes(members, classes, pairs).count() >= size * (size - 1)
+        rows.append((members.count(), classes.count() + pairs.count()))
+    assert rows[0][0] == 200 and rows[1][0] == 400
+    assert rows[1][1] <= 2 * rows[0][1] + 50
+    for t in (0.0, 1.0):
+        with pytest.raises(ValueError):
+            N.similarity_classes(exposure_table(spark, [[1, 2]]), t)
+    for vectors in ([], [[0, 0]], [[1, 0]]):
+        assert N.expand_classes(*N.similarity_classes(exposure_table(spark, vectors))).count() == 0
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_components_of_stars_with_hubs(spark, monkeypatch, limit):
+    """Hubs over the limit of links, sent to their links or spread over parts."""
+    monkeypatch.setattr(N, "HUB_LINKS", 20)
+    monkeypatch.setattr(N, "HUB_LIMIT", limit)
+    monkeypatch.setattr(N, "HUB_PARTS", 5)
+    pairs = [(500, i) for i in range(100)] + [(900, 1000 + i) for i in range(80)] + [(99, 901), (901, 902)]
+    pairs += [(2000 + i, 2001 + i) for i in range(30)] + [(2000, 1001)]
+    numbers = sorted({x for p in pairs for x in p})
+    vertices = spark.createDataFrame([(n,) for n in numbers], "ticker long")
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    found = {r.ticker: r.component for r in N.connected_components(vertices, edges).collect()}
+    assert {found[n] for n in numbers if n < 500 or n in (500, 901, 902)} == {0}
+    assert {found[n] for n in numbers if n >= 1000 or n == 900} == {900}

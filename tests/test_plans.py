@@ -79,10 +79,10 @@ def test_one_shuffle_each(spark, corpus, theta):
 
 def test_coherence_shuffles_occurrences_once(spark, corpus):
     toks = durable(T.tokenize(corpus, []), "tokens")
-    terms = spark.createDataFrame([(0, "ther", 0), (0, "tion", 1)], "topic int, term string, bit int")
-    text = plan(CH.window_sets(toks, terms))
+    terms = spark.createDataFrame([(0, 0, "ther", 0), (0, 0, "tion", 1)], "k int, topic int, term string, bit int")
+    text = plan(CH.window_sets(CH.window_spans(toks, terms), terms))
     assert text.count("Exchange hashpartitioning(doc_id") == 1
-    assert "Exchange hashpartitioning(topic" in text  # the small aggregate of sets
+    assert "Exchange hashpartitioning(k" in text  # the small aggregate of sets
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 

@@ -3,7 +3,15 @@ from pyspark.sql import functions as F
 
 from filingloom.operators.drift import yearly_profiles
 from filingloom.schemas import CORPUS
-from filingloom.sources import extract_filings, read_filings, read_flat, write_results
+from filingloom.sources import (
+    extract_filings,
+    flat_name,
+    read_filings,
+    read_flat,
+    tree_name,
+    write_files,
+    write_results,
+)
 
 LONG_A = "alpha risk " * 12
 LONG_B = "beta risk " * 12
@@ -121,3 +129,29 @@ def test_paths_are_decoded_and_order_filings(spark, tmp_path):
     assert {(r.ticker, *r.before, *r.after) for r in first.collect()} == {
         (t, 1.0, 1.0) for t in ("BRK B", "A+B", "C%D", "E%20F")
     }
+
+
+def test_written_trees_and_flat_files_are_read_back(spark, tmp_path):
+    text = "CONFORMED PERIOD OF REPORT:\t20231231\nItem 1A. Risk Factors\nunsafe é\nItem 1B."
+    rows = [("AA", 2023, "x1", text), ("B&C+1", 2024, "x 2", text.replace("2023", "2024")), ("DD", 2023, "x3", None)]
+    table = spark.createDataFrame(rows, "ticker string, year int, accession string, value string")
+    tree = table.select(tree_name("ticker", "accession").alias("name"), "value")
+    for _ in range(2):  # a repeated write replaces whole files
+        written = {r.path: r.bytes for r in write_files(tree, f"{tmp_path}/tree").collect()}
+    assert len(written) == 3 and sorted(written.values())[0] == 0
+    found = sorted((r.ticker, r.year, r.text) for r in read_filings(spark, f"{tmp_path}/tree").collect())
+    assert [(t, y) for t, y, _ in found] == [("AA", 2023), ("B&C+1", 2024)]
+    assert all("unsafe é" in x for _, _, x in found)
+    assert not [f for f in (tmp_path / "tree").rglob("*") if f.name.startswith("_")]
+
+    flat = table.where("ticker <> 'DD'").select(flat_name("ticker", "year").alias("name"), "value")
+    write_files(flat, f"file://{tmp_path}/flat").collect()
+    assert sorted((r.ticker, r.year) for r in read_flat(spark, f"{tmp_path}/flat").collect()) == [("AA", 2023), ("B&C+1", 2024)]
+    assert write_files(flat.where("false"), f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["../up.txt", "a//b.txt", "", None])
+def test_files_are_written_below_their_root_only(spark, tmp_path, name):
+    files = spark.createDataFrame([(name, "x")], "name string, value string")
+    with pytest.raises(Exception, match="not a relative path"):
+        write_files(files, str(tmp_path)).collect()

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingloom.operators import coherence as CH
+from filingloom.operators import lda as LDA
 from filingloom.operators import topics as TP
 from filingloom.operators import vocabulary as VO
+from filingloom.runtime import durable
 
 
 def token_table(spark, docs):
@@ -111,49 +113,140 @@ def planted(spark):
 
 def test_search_finds_planted_topics(planted):
     toks, found = planted
-    assert sorted(found.models) == [2, 3]
+    assert sorted(found.sweep.starts) == [2, 3]
     rows = found.scores.orderBy("k").collect()
     assert found.best_k == TP.best_score(found.scores).first().k
     assert len(rows) == 2
-    terms = TP.topic_terms(found.models[2], found.words, 8).collect()
+    terms = TP.topic_terms(found.sweep.model(2), found.vocabulary, 8).collect()
     sides = [{r.term[:4] for r in terms if r.topic == t} for t in (0, 1)]
     assert sides in ([{"left"}, {"righ"}], [{"righ"}, {"left"}])
-    assert [r.rank for r in terms if r.topic == 0] == list(range(1, 9))
+    assert sorted(r["rank"] for r in terms if r.topic == 0) == list(range(1, 9))
+
+
+def test_scores_of_the_sweep_equal_single_scores(planted):
+    toks, found = planted
+    for r in found.scores.collect():
+        top = TP.topic_terms(found.sweep.model(r.k), found.vocabulary, 20)
+        single = CH.coherence(toks, top).agg(F.avg("coherence")).first()[0]
+        assert r.score == pytest.approx(single)
 
 
 def test_document_weights_sum_to_one(planted):
     toks, found = planted
-    theta = TP.document_topics(found.models[2], found.bags).collect()
+    theta = TP.document_topics(found.sweep.model(2), found.bags).collect()
     assert len(theta) == 41
     for r in theta:
         assert sum(r.theta) == pytest.approx(1.0)
         assert min(r.theta) >= 0
     lost = next(r for r in theta if r.doc_id == 40)
-    assert lost.theta == pytest.approx(TP.document_prior(2))
+    assert lost.theta == pytest.approx(LDA.document_prior(2))
     sides = {r.doc_id: int(np.argmax(r.theta)) for r in theta}
     assert len({sides[i] for i in range(20)}) == 1
     assert {sides[i] for i in range(20)} != {sides[i] for i in range(20, 40)}
 
 
-def test_seeded_fit_repeats(planted):
+def weights_of(model):
+    return np.array([r.weights for r in model.terms.orderBy("id").collect()])
+
+
+def test_seeded_fit_repeats_alone_and_in_a_sweep(planted):
+    toks, found = planted
+    again = TP.fit_lda(found.bags, 2, 10)
+    assert np.allclose(weights_of(again), weights_of(found.sweep.model(2)))
+    assert again.bounds == pytest.approx(found.sweep.model(2).bounds)
+
+
+def reference_fit(bags, k, passes, start, prior):
+    """The same inference document by document and topic by topic, without a learned prior."""
+    weights, alpha = start.copy(), np.array(LDA.document_prior(k))
+    for _ in range(passes):
+        beta = np.exp(LDA.digamma(weights) - LDA.digamma(weights.sum(axis=0)))
+        stats = np.zeros_like(weights)
+        for ids, counts in bags:
+            if not len(ids):
+                continue
+            gamma = alpha + counts.sum() / k
+            for _ in range(LDA.ROUNDS):
+                theta = np.exp(LDA.digamma(gamma) - LDA.digamma(gamma.sum()))
+                share = theta * beta[ids]
+                share /= share.sum(axis=1, keepdims=True)
+                new = alpha + counts @ share
+                done, gamma = np.abs(new - gamma).mean() < LDA.TOLERANCE / 100, new
+                if done:
+                    break
+            theta = np.exp(LDA.digamma(gamma) - LDA.digamma(gamma.sum()))
+            share = theta * beta[ids]
+            stats[ids] += counts[:, None] * share / share.sum(axis=1, keepdims=True)
+        weights = stats + prior
+    return weights
+
+
+def test_passes_equal_inference_document_by_document(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [[f"w{rng.randrange(12)}" for _ in range(rng.randint(0, 25))] for _ in range(30)]
+    toks = token_table(spark, docs)
+    words = VO.build_vocabulary(toks, 1, 1.0)
+    bags = TP.prepare_bags(toks, words)
+    monkeypatch.setattr(LDA, "STEPS", (0.0,))  # the prior stays
+    monkeypatch.setattr(LDA, "TOLERANCE", 1e-5)
+    monkeypatch.setattr(LDA, "BATCH_ENTRIES", 50)
+    start = {r.id: r["values"][1:] for r in LDA._first_table(bags, [3], 42).collect()}
+    start = np.array([start[i] for i in range(len(start))]) + 1 / 3
+    rows = [(np.array(r.ids), np.array(r.counts, float)) for r in bags.collect()]
+    got = weights_of(TP.fit_lda(bags, 3, 2))
+    assert got == pytest.approx(reference_fit(rows, 3, 2, start, 1 / 3), rel=0.02, abs=0.02)
+
+
+def test_every_pass_raises_the_bound_and_learns_the_prior(spark):
+    rng = random.Random(12)
+    words = [[f"{side}{i}" for i in range(30)] for side in "abc"]
+    docs = [[rng.choice(words[d % 3][: 3 + d % 28]) for _ in range(40)] + ["all"] * 3 for d in range(90)]
+    toks = token_table(spark, docs)
+    vocabulary = VO.build_vocabulary(toks, 1, 1.0)
+    bags = TP.prepare_bags(toks, vocabulary)
+    fitted = TP.fit_lda(bags, 3, 12)
+    assert len(fitted.bounds) == 12
+    gains = np.diff(fitted.bounds)
+    assert (gains > -1e-6 * abs(fitted.bounds[0])).all() and gains[0] > 0
+    # frequent terms have a larger prior than rare ones, and learning it pays
+    table = LDA.fit_sweep(bags, [3], 1)
+    assert fitted.bounds[-1] > table.bounds[3][0]
+    themes = TP.topic_terms(fitted, vocabulary, 5).where("term <> 'all'").collect()
+    assert {len({r.term[0] for r in themes if r.topic == t}) for t in range(3)} == {1}
+
+
+def test_special_functions():
+    x = np.array([0.01, 0.3, 1.0, 2.5, 17.0, 400.0])
+    assert LDA.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-9)
+    h = 1e-5
+    assert LDA.digamma(x) == pytest.approx([(math.lgamma(v + h) - math.lgamma(v - h)) / 2 / h for v in x], rel=1e-4)
+    slope = (LDA.digamma(x * (1 + h)) - LDA.digamma(x * (1 - h))) / (2 * h * x)
+    assert LDA.trigamma(x) == pytest.approx(slope, rel=1e-6)
+
+
+def test_documents_of_other_words_have_the_prior(spark, planted):
     toks, found = planted
-    again = TP.fit_lda(found.bags.select("features"), 2, 10)
-    assert np.allclose(again.topicsMatrix().toArray(), found.models[2].topicsMatrix().toArray())
+    strange = token_table(spark, [["left1", "left2"], []])
+    extra = spark.createDataFrame([("left1", 0), ("left2", 10_000)], "token string, id int")
+    bags = TP.prepare_bags(strange, extra)
+    rows = {r.doc_id: r.theta for r in TP.document_topics(found.sweep.model(2), bags).collect()}
+    assert rows[1] == pytest.approx(LDA.document_prior(2))
+    assert sum(rows[0]) == pytest.approx(1.0)
 
 
 def test_topic_views(spark, planted):
     toks, found = planted
-    model = found.models[2]
-    weights = TP.topic_weights(model, found.words)
+    model = found.sweep.model(2)
+    weights = TP.topic_weights(model, found.vocabulary)
     assert weights.groupBy("topic").agg(F.sum("weight").alias("s")).first().s == pytest.approx(1.0)
     distance = TP.topic_distance(weights, [0, 1]).first()
     assert 0.7 < distance.distance <= math.sqrt(math.log(2)) + 1e-9
-    theta = TP.document_topics(model, found.bags)
+    theta = durable(TP.document_topics(model, found.bags), "theta")
     share = TP.topic_prevalence(theta, VO.document_lengths(toks, found.vocabulary), 2).collect()
     assert sum(r.prevalence for r in share) == pytest.approx(1.0)
     best = TP.term_relevance(weights, found.vocabulary, n=3)
     assert best.count() == 6
-    text = TP.topic_keywords(TP.topic_terms(model, found.words, 3)).first().keywords
+    text = TP.topic_keywords(TP.topic_terms(model, found.vocabulary, 3)).first().keywords
     assert text.count('*"') == 3 and text.count(" + ") == 2
     long = TP.topics_long(theta)
     back = TP.topics_array(long, 2).orderBy("doc_id").collect()
