@@ -66,6 +66,11 @@ BINS = pa.schema(
 )
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    """Of a word in lower case, where one letter can have become a letter and a mark."""
+    return word[-1:].isalpha() if word[-1] < 128 else word.decode().lower()[-1].isalpha()
+
+
 class WordTokens(dict):
     """Token ids (little-endian unsigned 32 bits) of words, remembered.
 
@@ -103,8 +108,7 @@ class WordTokens(dict):
                 continue
             low = word.lower()
             stem = low.rstrip(ASCII_MARKS)
-            # one letter can become a letter and a mark in lower case
-            if stem and len(stem) < len(low) and stem.decode().lower()[-1].isalpha():
+            if stem and len(stem) < len(low) and _ends_in_letter(stem):
                 cut.append((word, stem, low[len(stem) :]))
             else:
                 cut.append((word, low, b""))
