@@ -332,7 +332,8 @@ def _with_least(links: DataFrame, key: str, least: DataFrame) -> DataFrame:
         near = links.join(F.broadcast(hubs.drop("n")), key)  # its rows were counted
         return near.unionByName(links.join(rest, key))
     salt = F.pmod(F.xxhash64(other), F.lit(HUB_PARTS))
-    copies = hubs.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).cast("long"))
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))
+    copies = hubs.drop("n").withColumn("salt", F.explode(parts))
     near = links.withColumn("salt", salt).join(copies, [key, "salt"]).drop("salt")
     return near.unionByName(links.join(rest, key))
 
