@@ -437,5 +437,7 @@ ORACLES["encoded_paragraphs"] = f"""{_PIECES}, counts AS (
     SELECT doc_id || '-' || para_pos AS para_id, list_transform(string_split('aeinorst', ''),
         lambda c: (length(paragraph) - length(replace(paragraph, c, '')))::DOUBLE) AS n
     FROM pieces WHERE length(paragraph) > 100)
-SELECT para_id, round(list_sum(n) / sqrt(list_sum(list_transform(n, lambda x: x * x))), 6) AS total, 1.0::DOUBLE AS length
+SELECT para_id, CASE WHEN list_sum(n) = 0 THEN 0.0
+    ELSE round(list_sum(n) / sqrt(list_sum(list_transform(n, lambda x: x * x))), 6) END::DOUBLE AS total,
+    (list_sum(n) > 0)::INT::DOUBLE AS length
 FROM counts"""

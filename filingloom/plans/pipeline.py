@@ -28,6 +28,8 @@ class Config:
     end_year: int
     tickers: list[str] | None = None
     stop_words: list[str] | None = None
+    # words that more than this share of the filings use are stop words of the domain; None for none
+    frequent_share: float | None = 0.9
     # known words for lemmas: a table, "corpus" for the corpus's own, None for no lemmas
     lexicon: DataFrame | str | None = "corpus"
     vocabulary_limit: int | None = None
@@ -71,6 +73,9 @@ def run_pipeline(corpus: DataFrame, config: Config) -> dict[str, DataFrame]:
         return {name: empty(spark, schema) for name, schema in RESULTS.items()}
     stop = T.stop_words(spark, cfg.stop_words)
     tokens = durable(T.tokenize(corpus, stop, lexicon=cfg.lexicon), "tokens")
+    if cfg.frequent_share is not None:
+        common = T.frequent_words(tokens, cfg.frequent_share)
+        tokens = durable(T.remove_stop_table(tokens, common), "tokens")
 
     search = TP.search_topics(
         tokens,

@@ -4,7 +4,7 @@ import pytest
 
 from filingloom.operators import tokens as T
 from filingloom.plans.pipeline import Config, run_pipeline
-from filingloom.sources import read_filings, write_results
+from filingloom.sources import extract_filings, read_filings, write_results
 from filingloom.sources.filings import empty_corpus
 
 THEMES = {
@@ -88,6 +88,22 @@ def test_period_tickers_and_lexicon(spark, filings):
     assert out["drift_ranking"].first().jsd == 0  # one year compared with itself
 
 
+def test_words_of_nearly_all_filings_are_stop_words(spark):
+    themes = list(THEMES.values())
+    rows = [
+        (f"F{i}/10-K/a{i}/full-submission.txt", f"CONFORMED PERIOD OF REPORT:\t202{3 + i % 2}1231\nItem 1A. Risk Factors "
+         + " ".join(["company", *themes[i % 3] * 3]) + "\n\n" + " ".join(themes[i % 3] * 4) + "\nItem 2.")
+        for i in range(12)
+    ]
+    corpus = extract_filings(spark.createDataFrame(rows, "path string, value string"))
+    few = dict(max_share=1.0, min_topics=3, max_topics=3, passes=2, min_clusters=2, max_clusters=2, restarts=1)
+    words = {}
+    for share in (0.9, None):
+        out = run_pipeline(corpus, Config(2023, 2024, frequent_share=share, **few))
+        words[share] = {r.token for r in out["vocabulary"].collect()}
+    assert words[None] - words[0.9] == {"company"} and len(words[0.9]) == 24
+
+
 def test_empty_corpus_gives_the_same_tables_without_rows(spark, tables, tmp_path):
     none = run_pipeline(empty_corpus(spark), Config(2023, 2024))
     assert list(none) == list(tables)

@@ -9,7 +9,9 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# fits whose checks run above, and long ones
 SLOW = {"lda_search", "full_analysis", "comparison_report", "paragraph_word_vectors", "kmeans_search"}
+SLOW |= {"topic_terms", "doc_topics", "paragraph_svd"}
 
 
 @pytest.fixture(scope="module")
