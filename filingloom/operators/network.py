@@ -259,6 +259,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _contracted(links: DataFrame) -> DataFrame:
     """One round over stored links, whose files are deleted."""
+    if 2 * links.count() <= HUB_LINKS:  # no hub among so few
+        small = durable(_small_star(_large_star(links, hubs=False), hubs=False), "links")
+        release(links)
+        return small
     large = durable(_large_star(links), "large-star")
     small = durable(_small_star(large), "links")
     release(links, large)
@@ -314,47 +318,47 @@ def exposure_components(exposure: DataFrame, threshold: float = 0.75) -> DataFra
     )
 
 
-def _with_least(links: DataFrame, key: str, least: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, key: str, least: DataFrame, hubs: bool) -> DataFrame:
     """``links`` joined with ``(key, m, n)``, where ``n`` counts the links of the key.
 
     Links of hubs are not brought together: the few hubs are sent to their links, or, if there
     are too many for that, spread over parts by the other end.
     """
-    if links.limit(HUB_LINKS + 1).count() <= HUB_LINKS:
+    if not hubs:
         return links.join(least.drop("n"), key)
     least = durable(least, "least-neighbours")
-    hubs = least.where(F.col("n") > HUB_LINKS)
-    if hubs.isEmpty():
+    large = least.where(F.col("n") > HUB_LINKS)
+    if large.isEmpty():
         return links.join(least.drop("n"), key)
     other = next(c for c in links.columns if c != key)
     rest = least.where(F.col("n") <= HUB_LINKS).drop("n")
-    if hubs.limit(HUB_LIMIT + 1).count() <= HUB_LIMIT:
-        near = links.join(F.broadcast(hubs.drop("n")), key)  # its rows were counted
+    if large.limit(HUB_LIMIT + 1).count() <= HUB_LIMIT:
+        near = links.join(F.broadcast(large.drop("n")), key)  # its rows were counted
         return near.unionByName(links.join(rest, key))
     salt = F.pmod(F.xxhash64(other), F.lit(HUB_PARTS))
     parts = F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))
-    copies = hubs.drop("n").withColumn("salt", F.explode(parts))
+    copies = large.drop("n").withColumn("salt", F.explode(parts))
     near = links.withColumn("salt", salt).join(copies, [key, "salt"]).drop("salt")
     return near.unionByName(links.join(rest, key))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, hubs: bool = True) -> DataFrame:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
         links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
     return (
-        _with_least(both, "u", least)
+        _with_least(both, "u", least, hubs)
         .where("v > u")
         .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         .distinct()
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, hubs: bool = True) -> DataFrame:
     least = links.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
     moved = (
-        _with_least(links, "hi", least)
+        _with_least(links, "hi", least, hubs)
         .where("lo <> m")
         .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     )
