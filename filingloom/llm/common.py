@@ -7,6 +7,7 @@ window would cost the shuffle four times as much.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -83,6 +84,15 @@ def worker_cache(key, make: Callable[[], object]):
     return _SLOT["value"]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Arrow and the allocator keep it,
+    and later tasks of the worker, or the other worker, may not need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for the first words seen."""
 
@@ -127,8 +137,7 @@ def chunks(batches, id_name: str, text_name: str, lower: bool = False) -> Iterat
                 ids, parts, size = [], [], 0
     if ids:
         yield _chunk(ids, parts)
-    # Arrow keeps freed memory, which the worker's later tasks may not need
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _chunk(ids: list[int], parts: list[np.ndarray]) -> Chunk:

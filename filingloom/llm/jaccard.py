@@ -275,7 +275,9 @@ def _share(part: pa.Table, n_buckets: int) -> pa.Table:
         shared = np.repeat(several, np.diff(first, append=len(keys))) & (docs != SHARED)
         rows = list(_owned(docs[shared], keys[shared], n_buckets))
     passed = part.filter(part["keys"].is_null()).drop_columns(["keys", "docs"])
-    return pa.concat_tables([passed.cast(OWNED), pa.Table.from_pylist(rows, schema=OWNED)])
+    out = pa.concat_tables([passed.cast(OWNED), pa.Table.from_pylist(rows, schema=OWNED)])
+    C.give_back()
+    return out
 
 
 def _assemble(part: pa.Table, percent: int) -> pa.Table:

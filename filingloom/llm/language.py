@@ -212,6 +212,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
             langs = pa.array([p[0] for p in pairs], pa.string())
             shares = pa.array([p[1] for p in pairs], pa.float64())
             yield pa.StructArray.from_arrays([langs, shares], names=["lang_pred", "score"])
+        C.give_back()
 
     return F.arrow_udf(run, PREDICTED)(docs[text_col].cast("string"))
 

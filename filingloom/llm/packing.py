@@ -267,6 +267,7 @@ def _pieces(batches, capacity: int, tokenizer: str | None, keep_ids: bool):
             held, kept_bytes = [], 0
     if held:
         yield _batch(held, PIECES)
+    C.give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

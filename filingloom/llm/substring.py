@@ -134,7 +134,9 @@ def _judge(part: pa.Table, n_buckets: int) -> pa.Table:
         docs, places = docs[gone], places[gone]
     docs = np.concatenate([docs, C.column(part, "gone_docs", np.int64, rising=True)])
     places = np.concatenate([places, C.column(part, "gone_places", np.int64, rising=True)])
-    return pa.Table.from_pylist(list(_by_doc(docs, places, n_buckets)), schema=GONE)
+    out = pa.Table.from_pylist(list(_by_doc(docs, places, n_buckets)), schema=GONE)
+    C.give_back()
+    return out
 
 
 def _merge(part: pa.Table, size: int) -> pa.Table:
