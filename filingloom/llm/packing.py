@@ -40,9 +40,8 @@ HELD_BYTES = 64 << 20
 NEARLY_FULL = 0.995
 # Words and parts of words whose ids a worker remembers; bytes of text looked up together;
 # new parts encoded together.
-CACHE_WORDS = 250_000
-CACHE_PARTS = 400_000
-TEXT_BYTES = 2 << 20
+CACHE_WORDS = 600_000
+TEXT_BYTES = 8 << 20
 ENCODED_PARTS = 2_000
 ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -72,13 +71,14 @@ def _ends_in_letter(word: bytes) -> bool:
 
 
 class WordTokens(dict):
-    """Token ids (little-endian unsigned 32 bits) of words, remembered.
+    """Token ids (little-endian unsigned 32 bits) of words and parts of words, remembered.
 
     Words are runs without ASCII white space, at which this tokenizer always splits. Case of
-    ASCII letters does not matter to it, and marks after a letter are tokens of their own, so
-    words are put together from remembered parts, of which there are far fewer. New parts of
-    many texts are encoded as one text and told apart by the places of their tokens. What may
-    hold a special token is left to the tokenizer as it is.
+    ASCII letters does not matter to it, so texts are put in lower case first. Marks after a
+    letter are tokens of their own, so words with marks are put together from their parts, of
+    which there are far fewer. New parts of many texts are encoded as one text and told apart
+    by the places of their tokens. What may hold a special token is left to the tokenizer as
+    it is.
     """
 
     def __init__(self, path: str):
@@ -86,39 +86,35 @@ class WordTokens(dict):
 
         super().__init__()
         self.encode = Tokenizer.from_file(path).encode
-        self.parts: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        split = [text.split() for text in texts]
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if len(self.parts) >= CACHE_PARTS:
-            self.parts.clear()
         self._learn(set().union(*split).difference(self))
         find = self.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
     def _learn(self, words: set[bytes]) -> None:
-        cut = []
+        marked, parts = [], set()
         for word in words:
+            stem = word.rstrip(ASCII_MARKS)
             if b"<|" in word:
                 ids = self.encode(word.decode(), add_special_tokens=False).ids
                 self[word] = np.array(ids, "<u4").tobytes()
-                continue
-            low = word.lower()
-            stem = low.rstrip(ASCII_MARKS)
-            if stem and len(stem) < len(low) and _ends_in_letter(stem):
-                cut.append((word, stem, low[len(stem) :]))
+            elif stem and len(stem) < len(word) and _ends_in_letter(stem):
+                marks = word[len(stem) :]
+                marked.append((word, stem, marks))
+                parts.add(stem)
+                parts.add(marks)
             else:
-                cut.append((word, low, b""))
-        parts = self.parts
-        parts[b""] = b""
-        new = list({p for _, stem, marks in cut for p in (stem, marks)}.difference(parts))
+                parts.add(word)
+        new = list(parts.difference(self))
         for at in range(0, len(new), ENCODED_PARTS):
             self._encode(new[at : at + ENCODED_PARTS])
-        for word, stem, marks in cut:
-            self[word] = parts[stem] + parts[marks]
+        for word, stem, marks in marked:
+            self[word] = self[stem] + self[marks]
 
     def _encode(self, new: list[bytes]) -> None:
         texts = [part.decode() for part in new]
@@ -130,7 +126,7 @@ class WordTokens(dict):
         ids = np.array(found.ids, "<u4").tobytes()
         low = 0
         for part, high in zip(new, ends.tolist(), strict=True):
-            self.parts[part] = ids[low:high]
+            self[part] = ids[low:high]
             low = high
 
 
