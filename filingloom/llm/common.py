@@ -26,6 +26,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 CHUNK_WORDS = 1 << 19
 # Word hashes a task remembers.
 CACHE_WORDS = 150_000
+# Buckets that tasks write to at once, so that a packed column keeps some tens of values; more
+# buckets are reached in two steps, and entries that are regrouped together between them.
+HOP_BUCKETS = 1 << 13
+HOP_VALUES = 1 << 20
 # Odd multiplier of the rolling hash and of the final mixing (64-bit golden ratio).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -50,6 +54,39 @@ def buckets_for(df: DataFrame, text: str, per_bucket: int = 4 << 20) -> int:
     return 1 << max(1, max(partitions, size // per_bucket) - 1).bit_length()
 
 
+def regrouped(sent: DataFrame, n_buckets: int, split: Callable, schema: pa.Schema) -> DataFrame:
+    """``sent`` by its final buckets.
+
+    Tasks send to ``first_hop(n_buckets)`` buckets; where there are more, entries of one of those
+    meet again here, and ``split`` packs them for the buckets inside it. A task streams through
+    its rows, bucket by bucket. So the size of a packed column does not fall as the table grows.
+    """
+    if n_buckets <= HOP_BUCKETS:
+        return sent
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return near.mapInArrow(lambda batches: split(batches, n_buckets), ddl(schema))
+
+
+def first_hop(n_buckets: int) -> int:
+    return min(n_buckets, HOP_BUCKETS)
+
+
+def held(batches, blobs: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows of some batches together: about ``HOP_VALUES`` values of eight bytes in ``blobs``."""
+    kept, size = [], 0
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(b)) for b in blobs]
+        for at in range(batch.num_rows):
+            kept.append(batch.slice(at, 1))
+            size += sum(zstandard.frame_content_size(c[at].as_py()) // 8 for c in columns if c[at].is_valid)
+            if size >= HOP_VALUES:
+                yield pa.Table.from_batches(kept)
+                kept, size = [], 0
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bound the bytes of text that a task hands to Python at once, unless the session's own
     bound is lower: beside the heap an executor has little memory for its workers."""

@@ -41,10 +41,9 @@ GROUP_TOKENS = 1 << 14
 GROUP_DOCS = 256
 SHARED = -(2**63)
 
+META = ("meta_docs", "meta_n", "meta_hi", "meta_lo")
 SENT = pa.schema(
-    [("bucket", pa.int32())]
-    + [(c, pa.binary()) for c in ("keys", "docs", "own_keys", "own_docs")]
-    + [(c, pa.binary()) for c in ("meta_docs", "meta_n", "meta_hi", "meta_lo")]
+    [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "docs", "own_keys", "own_docs", *META)]
 )
 OWNED = pa.schema([f for f in SENT if f.name not in ("keys", "docs")])
 SETS = pa.schema(
@@ -85,8 +84,11 @@ def link_documents(
     narrow = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].alias("t"))
     n = C.buckets_for(narrow, "t")
     narrow, missing, given = K.numbered(narrow, "d", repeats=True)
-    sent = narrow.mapInArrow(lambda batches: _send(batches, size, n), C.ddl(SENT))
-    owned = sent.groupBy("bucket").applyInArrow(lambda part: _share(part, n), C.ddl(OWNED))
+    near = C.first_hop(n)
+    sent = narrow.mapInArrow(lambda batches: _send(batches, size, near), C.ddl(SENT))
+    sent = C.regrouped(sent, n, _resend, SENT)
+    owned = sent.groupBy("bucket").applyInArrow(lambda part: _share(part, near), C.ddl(OWNED))
+    owned = C.regrouped(owned, n, _reown, OWNED)
     sets = owned.groupBy("bucket").applyInArrow(lambda part: _assemble(part, percent), C.ddl(SETS))
     sets = durable(sets, "shingle-sets")
     if missing:
@@ -134,7 +136,9 @@ def _link_classes(reps: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = reps.repartitionByRange(parts, "anchor", "doc").sortWithinPartitions("anchor", "doc")
     groups = durable(ranged.mapInArrow(lambda b: _group(b, percent), C.ddl(GROUPS)), "groups")
-    unions = groups.select("gid", "union").mapInArrow(lambda b: _send_unions(b, n_buckets), C.ddl(UNIONS))
+    near = C.first_hop(n_buckets)
+    unions = groups.select("gid", "union").mapInArrow(lambda b: _send_unions(b, near), C.ddl(UNIONS))
+    unions = C.regrouped(unions, n_buckets, _resend_unions, UNIONS)
     common = unions.groupBy("bucket").applyInArrow(_common, C.ddl(COMMON))
     queries = (
         groups.drop("union", "members")
@@ -229,20 +233,7 @@ def _send(batches, size: int, n_buckets: int):
         digest = [xxhash.xxh3_128_intdigest(keys[e - m : e].tobytes()) for e, m in zip(ends, n, strict=True)]
         hi = np.array([d >> 64 for d in digest], np.uint64)
         lo = np.array([d & (2**64 - 1) for d in digest], np.uint64)
-        rows = []
-        buckets = C.doc_bucket(chunk.ids, n_buckets)
-        order = np.argsort(buckets, kind="stable")
-        for bucket, at in C.cuts(buckets[order]):
-            docs = order[at]
-            rows.append(
-                {
-                    "bucket": bucket,
-                    "meta_docs": C.pack(chunk.ids[docs]),
-                    "meta_n": C.pack(n[docs].astype(np.int64)),
-                    "meta_hi": C.pack(hi[docs]),
-                    "meta_lo": C.pack(lo[docs]),
-                }
-            )
+        rows = list(_met(chunk.ids, n.astype(np.int64), hi, lo, n_buckets))
         # of equal sets in this batch one speaks for all
         lead = np.lexsort((chunk.ids, lo, hi))
         new = np.ones(len(lead), bool)
@@ -251,19 +242,57 @@ def _send(batches, size: int, n_buckets: int):
         speaks[lead[new]] = True
         taken = speaks[owner]
         docs, keys = chunk.ids[owner[taken]], keys[taken]
-        order = np.argsort(keys)
-        docs, keys = docs[order], keys[order]
-        first = C.firsts(keys)
-        count = np.diff(first, append=len(keys))
-        here = np.repeat(count > 1, count)
-        rows.extend(_owned(docs[here], keys[here], n_buckets))
-        docs = np.where(count > 1, SHARED, docs[first]) if len(first) else docs
-        keys = keys[first]
-        for bucket, at in C.cuts(C.top_bits(keys, n_buckets)):
-            rows.append({"bucket": bucket, "keys": C.pack(keys[at], True), "docs": C.pack(docs[at])})
+        rows.extend(_entries(docs, keys, n_buckets))
         yield C.rows_of(rows, SENT)
 
 
+def _met(docs: np.ndarray, n: np.ndarray, hi: np.ndarray, lo: np.ndarray, n_buckets: int):
+    """Packed rows of size and digest of documents."""
+    buckets = C.doc_bucket(docs, n_buckets)
+    order = np.argsort(buckets, kind="stable")
+    for bucket, at in C.cuts(buckets[order]):
+        own = order[at]
+        columns = zip(META, (docs, n, hi, lo), strict=True)
+        yield {"bucket": bucket} | {c: C.pack(values[own]) for c, values in columns}
+
+
+def _entries(docs: np.ndarray, keys: np.ndarray, n_buckets: int):
+    """Packed rows: shingles with their only document, or ``SHARED``, and who has the shared ones."""
+    order = np.argsort(keys)
+    docs, keys = docs[order], keys[order]
+    first = C.firsts(keys)
+    count = np.diff(first, append=len(keys))
+    here = np.repeat(count > 1, count) & (docs != SHARED)
+    yield from _owned(docs[here], keys[here], n_buckets)
+    docs = np.where(count > 1, SHARED, docs[first]) if len(first) else docs
+    keys = keys[first]
+    for bucket, at in C.cuts(C.top_bits(keys, n_buckets)):
+        yield {"bucket": bucket, "keys": C.pack(keys[at], True), "docs": C.pack(docs[at])}
+
+
+def _resend(batches, n_buckets: int):
+    """Entries of a bucket's many senders, packed for the buckets inside it."""
+    for part in C.held(batches, ("keys", "own_keys", "meta_docs")):
+        docs, keys = C.column(part, "docs", np.int64), C.column(part, "keys", np.uint64, True)
+        rows = [*_entries(docs, keys, n_buckets), *_passed(part, n_buckets)]
+        yield C.rows_of(rows, SENT)
+    C.give_back()
+
+
+def _reown(batches, n_buckets: int):
+    for part in C.held(batches, ("own_docs", "own_keys", "meta_docs")):
+        yield C.rows_of(list(_passed(part, n_buckets)), OWNED)
+    C.give_back()
+
+
+def _passed(part: pa.Table, n_buckets: int):
+    """What goes to the documents' buckets as it is."""
+    docs, keys = C.column(part, "own_docs", np.int64, True), C.column(part, "own_keys", np.uint64, True)
+    yield from _owned(docs, keys, n_buckets)
+    kinds = (np.int64, np.int64, np.uint64, np.uint64)
+    yield from _met(*[C.column(part, c, k) for c, k in zip(META, kinds, strict=True)], n_buckets)
+
+
 def _share(part: pa.Table, n_buckets: int) -> pa.Table:
     keys, docs = C.column(part, "keys", np.uint64, True), C.column(part, "docs", np.int64)
     order = np.argsort(keys)
@@ -413,6 +442,10 @@ def _send_unions(batches, n_buckets: int):
 def _union_rows(held: list, n_buckets: int) -> pa.RecordBatch:
     keys = np.concatenate([u for _, u in held])
     gids = np.repeat(np.array([g for g, _ in held], np.int64), [len(u) for _, u in held])
+    return _unions(keys, gids, n_buckets)
+
+
+def _unions(keys: np.ndarray, gids: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     order = np.argsort(keys)
     keys, gids = keys[order], gids[order]
     rows = [
@@ -422,6 +455,11 @@ def _union_rows(held: list, n_buckets: int) -> pa.RecordBatch:
     return C.rows_of(rows, UNIONS)
 
 
+def _resend_unions(batches, n_buckets: int):
+    for part in C.held(batches, ("keys",)):
+        yield _unions(C.column(part, "keys", np.uint64, True), C.column(part, "gids", np.int64), n_buckets)
+
+
 def _common(part: pa.Table) -> pa.Table:
     """Tokens of several groups, for each of these groups, with the number of groups."""
     keys, gids = C.column(part, "keys", np.uint64, True), C.column(part, "gids", np.int64)

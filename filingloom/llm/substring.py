@@ -8,7 +8,8 @@ Plan: tasks hash the words of whole documents and send each distinct window of a
 with the smallest document of the batch that has it (other documents of the batch are already
 known to repeat it, so a passage that a third of all documents share costs one entry a batch).
 Hash buckets find the smallest document of each window; what repeats goes to the document's
-bucket, merges to intervals, and joins the documents again.
+bucket, merges to intervals, and joins the documents again. Many buckets are reached in two
+steps (``common.regrouped``). Windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -50,8 +51,11 @@ def repeated_spans(docs: DataFrame, size: int, id_col: str, text_col: str) -> Da
     """
     narrow = docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].alias("t"))
     n = C.buckets_for(narrow, "t")
-    sent = narrow.mapInArrow(lambda batches: _send(batches, size, n), C.ddl(SENT))
-    gone = sent.groupBy("bucket").applyInArrow(lambda part: _judge(part, n), C.ddl(GONE))
+    near = C.first_hop(n)
+    sent = narrow.mapInArrow(lambda batches: _send(batches, size, near), C.ddl(SENT))
+    sent = C.regrouped(sent, n, _resend, SENT)
+    gone = sent.groupBy("bucket").applyInArrow(lambda part: _judge(part, near), C.ddl(GONE))
+    gone = C.regrouped(gone, n, _regroup_gone, GONE)
     return gone.groupBy("bucket").applyInArrow(lambda part: _merge(part, size), C.ddl(SPANS))
 
 
@@ -99,26 +103,50 @@ def _send(batches, size: int, n_buckets: int):
         at = np.flatnonzero(owner[: len(keys)] == owner[size - 1 :]) if len(keys) else np.empty(0, np.int64)
         if not len(at):
             continue
-        keys = keys[at]
-        order = np.argsort(keys)
-        keys, at = keys[order], at[order]
-        docs = chunk.ids[owner[at]]
-        places = at - chunk.starts[owner[at]]
-        first = C.firsts(keys)
-        least = np.minimum.reduceat(docs, first)
-        stays = docs == np.repeat(least, np.diff(first, append=len(keys)))
-        rows = list(_by_doc(docs[~stays], places[~stays], n_buckets))
-        keys, docs, places = keys[stays], docs[stays], places[stays]
-        for bucket, part in C.cuts(C.top_bits(keys, n_buckets)):
-            rows.append(
-                {
-                    "bucket": bucket,
-                    "keys": C.pack(keys[part], rising=True),
-                    "docs": C.pack(docs[part]),
-                    "places": C.pack(places[part].astype(np.uint32)),
-                }
-            )
-        yield C.rows_of(rows, SENT)
+        docs, places = chunk.ids[owner[at]], at - chunk.starts[owner[at]]
+        yield _entries(keys[at], docs, places, n_buckets)
+
+
+def _entries(keys, docs, places, n_buckets: int, gone_docs=(), gone_places=()) -> pa.RecordBatch:
+    """Packed rows: the smallest document of each window, and the positions that repeat it."""
+    order = np.argsort(keys)
+    keys, docs, places = keys[order], docs[order], places[order]
+    first = C.firsts(keys)
+    least = np.minimum.reduceat(docs, first) if len(keys) else docs
+    stays = docs == np.repeat(least, np.diff(first, append=len(keys)))
+    gone_docs = np.concatenate([docs[~stays], np.asarray(gone_docs, np.int64)])
+    gone_places = np.concatenate([places[~stays], np.asarray(gone_places, np.int64)])
+    rows = list(_by_doc(gone_docs, gone_places, n_buckets))
+    keys, docs, places = keys[stays], docs[stays], places[stays]
+    for bucket, part in C.cuts(C.top_bits(keys, n_buckets)):
+        rows.append(
+            {
+                "bucket": bucket,
+                "keys": C.pack(keys[part], rising=True),
+                "docs": C.pack(docs[part]),
+                "places": C.pack(places[part].astype(np.uint32)),
+            }
+        )
+    return C.rows_of(rows, SENT)
+
+
+def _resend(batches, n_buckets: int):
+    """Entries of a bucket's many senders, packed for the buckets inside it."""
+    for part in C.held(batches, ("keys", "gone_docs")):
+        places = C.column(part, "places", np.uint32).astype(np.int64)
+        keys, docs = C.column(part, "keys", np.uint64, rising=True), C.column(part, "docs", np.int64)
+        yield _entries(keys, docs, places, n_buckets, *_gone(part))
+    C.give_back()
+
+
+def _regroup_gone(batches, n_buckets: int):
+    for part in C.held(batches, ("gone_docs", "gone_places")):
+        yield C.rows_of(list(_by_doc(*_gone(part), n_buckets)), GONE)
+    C.give_back()
+
+
+def _gone(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(C.column(part, c, np.int64, rising=True) for c in ("gone_docs", "gone_places"))
 
 
 def _judge(part: pa.Table, n_buckets: int) -> pa.Table:
@@ -132,16 +160,15 @@ def _judge(part: pa.Table, n_buckets: int) -> pa.Table:
         least = np.minimum.reduceat(docs, first)
         gone = docs > np.repeat(least, np.diff(first, append=len(keys)))
         docs, places = docs[gone], places[gone]
-    docs = np.concatenate([docs, C.column(part, "gone_docs", np.int64, rising=True)])
-    places = np.concatenate([places, C.column(part, "gone_places", np.int64, rising=True)])
+    gone_docs, gone_places = _gone(part)
+    docs, places = np.concatenate([docs, gone_docs]), np.concatenate([places, gone_places])
     out = pa.Table.from_pylist(list(_by_doc(docs, places, n_buckets)), schema=GONE)
     C.give_back()
     return out
 
 
 def _merge(part: pa.Table, size: int) -> pa.Table:
-    docs = C.column(part, "gone_docs", np.int64, rising=True)
-    places = C.column(part, "gone_places", np.int64, rising=True)
+    docs, places = _gone(part)
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
     apart = (np.diff(docs) != 0) | (np.diff(places) > size)

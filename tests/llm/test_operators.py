@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,43 @@ def test_substring_equals_brute_force(docs, size):
     assert {r["key"] for r in out.collect()} == {"clash"}
 
 
+def many_buckets(monkeypatch):
+    """As in a large table: more buckets than tasks write to at once."""
+    monkeypatch.setattr(C, "HOP_BUCKETS", 4)
+    monkeypatch.setattr(C, "buckets_for", lambda *_: 64)
+
+
+def test_substring_in_two_steps_equals_brute_force(docs, monkeypatch):
+    many_buckets(monkeypatch)
+    out = substring.remove_repeats(docs, 5)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect())
+    assert got == brute_cut(pairs(docs), 5)
+
+
+@pytest.mark.parametrize("operator", [substring, jaccard])
+def test_size_of_packed_entries_does_not_depend_on_buckets(operator):
+    draw = random.Random(7)
+    # every word its own, so all windows travel
+    texts = [" ".join(f"w{draw.getrandbits(40)}" for _ in range(400)) for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"d": list(range(600)), "t": texts})
+
+    def bytes_of(batches):
+        columns = [c for b in batches for c in (b.column(b.schema.get_field_index("keys")),)]
+        return sum(len(x) for c in columns for x in c.to_pylist() if x is not None)
+
+    few = list(operator._send([batch], 5, 16))
+    many = list(operator._resend(iter(few), 64 * 16))
+    one_step = list(operator._send([batch], 5, 64 * 16))
+    assert {r for b in many for r in b.column(0).to_pylist()} == {r for b in one_step for r in b.column(0).to_pylist()}
+    assert bytes_of(many) < 1.25 * bytes_of(few)
+
+    def values(batches):
+        rows = pa.Table.from_batches(batches)
+        return sorted(C.column(rows, "keys", "u8", True).tolist())
+
+    assert values(few) == values(many) == values(one_step)
+
+
 def test_substring_null_id_and_empty_table(with_null_id, nothing):
     got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(with_null_id).collect()}
     assert got == {(None, 40, 0), (3, 40, 40), (9, 0, 0)}
@@ -157,6 +195,14 @@ def test_jaccard_equals_brute_force(spark, docs, limits, monkeypatch):
     assert got == brute_links(pairs(both))
 
 
+def test_jaccard_in_two_steps_equals_brute_force(spark, docs, monkeypatch):
+    many_buckets(monkeypatch)
+    copies = spark.createDataFrame(near_copies(60, 100), "doc_id long, text string, a string, b string, c long")
+    both = docs.select("doc_id", "text").union(copies.select("doc_id", "text"))
+    got = sorted(tuple(r) for r in jaccard.link_documents(both).collect())
+    assert got == brute_links(pairs(both))
+
+
 def _limited(grouped, limits):
     def run(batches, percent):
         jaccard.GROUP_TOKENS, jaccard.GROUP_DOCS = limits
