@@ -205,17 +205,21 @@ def owners(lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(lengths)), lengths)
 
 
+# One of each for a worker: a new one for every column costs memory and time.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray, rising: bool = False) -> bytes:
     """Compressed byte planes; ``rising`` values are stored as differences."""
     if rising and len(values):
         values = np.diff(values, prepend=values.dtype.type(0))
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _ZIP.compress(planes.tobytes())
 
 
 def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
     kind = np.dtype(kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_UNZIP.decompress(data), np.uint8)
     values = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
     return np.cumsum(values, dtype=kind) if rising else values
 

@@ -40,8 +40,8 @@ HELD_BYTES = 64 << 20
 NEARLY_FULL = 0.995
 # Words and parts of words whose ids a worker remembers; bytes of text looked up together;
 # new parts encoded together.
-CACHE_WORDS = 600_000
-TEXT_BYTES = 8 << 20
+CACHE_WORDS = 450_000
+TEXT_BYTES = 4 << 20
 ENCODED_PARTS = 2_000
 ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
