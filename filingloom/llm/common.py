@@ -87,7 +87,7 @@ def held(batches, blobs: tuple[str, ...]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bound the bytes of text that a task hands to Python at once, unless the session's own
     bound is lower: beside the heap an executor has little memory for its workers."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
