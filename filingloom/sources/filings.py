@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from filingloom.functions import text as X
+from filingloom.runtime import durable, release
 from filingloom.schemas import CORPUS, RAW_FILING, empty
 
 SUBMISSION = "full-submission.txt"
+# Files and bytes that a task reads, bytes that it hands on at once, rows of a listing at once.
+TASK_FILES, TASK_BYTES = 20_000, 64 << 20
+BATCH_BYTES, LISTED_ROWS = 4 << 20, 10_000
+
+LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+CONTENTS = pa.schema([("path", pa.string()), ("value", pa.binary())])
 
 
 def _corpus(df: DataFrame, doc_id: Column | str, *more: str) -> DataFrame:
@@ -23,12 +36,110 @@ def _corpus(df: DataFrame, doc_id: Column | str, *more: str) -> DataFrame:
     )
 
 
-def _whole_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def _place(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """``(scheme and host, folder)`` where tasks can list and open files themselves."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    if any(c in path for c in "*?[{"):
+        return None
+    if whole.startswith("file:"):
+        return "file:", "/" + whole.removeprefix("file:").strip("/")
+    start, folder = whole.split("/", 3)[:3], whole.split("/", 3)[3:]
+    try:
+        system, _ = fs.FileSystem.from_uri("/".join(start))
+        system.get_file_info("/" + "".join(folder))
+    except (OSError, ValueError, pa.ArrowException):
+        return None
+    return "/".join(start), "/" + "".join(folder)
+
+
+def _system(start: str) -> fs.FileSystem:
+    return fs.LocalFileSystem() if start == "file:" else fs.FileSystem.from_uri(start)[0]
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(batches: Iterator[pa.RecordBatch], start: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Folders inside the given folders, and the files with content whose name fits."""
+    system = _system(start)
+    for batch in batches:
+        out = []
+        for folder in batch.column("path").to_pylist():
+            for found in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                is_folder = found.type == fs.FileType.Directory
+                if _hidden(found.base_name) or not is_folder and not (found.size and fnmatchcase(found.base_name, pattern)):
+                    continue
+                out.append({"path": found.path, "size": found.size or 0, "folder": is_folder})
+                if len(out) == LISTED_ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema=LISTED)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema=LISTED)
+
+
+def _contents(batches: Iterator[pa.RecordBatch], start: str) -> Iterator[pa.RecordBatch]:
+    system = _system(start)
+    for batch in batches:
+        out, size = [], 0
+        for path in batch.column("path").to_pylist():
+            try:
+                with system.open_input_stream(path, compression=None) as stream:
+                    value = stream.read()
+            except OSError:
+                continue
+            out.append({"path": f"{start}{path}", "value": value})
+            size += len(value)
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(out, schema=CONTENTS)
+                out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema=CONTENTS)
+
+
+def _file_table(spark: SparkSession, start: str, folder: str, pattern: str, recursive: bool) -> DataFrame:
+    """``(path, size)`` of all files, listed by tasks folder by folder, one level after the other."""
+    level = spark.createDataFrame([(folder,)], "path string")
+    files, tables, schema = [], [], from_arrow_schema(LISTED)
+    while True:
+        found = durable(level.mapInArrow(lambda b: _listed(b, start, pattern), schema), "listing")
+        tables.append(found)
+        files.append(found.where("NOT folder").select("path", "size"))
+        folders = found.where("folder").select("path")
+        n = folders.count() if recursive else 0
+        if not n:
+            break
+        level = folders.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4, n // 100 + 1)))
+    every = files[0]
+    for more in files[1:]:
+        every = every.union(more)
+    every = durable(every, "files")
+    release(*tables)
+    return every
+
+
+def _whole_files(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
     """One row per file. A missing folder gives an empty table, an unreadable
-    file is left out, and the job goes on."""
-    reader = spark.read.option("ignoreCorruptFiles", "true").options(**options)
+    file is left out, and the job goes on.
+
+    Tasks list the folders and open the files, so the driver never sees their names. Where only
+    Spark can open them (other file systems, patterns in the path), its reader does both.
+    """
+    if place := _place(spark, path):
+        start, folder = place
+        files = _file_table(spark, start, folder, pattern, recursive)
+        n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        if n:
+            cores = spark.sparkContext.defaultParallelism
+            parts = max(min(n, cores), -(-n // TASK_FILES), -(-size // TASK_BYTES))
+            read = files.select("path").repartition(parts).mapInArrow(lambda b: _contents(b, start), from_arrow_schema(CONTENTS))
+            return read.select("path", F.col("value").cast("string").alias("value"))
+        if _system(start).get_file_info(folder).type != fs.FileType.File:
+            return empty(spark, RAW_FILING)
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", pattern)
     try:
-        files = reader.text(path, wholetext=True)
+        files = reader.option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -40,7 +151,7 @@ def _whole_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def read_filings(spark: SparkSession, path: str, pick: str = "first") -> DataFrame:
     """Corpus from ``{path}/**/{TICKER}/10-K/{ACCESSION}/full-submission.txt``."""
-    raw = _whole_files(spark, path, recursiveFileLookup="true", pathGlobFilter=SUBMISSION)
+    raw = _whole_files(spark, path, SUBMISSION, recursive=True)
     return extract_filings(raw, pick=pick)
 
 
@@ -66,7 +177,7 @@ def extract_filings(raw: DataFrame, pick: str = "first") -> DataFrame:
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
     """Corpus from ``{path}/{TICKER}_{YEAR}_risk_factors.txt``."""
-    return flat_filings(_whole_files(spark, path, pathGlobFilter="*.txt"))
+    return flat_filings(_whole_files(spark, path, "*.txt"))
 
 
 def flat_filings(raw: DataFrame) -> DataFrame:

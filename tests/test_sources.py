@@ -155,3 +155,22 @@ def test_files_are_written_below_their_root_only(spark, tmp_path, name):
     files = spark.createDataFrame([(name, "x")], "name string, value string")
     with pytest.raises(Exception, match="not a relative path"):
         write_files(files, str(tmp_path)).collect()
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver's file index, one entry a file in its memory, is not asked for."""
+    period = "CONFORMED PERIOD OF REPORT:\t20231231\n"
+    for n in range(30):
+        submission(tmp_path, f"T{n % 3}/10-K/a{n}/full-submission.txt", period + "Item 1A. Risk Factors x Item 2.")
+        submission(tmp_path, f"T{n % 3}/10-K/a{n}/other.txt", period + "Item 1A. Risk Factors x Item 2.")
+    submission(tmp_path, "T0/10-K/_gone/full-submission.txt", period + "Item 1A. Risk Factors x Item 2.")
+    submission(tmp_path, "T0/10-K/none/full-submission.txt", "")
+    expected = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "full-submission.txt")
+    paths = {r.p for r in expected.text(str(tmp_path), wholetext=True).selectExpr("_metadata.file_path AS p").collect()}
+
+    def refused(*_, **__):
+        raise AssertionError("listed by the driver")
+
+    monkeypatch.setattr(type(spark.read), "text", refused)
+    found = {r.source_path for r in read_filings(spark, str(tmp_path)).collect()}
+    assert len(found) == 30 and found == paths
