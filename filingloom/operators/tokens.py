@@ -225,6 +225,32 @@ def remove_stop_table(
 
 
 def _stop_by_join(tokens: DataFrame, stop: DataFrame) -> DataFrame:
+    """Only the distinct words of a document are joined, and those that stop come back to it as one
+    small set. Documents that share an id share their words, which are few and go one by one."""
+    named = tokens.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    shared = durable(named.where("n > 1").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return _stop_by_own_words(tokens, stop)
+    alone = _stop_by_own_words(tokens.join(shared, "doc_id", "left_anti"), stop)
+    return alone.unionByName(_stop_by_place(tokens.join(shared, "doc_id", "left_semi"), stop))
+
+
+def _stop_by_own_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
+    own = (
+        tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
+        .join(stop, "token")
+        .groupBy("doc_id")
+        .agg(F.collect_list("token").alias("own_stop"))
+    )
+    kept = F.when(F.col("own_stop").isNull(), F.col("tokens")).otherwise(
+        F.filter("tokens", lambda t: ~F.array_contains("own_stop", t))
+    )
+    # a document without an id has no words
+    kept = F.when(F.col("doc_id").isNull() | F.col("tokens").isNull(), F.array().cast("array<string>")).otherwise(kept)
+    return tokens.join(own, "doc_id", "left").withColumn("tokens", kept).select(*tokens.columns)
+
+
+def _stop_by_place(tokens: DataFrame, stop: DataFrame) -> DataFrame:
     kept = (
         tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
         .join(stop, "token", "left_anti")

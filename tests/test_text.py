@@ -133,3 +133,17 @@ def test_decode_drops_bad_bytes_only(spark):
     df = spark.createDataFrame([(bytearray(b"ab\xff\xfecd\r\ne\rf"),), (bytearray("x�y".encode()),)], "b binary")
     got = [r[0] for r in df.select(X.decode(F.col("b").cast("string"))).collect()]
     assert got == ["abcd\ne\nf", "x�y"]
+
+
+def test_stop_words_by_join_leave_the_words_in_their_documents(spark):
+    """Only distinct words are joined; ids that repeat or are null give what they gave by places."""
+    from filingloom.operators import tokens as TK
+
+    rows = [(1, ["b", "a", "b", "c"]), (2, ["a", "a"]), (3, []), (4, None), (None, ["a", "b"]), (5, ["c", "a", "d"])]
+    rows += [(7, ["x", "a", "y"]), (7, ["x", "a", "y"]), (8, ["b"])]
+    toks = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    stop = spark.createDataFrame([("a",), ("c",)], "token string")
+    show = lambda df: sorted((str(r.doc_id), str(r.tokens)) for r in df.collect())
+    assert show(TK._stop_by_join(toks, stop)) == show(TK._stop_by_place(toks, stop))
+    plan = TK._stop_by_own_words(toks, stop)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan.lower() and "array_distinct" in plan.lower()
