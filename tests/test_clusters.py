@@ -247,3 +247,32 @@ def test_words_used_alike_are_closer_than_by_slots(spark):
     slots = {r.para_id: np.array(r.embedding) for r in E.tfidf_vectors(toks, 4096).collect()}
     assert slots["x"] @ slots["y"] == pytest.approx(0)
     assert svd["x"] @ svd["y"] > 0.9 and abs(svd["x"] @ svd["z"]) < 0.3
+
+
+def test_chunks_are_few_and_their_rows_packed(spark):
+    """A chunk holds millions of entries, so the rows of terms that move grow slower than the documents."""
+    from filingloom.operators import chunks as CK
+
+    rng = np.random.default_rng(4)
+    numbers = rng.integers(-5, 1 << 40, 1000)
+    assert (CK.loosened(CK.squeezed(numbers)) == numbers).all() and len(CK.loosened(CK.squeezed(numbers[:0]))) == 0
+    bags = spark.range(3000).selectExpr("id AS doc_id", "transform(sequence(1, 1000), x -> int((x * 7 + id) % 900)) AS ids")
+    bags = bags.selectExpr("*", "transform(ids, x -> 1) AS counts")
+    assert CK.chunks_of(bags, 6) == spark.sparkContext.defaultParallelism  # one for each core, not one for 500,000 entries
+    assert CK.chunks_of(bags, 6, 100_000) == 6 or spark.sparkContext.defaultParallelism > 6
+    packed = CK.pack(bags.select(CK.chunk(4), "ids", "counts"))
+    assert packed.agg({"n_terms": "sum"}).first()[0] == 4 * 900
+    needed = CK.needed_terms(packed, 3)
+    model = spark.range(900).selectExpr("id", "array(double(id), 1D, 2D) AS values")
+    parts = needed.parts
+
+    def run(docs, terms):
+        ids, values = CK.terms_of(terms, 3)
+        for lengths, local, counts in CK.runs(docs, ids):
+            assert lengths.sum() == len(local) == len(counts)
+        return CK.sent(ids, values, parts)
+
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    out = CK.added_up(CK.meet(packed, model, needed, 3, run, from_arrow_schema(CK.SENT)), 3, 1).collect()
+    assert sorted((r.id, *r["values"]) for r in out) == [(i, float(i), 4.0, 8.0) for i in range(900)]
