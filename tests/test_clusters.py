@@ -276,3 +276,23 @@ def test_chunks_are_few_and_their_rows_packed(spark):
 
     out = CK.added_up(CK.meet(packed, model, needed, 3, run, from_arrow_schema(CK.SENT)), 3, 1).collect()
     assert sorted((r.id, *r["values"]) for r in out) == [(i, float(i), 4.0, 8.0) for i in range(900)]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 6, 7])
+def test_blocks_of_points_meet_once(spark, monkeypatch, blocks):
+    """Any number of blocks gives the brute-force silhouette, and no two blocks are compared twice."""
+    from filingloom.operators import clusters as CL
+
+    rng = np.random.default_rng(blocks)
+    v, own = rng.normal(size=(90, 3)), rng.integers(0, 4, 90)
+    monkeypatch.setattr(CL, "BLOCK_ROWS", -(-90 // blocks))
+    monkeypatch.setattr(CL, "BLOCK_BYTES", 1)
+    points = spark.createDataFrame([(i, int(own[i]), [float(x) for x in v[i]]) for i in range(90)], "para_id int, cluster int, embedding array<double>")
+    found = CL.silhouette_points(points)
+    got = {r.para_id: r.silhouette for r in found.collect()}
+    gaps = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    for i in range(90):
+        near = [gaps[i, own == c].mean() for c in range(4) if c != own[i]]
+        a, b = gaps[i, own == own[i]].sum() / (np.sum(own == own[i]) - 1), min(near)
+        assert got[i] == pytest.approx((b - a) / max(a, b))
+    assert "ahead" in found._jdf.queryExecution().analyzed().toString()
