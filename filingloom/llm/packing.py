@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,10 @@ BINS = pa.schema(
 )
 
 
+def _words(text: bytes) -> list[bytes]:
+    return (text if b"<|" in text else text.lower()).split()
+
+
 def _ends_in_letter(word: bytes) -> bool:
     """Of a word in lower case, where one letter can have become a letter and a mark."""
     return word[-1:].isalpha() if word[-1] < 128 else word.decode().lower()[-1].isalpha()
@@ -88,13 +93,16 @@ class WordTokens(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        """Ids of each text. Texts are split once to learn their new words and once more for their
+        ids, so the words of one text at a time are objects of Python."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self._learn(set().union(*split).difference(self))
+        new: set[bytes] = set()
+        for text in texts:
+            new.update(filterfalse(self.__contains__, _words(text)))
+        self._learn(new)
         find = self.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        return [b"".join(map(find, _words(text))) for text in texts]
 
     def _learn(self, words: set[bytes]) -> None:
         marked, parts = [], set()

@@ -287,6 +287,21 @@ def test_packing_words_of_any_characters():
         assert np.frombuffer(got, "<u4").tolist() == encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_holds_words_of_one_text_at_a_time():
+    import tracemalloc
+
+    own, small = packing._tokens(None), [" ".join(["ab"] * 5_000).encode() for _ in range(100)]
+    want = own.of(small)
+    tracemalloc.start()
+    try:
+        assert own.of(small) == want
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the ids, and little more than those
+    assert peak < 1.5 * sum(map(len, want))
+
+
 def test_packing_of_tables_sorted_by_length(spark):
     """Tasks of one length each would leave every sequence half empty."""
     lengths = [1100] * 3000 + [900] * 3000
