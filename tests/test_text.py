@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import text as X
 from filingloom.operators import corpus as CO
+from filingloom.operators import embeddings as E
 from filingloom.operators import tokens as T
 
 PIECES = st.sampled_from(
@@ -147,3 +148,16 @@ def test_stop_words_by_join_leave_the_words_in_their_documents(spark):
     assert show(TK._stop_by_join(toks, stop)) == show(TK._stop_by_place(toks, stop))
     plan = TK._stop_by_own_words(toks, stop)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan.lower() and "array_distinct" in plan.lower()
+
+
+def test_text_tokens_look_at_each_word_once(spark):
+    texts = [None, "", "  ", "Gonna cannot stop\u2003the risk-Factors, 10 \u00e4rger K\u0130T a bb", "the the word"]
+    rows = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    for stop, min_len in [(["the"], 4), ([], 0), ([], 1), (["word", "a"], 2)]:
+        both = rows.select(
+            X.keep_tokens(X.raw_tokens("text"), stop, min_len).alias("want"), X.text_tokens("text", stop, min_len).alias("got")
+        ).collect()
+        assert [r.got for r in both] == [r.want for r in both]
+    for out in (T.tokenize(rows, ["the"]), E.paragraph_tokens(rows.withColumnRenamed("text", "paragraph"), ["the"])):
+        plan = out.select("tokens")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("filter(") == 1
