@@ -258,3 +258,56 @@ def test_empty_vocabulary_is_reported(spark):
 def test_best_score_prefers_the_smallest_k(spark):
     scores = spark.createDataFrame([(4, 0.5), (3, 0.5), (2, 0.1)], "k int, score double")
     assert TP.best_score(scores).first().k == 3
+
+
+def test_models_are_units_of_their_own_and_each_unit_one_partition(spark):
+    """Few chunks keep all cores busy: no unit waits for another in the same task."""
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    from filingloom.operators import chunks as CK
+
+    bags = spark.range(300).selectExpr("id AS doc_id", "transform(sequence(0, 9), x -> int((x * 7 + id) % 50)) AS ids")
+    bags = bags.selectExpr("*", "transform(ids, x -> 1) AS counts")
+    needed = CK.needed_terms(packed := CK.pack(bags.select(CK.chunk(6), "ids", "counts"), 2), 5)
+    assert needed.chunks == 3
+    model = spark.range(50).selectExpr("id", "array(0.5D, 7D, double(id), 1D, 2D) AS values")
+    shares, parts, chunks = [[1, 3, 4], [0, 2]], needed.parts, needed.chunks
+
+    def run(docs, terms):
+        unit = docs["unit"][0].as_py()
+        ids, values = CK.terms_of(terms, len(shares[unit // chunks]))
+        values = values.copy()
+        values[:, 1:] *= sum(len(lengths) for lengths, *_ in CK.runs(docs, ids))
+        where = np.zeros((1, values.shape[1]))
+        where[0, 1] = 1 << TaskContext.get().partitionId()
+        return CK.sent(np.concatenate([[-1], ids]), np.concatenate([where, values]), parts, unit // chunks)
+
+    out = CK.meet(packed, model, needed, 5, run, from_arrow_schema(CK.SENT), shares)
+    got = {r.id: r["values"] for r in CK.added_up(out, 5, 2, shares).collect()}
+    # as many partitions as units: every power of two was added once
+    assert int(got[-1][3]) + int(got[-1][2]) == 2 ** (chunks * len(shares)) - 1
+    assert {i: v for i, v in got.items() if i >= 0} == {i: [0.5, 7.0, 300.0 * i, 300.0, 600.0] for i in range(50)}
+
+
+def test_documents_of_any_length_are_inferred_as_one_by_one():
+    rng = np.random.default_rng(6)
+    k, n = 7, 90
+    beta, alpha = rng.gamma(0.3, 1, (n, k)) + 1e-9, np.array(LDA.document_prior(k))
+    lengths = np.concatenate([[1, 1, 2, 90], rng.integers(1, 60, 40)])
+    local = np.concatenate([rng.permutation(n)[:m] for m in lengths])
+    counts = rng.integers(1, 9, len(local)).astype(float)
+    gamma, shares, bound = LDA.infer(beta, lengths, local, counts, alpha, rounds=6)
+    ends, bounds = np.cumsum(lengths), 0.0
+    for d, (low, high) in enumerate(zip(ends - lengths, ends)):
+        own, c = beta[local[low:high]], counts[low:high]
+        g = alpha + c.sum() / k
+        for _ in range(6):
+            theta = np.exp(LDA.digamma(g) - LDA.digamma(g.sum()))
+            g = alpha + theta * (own * (c / (own @ theta))[:, None]).sum(axis=0)
+        assert g == pytest.approx(gamma[d], rel=1e-2, abs=2e-2)
+        theta = np.exp(LDA.digamma(gamma[d]) - LDA.digamma(gamma[d].sum()))
+        assert shares[low:high] == pytest.approx(own * theta * (c / (own @ theta))[:, None])
+        assert shares[low:high].sum(axis=1) == pytest.approx(c)
+        bounds += LDA.infer(beta, lengths[d : d + 1], local[low:high], c, alpha, rounds=6)[2]
+    assert bound == pytest.approx(bounds, rel=1e-4)
