@@ -296,3 +296,30 @@ def test_blocks_of_points_meet_once(spark, monkeypatch, blocks):
         a, b = gaps[i, own == own[i]].sum() / (np.sum(own == own[i]) - 1), min(near)
         assert got[i] == pytest.approx((b - a) / max(a, b))
     assert "ahead" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_sums_of_models_of_any_sizes_take_one_product(monkeypatch):
+    """Counts, costs and sums of every model as by brute force; all models share the matrix products."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, 5))
+    models = [rng.normal(size=(k, 5)) for k in (3, 3, 1, 4, 4, 2, 3)]
+    monkeypatch.setattr(KM, "CELLS", 600)
+    argmins, real = [], KM.squared_distances
+    monkeypatch.setattr(KM, "squared_distances", lambda a, b: argmins.append(len(b)) or real(a, b))
+    batch = pa.RecordBatch.from_pylist([{"embedding": list(map(float, v))} for v in x])
+    rows = [r for found in KM._sums([batch], models) for r in found.to_pylist()]
+    got = {r["key"]: r for r in rows}
+    assert set(argmins) == {20}
+    low = 0
+    for centres in models:
+        gaps = ((x[:, None] - centres) ** 2).sum(axis=2)
+        for c in range(len(centres)):
+            own = gaps.argmin(axis=1) == c
+            assert (low + c in got) == own.any()
+            if own.any():
+                row = got[low + c]
+                assert row["n"] == own.sum() and row["cost"] == pytest.approx(gaps[own, c].sum())
+                assert row["sums"] == pytest.approx(x[own].sum(axis=0))
+        low += len(centres)

@@ -311,3 +311,34 @@ def test_documents_of_any_length_are_inferred_as_one_by_one():
         assert shares[low:high].sum(axis=1) == pytest.approx(c)
         bounds += LDA.infer(beta, lengths[d : d + 1], local[low:high], c, alpha, rounds=6)[2]
     assert bound == pytest.approx(bounds, rel=1e-4)
+
+
+def test_documents_come_by_length_and_small_blocks_are_joined(spark, monkeypatch):
+    """Few blocks a round: documents of like length lie together, and what is left of blocks is joined."""
+    from filingloom.operators import chunks as CK
+
+    rows = [(i, list(range(1 + (i * 37) % 90)), [1 + i % 3] * (1 + (i * 37) % 90)) for i in range(300)]
+    bags = spark.createDataFrame(rows, "doc_id long, ids array<int>, counts array<int>")
+    packed = CK.pack(bags.select(CK.chunk(1), "ids", "counts")).collect()
+    lengths = np.concatenate([CK.loosened(r.lengths) for r in packed])
+    assert list(lengths) == sorted(len(r[1]) for r in rows)
+
+    rng = np.random.default_rng(1)
+    beta, alpha = rng.dirichlet(np.ones(90), 4).T.copy(), np.array(LDA.document_prior(4))
+    local = np.concatenate([rng.permutation(90)[:n] for n in lengths])
+    counts = rng.integers(1, 9, len(local)).astype(float)
+    monkeypatch.setattr(LDA, "TOLERANCE", 1e-9)
+    monkeypatch.setattr(LDA, "BLOCK_CELLS", 4000)
+    calls, real = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **b: calls.append(1) or real(*a, **b))
+    gamma, shares, bound = LDA.infer(beta, lengths, local, counts, alpha, rounds=2000)
+    at_once, ends = len(calls), np.concatenate([[0], np.cumsum(lengths)])
+    blocks = len(list(LDA._blocks(lengths, 4)))
+    rounds, bounds = 0, 0.0
+    for d, (low, high) in enumerate(itertools.pairwise(ends)):
+        calls.clear()
+        one, share, part = LDA.infer(beta, lengths[d : d + 1], local[low:high], counts[low:high], alpha, rounds=2000)
+        rounds, bounds = max(rounds, len(calls) // 2), bounds + part
+        assert gamma[d] == pytest.approx(one[0], abs=1e-6) and shares[low:high] == pytest.approx(share, abs=1e-6)
+    assert bound == pytest.approx(bounds)
+    assert blocks > 10 and at_once < 0.33 * 2 * blocks * rounds
