@@ -216,6 +216,25 @@ def test_svd_vectors_are_unit_or_zero(spark):
     assert SVD.svd_vectors(toks.where("false"), dim=3).count() == 0
 
 
+def test_svd_encodes_without_moving_documents(spark, monkeypatch):
+    """Documents meet the stored directions where they lie, runs of them one after the other."""
+    from filingloom.operators import chunks as CK
+
+    rng = np.random.default_rng(8)
+    texts = [(f"p{i}", [f"w{w}" for w in rng.zipf(1.5, i % 7) % 50]) for i in range(200)]
+    toks = spark.createDataFrame([*texts, (None, None), ("p1", ["w1"])], "para_id string, tokens array<string>").repartition(8)
+    whole = SVD.svd_vectors(toks, dim=3, slots=1 << 9)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "CoGroup" not in plan
+    got = sorted(((r.para_id or "", r.embedding) for r in whole.collect()))
+    assert len(got) == 202 and got[0] == ("", [0.0, 0.0, 0.0])
+    batches = toks.selectExpr("transform(tokens, x -> abs(hash(x)) % 9) AS ids", "transform(tokens, x -> 2) AS counts").toArrow()
+    lengths = [(p, n) for run in SVD._runs(batches.to_batches()[0]) for p, n in zip(run[0], run[1])]
+    monkeypatch.setattr(CK, "RUN_ENTRIES", 5)
+    cut = list(SVD._runs(batches.to_batches()[0]))
+    assert len(cut) > 1 and [(p, n) for run in cut for p, n in zip(run[0], run[1])] == lengths
+
+
 def test_svd_spans_the_leading_directions(spark):
     """The same subspace as a dense decomposition of the weighted, scaled matrix."""
     rng = np.random.default_rng(6)
