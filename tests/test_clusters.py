@@ -7,6 +7,7 @@ from filingloom.operators import clusters as C
 from filingloom.operators import embeddings as E
 from filingloom.operators import kmeans as KM
 from filingloom.operators import svd as SVD
+from filingloom.operators import word_vectors as WV
 
 
 def table(spark, x, labels=None):
@@ -195,6 +196,56 @@ def test_rare_words_have_vectors_unless_asked_otherwise(spark):
         assert (size["y"] == 0) == zero and size["x"] == pytest.approx(1)
 
 
+def test_words_have_depths_of_a_huffman_tree():
+    import heapq
+
+    rng = np.random.default_rng(5)
+    for counts in ([1], [3, 1], [1] * 7, [5, 5, 5, 2, 2, 1], (rng.zipf(1.4, 500) % 900 + 1).tolist()):
+        heap, cost = sorted(counts), 0
+        while len(heap) > 1:
+            pair = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += pair
+            heapq.heappush(heap, pair)
+        numbers = {c: counts.count(c) for c in set(counts)}
+        depths = WV.words_by_depth(numbers)
+        rising = [d for d in sorted(depths) for _ in range(depths[d])]
+        assert sum(d * c for d, c in zip(rising, sorted(counts, reverse=True), strict=True)) == cost
+        assert sum(n / 2**d for d, n in depths.items()) == 1
+
+
+def test_word_vectors_are_trained_by_chunks_not_on_the_driver(spark, monkeypatch):
+    """Every row comes back once from however many chunks, and words used alike lie close."""
+    rng = np.random.default_rng(7)
+    themes = [[f"{theme}{i}" for i in range(6)] for theme in ("car", "tree")]
+    rows = [(f"p{i}", [str(w) for w in rng.choice(themes[i % 2], 12)]) for i in range(3000)]
+    rows += [(w, [w]) for theme in themes for w in theme]
+    rows += [(None, None), (None, []), ("p1", ["car1"]), ("p1", ["car1"])]
+    toks = spark.createDataFrame(rows, "para_id string, tokens array<string>")
+    for most in (WV.CHUNK_TOKENS, 6_000):
+        monkeypatch.setattr(WV, "CHUNK_TOKENS", most)
+        vectors = E.word2vec_vectors(toks, 8, partitions=1)
+        plan = vectors._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and vectors.columns == ["para_id", "embedding"]
+        got = vectors.collect()
+        assert sorted(r.para_id or "" for r in got) == sorted(i or "" for i, _ in rows)
+        word = {r.para_id: np.array(r.embedding) for r in got}
+        assert not word[None].any()
+        alike = np.mean([word["car0"] @ word[f"car{i}"] for i in range(1, 6)])
+        apart = np.mean([word["car0"] @ word[f"tree{i}"] for i in range(6)])
+        assert alike > apart + 0.5
+    with pytest.raises(ValueError):
+        E.word2vec_vectors(toks.where("false"), 8)
+
+
+def test_words_that_repeat_do_not_overshoot():
+    """Many pairs of the same words in a batch move a row as far as a bounded number of them."""
+    rng, local = np.random.default_rng(3), np.tile([0, 0, 0, 1], 5000)
+    trainer = WV.Trainer(WV.first_vectors(np.arange(4), 8, 1), np.array([2, 6, 14, 15]))
+    trainer.train(np.full(20, 1000), local, rng, 0.0, 1.0)
+    assert np.abs(trainer.vectors).max() < 10 and np.abs(trainer.inner).max() < 10
+    assert trainer.moves[:2].min() > 0 and not trainer.moves[2:].any()
+
+
 def test_external_model_loads_per_task(spark):
     def load():
         return lambda texts: [[float(len(t)), 3.0] for t in texts]
