@@ -313,6 +313,27 @@ def test_documents_of_any_length_are_inferred_as_one_by_one():
     assert bound == pytest.approx(bounds, rel=1e-4)
 
 
+def test_single_precision_infers_the_same_topics():
+    """Rows as parts of their largest number: terms that are rare in all topics, or held by a topic
+    that a document hardly has, count as in double precision. Many topics stay double."""
+    rng = np.random.default_rng(12)
+    lengths = rng.integers(1, 300, 80)
+    local = np.concatenate([rng.choice(400, n, replace=False) for n in lengths])
+    counts = rng.integers(1, 9, len(local)).astype(float)
+    for k, single in ((5, True), (15, True), (40, False)):
+        alpha, beta = np.array(LDA.document_prior(k)), rng.gamma(0.1, 1, (400, k)) * np.exp(-rng.uniform(0, 190, (400, 1)))
+        beta[:20] = np.exp(-200)
+        beta[20:30], beta[20:30, k - 1] = np.exp(-199), 1e-9
+        whole = LDA.infer(beta, lengths, local, counts, alpha, rounds=20)
+        parts, logs = LDA.scaled(beta, alpha)
+        assert parts.dtype == (np.float32 if single else float) and parts.max() == 1
+        found = LDA.infer(parts, lengths, local, counts, alpha, rounds=20, logs=logs)
+        assert found[1].dtype == parts.dtype
+        np.testing.assert_allclose(found[0], whole[0], rtol=0.01, atol=0.05)
+        np.testing.assert_allclose(found[1].sum(axis=1), counts, rtol=1e-5)
+        assert found[2] == pytest.approx(whole[2], rel=1e-5)
+
+
 def test_documents_come_by_length_and_small_blocks_are_joined(spark, monkeypatch):
     """Few blocks a round: documents of like length lie together, and what is left of blocks is joined."""
     from filingloom.operators import chunks as CK
